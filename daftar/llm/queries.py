@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe
+from daftar.llm import bpe, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,7 +22,13 @@ def op5_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids as wavelet-matrix files and reads them back."""
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
+    "op7_token_id_binary_output": op7_token_id_binary_output,
 }
 ORACLE_SQL: dict[str, str] = {}
