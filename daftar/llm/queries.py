@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, wavelet
+from daftar.llm import bpe, html_text, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: (host, path, verdict)
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+OP4_SQL = """
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+n AS (SELECT row_number() OVER () AS i, * FROM p),
+b AS (
+  SELECT i, any_value(page_id) AS page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rh || rp, length(rh || rp)) FILTER (WHERE rh IS NOT NULL) AS rule,
+         arg_max(v, length(rh || rp)) FILTER (WHERE rh IS NOT NULL) AS v
+  FROM n LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY i
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM b
+"""
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; urls that no rule fits are allowed."""
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, url_rules.rules_frame(pages, URL_RULES), default="allow")
+
+
 def op5_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number of ids and digests of the ids and of the text decoded from them."""
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -28,7 +59,9 @@ def op7_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": op2_html_extraction,
+    "op4_url_filters": op4_url_filters,
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
     "op7_token_id_binary_output": op7_token_id_binary_output,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL}
