@@ -59,8 +59,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """Per page: page_id, host, path, rule, verdict. rules: host, path, verdict (`block` or `allow`)."""
     rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
     listed = rules.where("rule_host is not null").groupBy(F.concat("rule_host", "rule_path").alias("key"), "rule_host").agg(F.max("verdict").alias("listed"), F.first("rule_path").alias("rule_path"))
-    lengths = F.broadcast(listed.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"), F.max(F.length("rule_host")).alias("longest")))
-    filters = F.broadcast(bloom(listed.select("key")))
+    lengths = listed.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"))
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     labels = F.split("host", r"\.")
@@ -69,7 +68,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     candidates = F.flatten(F.transform(suffixes, lambda s: F.transform(fits, lambda n: F.struct(s.alias("rule_host"), F.concat(s, F.col("path").substr(F.lit(1), n)).alias("key")))))
     h = lambda c: F.xxhash64(c["key"])
     passed = F.filter(candidates, lambda c: F.element_at("words", _block(h(c)) + F.lit(1)).bitwiseAND(_mask(h(c))) == _mask(h(c)))
-    hits = urls.join(lengths).join(filters).select("row", "page_id", "host", "path", F.explode_outer(passed).alias("c")).select("row", "page_id", "host", "path", "c.rule_host", "c.key")
+    hits = urls.withColumns({"lengths": lengths.scalar(), "words": bloom(listed.select("key")).scalar()}).select("row", "page_id", "host", "path", F.explode_outer(passed).alias("c")).select("row", "page_id", "host", "path", "c.rule_host", "c.key")
     exact = hits.join(listed.withColumnRenamed("listed", "hit"), ["rule_host", "key"], "left")
     best = exact.groupBy("row", "page_id", "host", "path").agg(F.max(F.when(F.col("hit").isNotNull(), F.struct(F.length("key").alias("n"), "key", "hit"))).alias("best"))
     return best.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.hit", F.lit(default)).alias("verdict"))
