@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import bpe, html_text, url_rules, wavelet
+from daftar.llm import ann, bpe, exact_topk, html_text, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 neighbours of every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -58,10 +64,30 @@ def op7_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op9_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10 highest integer inner products of every vector whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_approximate_nearest_neighbours": op1_approximate_nearest_neighbours,
     "op2_html_extraction": op2_html_extraction,
     "op4_url_filters": op4_url_filters,
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
     "op7_token_id_binary_output": op7_token_id_binary_output,
+    "op9_exact_top_k_search": op9_exact_top_k_search,
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op9_exact_top_k_search": OP9_SQL}
