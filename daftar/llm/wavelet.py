@@ -95,7 +95,7 @@ def build(tokens: np.ndarray, starts: np.ndarray, bits: int = 16) -> bytes:
         full[: len(packed)] = packed
         parts.append(press(np.cumsum(np.bitwise_count(full).reshape(-1, _RANK_BITS // 8).sum(1, dtype=np.int64)).astype("<u4").tobytes()))
         zeros.append(len(x) - int(np.count_nonzero(bit)))
-        x = np.concatenate([x[~bit], x[bit]])
+        x = np.concatenate([x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))])  # faster than masks
     head = struct.pack("<QIII", len(tokens), len(starts) - 1, bits, len(parts))
     return _MAGIC + head + np.array(zeros, "<u8").tobytes() + np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
 
@@ -196,7 +196,7 @@ class Wavelet:
             b = bit.astype(np.uint16) << np.uint16(self.bits - 1 - level)
             if order is not None:
                 below = np.empty(self.n, np.uint16)
-                below[~bit], below[bit] = order[: self.zeros[level]], order[self.zeros[level] :]
+                below[np.flatnonzero(~bit)], below[np.flatnonzero(bit)] = order[: self.zeros[level]], order[self.zeros[level] :]
                 b |= below
             order = b
         return order if order is not None else np.zeros(0, np.uint16)
