@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import ann, bpe, exact_topk, html_text, url_rules, wavelet
+from daftar.llm import ann, bpe, exact_topk, html_text, mixing, toxicity, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,11 @@ def op7_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
@@ -82,12 +87,19 @@ def op9_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_approximate_nearest_neighbours": op1_approximate_nearest_neighbours,
     "op2_html_extraction": op2_html_extraction,
     "op4_url_filters": op4_url_filters,
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
     "op7_token_id_binary_output": op7_token_id_binary_output,
+    "op8_mixing_sources": op8_mixing_sources,
     "op9_exact_top_k_search": op9_exact_top_k_search,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op9_exact_top_k_search": OP9_SQL}
