@@ -4,18 +4,20 @@ Largest inner product is turned into nearest distance by one further component,
 greatest norm. Vectors are rotated at random and dealt into lists by centroids fitted on a bounded sample (SAMPLE rows
 by hash of id); every row is indexed. A query probes the share PROBED of lists that lie nearest. In a probed block the rotated
 vectors stand in column blocks: after each block of columns a hypothesis test on the partial distance abandons
-candidates that are, with high confidence, farther than the kth distance known in the block. Survivors get the exact
+candidates that are, with high confidence, farther than the kth distance known from the sample, a true bound. Survivors get the exact
 inner product of the original vectors, summed in order in double precision.
 
 Lists are dealt into blocks of bounded size by a salt from their counts, so equal vectors, however many,
 spread over tasks. Queries are dealt into chunks likewise.
 
 Defined results: vectors null, empty, zero, with null or non-finite components, or without an id take no part; so do those of another length than
-the most frequent; an id queried twice is one query (its least vector); an empty table gives no rows. Fewer than k candidates: all.
+the most frequent; an id queried twice is one query (its least vector), an id that stands in several rows one candidate (its best score); an empty table gives no rows. Fewer than k candidates: all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from daftar.llm import vectors
 from daftar.llm.common import written
 
-SAMPLE, ROWS_PER_LIST, MOST_LISTS, PROBED = 8192, 800, 1024, 0.7
+SAMPLE, ROWS_PER_LIST, MOST_LISTS, PROBED = 8192, 1600, 1024, 0.7
 COLUMNS = 16
-EPSILON = 2.1
+EPSILON = 1.5
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -40,40 +42,35 @@ def _fit(x: np.ndarray, lists: int) -> np.ndarray:
     return c
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int, epsilon: float = EPSILON) -> list[np.ndarray]:
-    """For each rotated query the rows of the rotated block that may be among its k nearest."""
-    n, d = x.shape
-    edges = [*range(0, d, COLUMNS), d]
-    blocks = [(np.ascontiguousarray(x[:, a:b]), q[:, a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-    first, first_q = blocks[0]
-    partial = np.maximum((first**2).sum(1)[None] - 2 * first_q @ first.T + (first_q**2).sum(1)[:, None], 0)
-    seen = first.shape[1]
-    out = []
-    for i in range(len(q)):
-        if n <= k:
-            out.append(np.arange(n))
-            continue
-        own = partial[i]
-        seeds = np.argpartition(own, k - 1)[:k]
-        far = float(((x[seeds] - q[i]) ** 2).sum(1).max())
-        left, dist, done = np.flatnonzero(own * (d / seen) <= far * (1 + epsilon / np.sqrt(seen)) ** 2), None, seen
-        dist = own[left]
-        for part, part_q in blocks[1:]:
-            dist = dist + ((part[left] - part_q[i]) ** 2).sum(1)
-            done += part.shape[1]
-            if done < d:
-                keep = dist * (d / done) <= far * (1 + epsilon / np.sqrt(done)) ** 2
-                left, dist = left[keep], dist[keep]
-        keep = dist <= far * (1 + 1e-9) + 1e-12
-        out.append(np.union1d(left[keep], seeds))
-    return out
+def scan(x: np.ndarray, q: np.ndarray, far: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that may lie within `far`, the squared distance of each query's kth known row. x and q are rotated.
+
+    After each block of columns a pair is abandoned if its partial distance, scaled to all columns, exceeds far by more than the test allows; rows and
+    queries without a pair left are dropped before the next block.
+    """
+    d = x.shape[1]
+    rows, queries = np.arange(len(x)), np.arange(len(q))
+    partial = np.zeros((len(q), len(x)))
+    for lo in range(0, d, COLUMNS):
+        hi = min(lo + COLUMNS, d)
+        a, b = x[rows, lo:hi], q[queries, lo:hi]
+        partial += (a**2).sum(1)[None] + (b**2).sum(1)[:, None] - 2 * b @ a.T
+        if hi == d:
+            break
+        alive = partial * (d / hi) <= (far[queries] * (1 + epsilon / np.sqrt(hi)) ** 2)[:, None]
+        partial[~alive] = np.inf
+        some_rows, some_queries = alive.any(0), alive.any(1)
+        if not some_rows.all() or not some_queries.all():
+            rows, queries, partial = rows[some_rows], queries[some_queries], partial[np.ix_(some_queries, some_rows)]
+    i, j = np.nonzero(partial <= (far[queries] * (1 + 1e-9) + 1e-9)[:, None])
+    return queries[i], rows[j]
 
 
 def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Row by row, summed in the order of components."""
     s = np.zeros(len(x))
     for j in range(x.shape[1]):
-        s += x[:, j] * q[..., j]
+        s += x[:, j] * q[:, j]
     return s
 
 
@@ -83,7 +80,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     asked = vectors.usable(queries, id_col, vector_col, allow_zero=False).groupBy("vec_id").agg(F.min("v").alias("v"))
     stat = data.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     n, most = stat["n"], stat["m"] or 0.0
-    fit = vectors.sample(data, SAMPLE) if n else np.zeros((0, 1))
+    fit_ids, fit = vectors.sample(data, SAMPLE) if n else (np.zeros(0, np.int64), np.zeros((0, 1)))
     d = fit.shape[1] + 1
     rotation = np.linalg.qr(np.random.default_rng(2).normal(size=(d, d)))[0]
 
@@ -97,42 +94,62 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     chunks = vectors.chunks_of(asked.count() if n else 0)
     probes = max(1, int(np.ceil(probed * len(centroids))))
 
-    def probe(batches):
+    def known(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The kth best score in the sample, which bounds the kth best of all from below."""
+        if len(fit) <= k:
+            return np.full(len(x), -np.inf)
+        score = np.where(ids[:, None] == fit_ids[None], -np.inf, x @ fit.T)
+        return np.partition(score, len(fit) - k, axis=1)[:, len(fit) - k]
+
+    def from_sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sample's own k best, so that no query is left with fewer than k rows."""
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                x, own = vectors.matrix(part.column("v")), part.column("vec_id").to_numpy()
+                score = np.where(own[:, None] == fit_ids[None], -np.inf, x @ fit.T)
+                near = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                i = np.repeat(np.arange(len(x)), near.shape[1])
+                j = near.ravel()
+                other = own[i] != fit_ids[j]
+                i, j = i[other], j[other]
+                yield pa.RecordBatch.from_arrays([pa.array(own[i], pa.int64()), pa.array(fit_ids[j], pa.int64()), pa.array(inner_products(fit[j], x[i]))], names=["query_id", "vec_id", "score"])
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 x = vectors.matrix(part.column("v"))
-                flat = np.hstack([x, np.zeros((len(x), 1))]) @ rotation
-                near = np.argsort(half - flat @ centroids.T, axis=1, kind="stable")[:, :probes]
-                row, lists, salt = [], [], []
-                for i, own in enumerate(near):
-                    for c in own.tolist():
-                        for s in range(per_list.get(c, 0)):
-                            row.append(i)
-                            lists.append(c)
-                            salt.append(s)
+                least = known(x, part.column("vec_id").to_numpy())
+                near = np.argsort(half - np.hstack([x, np.zeros((len(x), 1))]) @ rotation @ centroids.T, axis=1, kind="stable")[:, :probes]
+                to = [(i, c, s) for i, own in enumerate(near.tolist()) for c in own for s in range(per_list.get(c, 0))]
+                row, lists, salt = (list(v) for v in zip(*to, strict=True)) if to else ([], [], [])
                 take = part.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([take.column("vec_id"), take.column("v"), pa.array(lists, pa.int32()), pa.array(salt, pa.int32())], names=["query_id", "q", "list", "salt"])
+                yield pa.RecordBatch.from_arrays([take.column("vec_id"), take.column("v"), pa.array(least[row]), pa.array(lists, pa.int32()), pa.array(salt, pa.int32())], names=["query_id", "q", "least", "list", "salt"])
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, x = left.column("vec_id").to_numpy(), vectors.matrix(left.column("v"))
-        q_ids, q = right.column("query_id").to_numpy(), vectors.matrix(right.column("q"))
-        turned = lifted(x)
-        held = []
-        for lo in range(0, len(q), 128):
-            flat = np.hstack([q[lo : lo + 128], np.zeros((len(q[lo : lo + 128]), 1))]) @ rotation
-            for i, near in enumerate(scan(turned, flat, k + 1), lo):  # one more, as the query itself may be there
-                near = near[ids[near] != q_ids[i]]
-                score = inner_products(x[near], q[i])
-                own = vectors.best_rows(np.zeros(len(near), np.int64), score, ids[near], k)
-                held.append((np.full(len(own), q_ids[i]), ids[near][own], score[own]))
-        a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            ids, x = left.column("vec_id").to_numpy(), vectors.matrix(left.column("v"))
+            q_ids, q, least = right.column("query_id").to_numpy(), vectors.matrix(right.column("q")), right.column("least").to_numpy()
+            turned = lifted(x)
+            for lo in range(0, len(q), 256):
+                own = slice(lo, lo + 256)
+                far = (q[own] ** 2).sum(1) + most - 2 * least[own]
+                a, b = scan(turned, np.hstack([q[own], np.zeros((len(q[own]), 1))]) @ rotation, far)
+                other = ids[b] != q_ids[own][a]
+                a, b = a[other], b[other]
+                score = inner_products(x[b], q[own][a])
+                best = vectors.best_rows(a, score, ids[b], k)
+                held.append((q_ids[own][a[best]], ids[b[best]], score[best]))
+        a, b, c = (np.concatenate(v) for v in zip(*held, strict=True))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
     blocks = indexed.select("vec_id", "v", "list", vectors.salt_of(per_list).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    sent = asked.select("vec_id", "v").mapInArrow(probe, "query_id long, q array<double>, list int, salt int").select("query_id", "q", "list", "salt", chunk("query_id"))
+    sent = asked.select("vec_id", "v").mapInArrow(probe, "query_id long, q array<double>, least double, list int, salt int").select("query_id", "q", "least", "list", "salt", chunk("query_id"))
     keys = ("list", "salt", "chunk")
-    return vectors.top(blocks.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(block, _FOUND), k)
+    found = blocks.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(block, _FOUND)
+    if n:
+        found = found.union(asked.select("vec_id", "v").mapInArrow(from_sample, _FOUND))
+    return vectors.top(found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

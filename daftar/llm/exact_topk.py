@@ -141,7 +141,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, id_c
     data = whole(rows)
     asked = whole(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     n = data.count()
-    pivots = vectors.sample(data, PIVOT_SAMPLE)[: max(1, min(MOST_PIVOTS, n // vectors.BLOCK_ROWS))] if n else np.zeros((1, 1))
+    pivots = vectors.sample(data, PIVOT_SAMPLE)[1][: max(1, min(MOST_PIVOTS, n // vectors.BLOCK_ROWS))] if n else np.zeros((1, 1))
     half = 0.5 * (pivots**2).sum(1)
     dealt = written(vectors.assigned(data, lambda x: np.argmax(x @ pivots.T - half, axis=1)))
     per_list = vectors.salts(dealt)

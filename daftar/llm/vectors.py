@@ -24,10 +24,10 @@ def usable(rows: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -> D
     return good.where(F.size("v") == (common[0]["d"] if common else 0))
 
 
-def sample(rows: DataFrame, n: int) -> np.ndarray:
-    """The n vectors whose ids hash lowest: a bounded, repeatable sample."""
-    got = rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(n).collect()
-    return np.array([r["v"] for r in got])
+def sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the n rows whose ids hash lowest: a bounded, repeatable sample."""
+    got = rows.select("vec_id", "v", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(n).collect()
+    return np.array([r["vec_id"] for r in got], np.int64), np.array([r["v"] for r in got])
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, kind: str = "f8") -> np.ndarray:
