@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import ann, bpe, exact_topk, html_text, mixing, toxicity, url_rules, wavelet
+from daftar.llm import ann, bpe, exact_topk, html_text, mixing, substring_dedup, toxicity, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,11 @@ def op5_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document as parts of passages that begin in a document with a smaller id."""
+    return substring_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op7_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as wavelet-matrix files and reads them back."""
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), WORD_BPE))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op4_url_filters": op4_url_filters,
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_id_binary_output": op7_token_id_binary_output,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_exact_top_k_search": op9_exact_top_k_search,
