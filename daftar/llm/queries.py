@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daftar.llm import ann, bpe, exact_topk, html_text, mixing, substring_dedup, toxicity, url_rules, wavelet
+from daftar.llm import ann, bpe, exact_topk, html_text, jaccard_join, mixing, substring_dedup, toxicity, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at a Jaccard similarity of 0.85 on 4-word shingles."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 #: (host, path, verdict)
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -100,6 +105,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_approximate_nearest_neighbours": op1_approximate_nearest_neighbours,
     "op2_html_extraction": op2_html_extraction,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_url_filters": op4_url_filters,
     "op5_bpe_encoding_and_decoding": op5_bpe_encoding_and_decoding,
     "op6_substring_dedup": op6_substring_dedup,
