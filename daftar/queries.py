@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from daftar.plans import activity, catalog, texts, vectors
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FLAGSHIP = "event_type_counts"
-
-
-def event_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and users by type."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"event_type_counts": event_type_counts}
-ORACLE_SQL: dict[str, str] = {"event_type_counts": "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type"}
+FLAGSHIP = "users_over_time"
+_PLANS = (activity.R, catalog.R, texts.R, vectors.R)
+QUERIES = {name: f for r in _PLANS for name, f in r.queries.items()}
+ORACLE_SQL = {name: sql for r in _PLANS for name, sql in r.sql.items()}
