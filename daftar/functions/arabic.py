@@ -27,10 +27,10 @@ def presentation_forms() -> dict[str, str]:
 
 
 def base_letters(c: Column) -> Column:
-    """Presentation forms as base letters; single letters in one pass, ligatures by replacement."""
+    """Presentation forms as base letters; single letters in one pass, then the ligatures of lam and alef; ornamental ligatures of whole words stay."""
     forms = presentation_forms()
     single = {k: v for k, v in forms.items() if len(v) == 1}
-    ligatures = {k: v for k, v in forms.items() if len(v) == 2}
+    ligatures = {k: v for k, v in forms.items() if "\ufef5" <= k <= "\ufefc"}
     one = F.translate(c, "".join(single), "".join(single.values()))
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ligatures.items(), one)
 
