@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("f", "<i8"), ("pos", "<i4")])
 _COLUMNS = [n for n in ENTRY.names]
@@ -74,30 +73,33 @@ def blocks(e: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
     return pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())
 
 
-def hits(rows: DataFrame) -> DataFrame:
-    """From rows (bucket, blob) the hits: doc_id, f, places (packed 32-bit integers); one row per document and bucket."""
+def hits(rows: DataFrame, buckets: int) -> DataFrame:
+    """From rows (bucket, blob) the hits, one row per document: doc_id, f, places (packed 32-bit integers, no more than its words)."""
 
     def judge(table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
-        e = np.concatenate([unpack(b) for b in blobs])
+        e = np.concatenate([unpack(b) for b in table.column("blob").to_pylist()])
         if table.column("bucket")[0].as_py() >= 0:
             e = judged(e)[0]
-        e = np.sort(e, order=("doc", "f", "pos"))
+        to = (e["doc"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        e, to = e[order], to[order]
+        edges = np.searchsorted(to, np.arange(buckets + 1))
+        numbers = np.flatnonzero(np.diff(edges))
+        return pa.table({"to": pa.array(numbers, pa.int32()), "blob": pa.array([pack(np.sort(e[edges[b] : edges[b + 1]], order=("doc", "pos"))) for b in numbers.tolist()], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        e = np.sort(np.concatenate([unpack(b) for b in table.column("blob").to_pylist()]), order=("doc", "f", "pos"))
         new = np.flatnonzero(np.r_[True, (e["doc"][1:] != e["doc"][:-1]) | (e["f"][1:] != e["f"][:-1])]) if len(e) else np.zeros(0, np.int64)
         edges = np.r_[new, len(e)].tolist()
         pos = np.ascontiguousarray(e["pos"])
         return pa.table({"doc_id": pa.array(e["doc"][new], pa.int64()), "f": pa.array(e["f"][new], pa.int64()), "places": pa.array([pos[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
 
-    return rows.select("bucket", "blob").groupBy("bucket").applyInArrow(judge, "doc_id long, f long, places binary")
+    found = rows.select("bucket", "blob").groupBy("bucket").applyInArrow(judge, "to int, blob binary")
+    return found.groupBy("to").applyInArrow(gather, "doc_id long, f long, places binary")
 
 
-def by_document(found: DataFrame, *keys: str) -> DataFrame:
-    """All places of a document together; no more than its words."""
-    return found.groupBy(*keys).agg(F.collect_list("places").alias("places"))
-
-
-def places(column: pa.Array, offset: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def places(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its places) of the rows that have any."""
-    for i, lists in enumerate(column.to_pylist()):
-        if lists:
-            yield i, np.frombuffer(b"".join(lists), "<i4").astype(np.int64)
+    for i, packed in enumerate(column.to_pylist()):
+        if packed:
+            yield i, np.frombuffer(packed, "<i4").astype(np.int64)

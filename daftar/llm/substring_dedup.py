@@ -86,7 +86,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     buckets = partitions(docs.sparkSession)
-    near = matching.by_document(matching.hits(_anchors(docs, buckets)), "doc_id").withColumnRenamed("doc_id", "_doc")
+    near = matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("_doc"), "places")
     met = docs.withColumn("_f", F.xxhash64("text")).join(near, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").withColumnRenamed("places", "_places")
     names = docs.columns
     kept = [f for f in docs.schema.fields if not digest or f.name != "text"]
@@ -104,7 +104,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 starts, ends, first = spans(data, offsets)
                 sizes, whole = np.diff(first), data.tobytes()
                 shared, twin, touched = np.zeros(len(starts), bool), np.zeros(rows.num_rows, bool), np.zeros(rows.num_rows, bool)
-                for i, at in matching.places(rows.column("_places"), first):
+                for i, at in matching.places(rows.column("_places")):
                     twin[i] = (at < 0).any() and sizes[i] >= WINDOW
                     at = at[(at >= 0) & (at < sizes[i])]  # rows with one id have each other's places
                     if not twin[i]:
@@ -137,7 +137,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     staged = T.StructType([T.StructField("_kind", T.IntegerType()), *result, T.StructField("_text", T.StringType()), T.StructField("_f", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
     stage = written(met.mapInArrow(sort_out, staged))
-    marks = matching.by_document(matching.hits(stage.where("_kind = 1").select("bucket", "blob")), "doc_id", "f").select(F.col("doc_id").alias("_doc"), F.col("f").alias("_mark"), F.col("places").alias("_places"))
+    marks = matching.hits(stage.where("_kind = 1").select("bucket", "blob"), buckets).select(F.col("doc_id").alias("_doc"), F.col("f").alias("_mark"), F.col("places").alias("_places"))
     open_rows = stage.where("_kind = 2").join(marks, (F.col("doc_id") == F.col("_doc")) & (F.col("_f") == F.col("_mark")), "left").drop("_doc", "_mark", "_kind", "bucket", "blob")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
             for rows, data, offsets in text_slices(batch, "_text", _SLICE):
                 starts, ends, first = spans(data, offsets)
                 change = np.zeros(len(starts) + 1, np.int64)
-                for i, at in matching.places(rows.column("_places"), first):
+                for i, at in matching.places(rows.column("_places")):
                     np.add.at(change, first[i] + at, 1)
                     np.add.at(change, np.minimum(first[i] + at + WINDOW, first[i + 1]), -1)
                 keep = np.cumsum(change)[:-1] == 0 if len(starts) else np.zeros(0, bool)
