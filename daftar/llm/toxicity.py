@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from daftar.llm.common import text_slices
 
 WINDOW, LEVEL, DICTIONARY = 8, 10, 1 << 14
-MOST_TOXIC, MOST_ORDINARY = 2500, 5000
+MOST_TOXIC, MOST_ORDINARY = 2000, 4000
 CONTEXTS, RATIO = 10, 10.0
 _BATCH = 5  # every fifth labelled document calibrates
 
