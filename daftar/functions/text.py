@@ -26,7 +26,7 @@ def parsed_date(c: Column) -> Column:
 
 def gregorian_or_hijri_digits(c: Column) -> Column:
     """A date with its calendar suffix removed, `/` as `-`, and month and day of two digits."""
-    parts = F.split(F.regexp_replace(F.trim(F.regexp_replace(c, "[هم]\\s*$", "")), "/", "-"), "-")
+    parts = F.split(F.regexp_replace(F.trim(F.regexp_replace(c, "[همـ]+\\s*$", "")), "/", "-"), "-")
     return F.when(F.size(parts) == 3, F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))).otherwise(F.array_join(parts, "-"))
 
 
@@ -108,8 +108,9 @@ def unique_lines(c: Column) -> Column:
 
 def cleaned(c: Column) -> Column:
     """Newlines unified, lines of page numbers and rules dropped, runs of spaces and of blank lines cut, repeated lines dropped, trimmed."""
-    steps = ((r"\r\n?", "\n"), (r"(?m)^[ \t]*(?:[Pp]age[ \t]+)?\d+[ \t]*$", ""), (r"(?m)^[ \t]*[-_=*]{3,}[ \t]*$", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
-    return F.btrim(unique_lines(reduce(lambda x, s: F.regexp_replace(x, F.lit(s[0]), F.lit(s[1])), steps, c)), F.lit(" \n\t"))
+    steps = ((r"\r\n?", "\n"), (r"(?m)^[ \t]*(?:[Pp]age[ \t]+)?\d+[ \t]*$", ""), (r"(?m)^[ \t]*[-_=*]{3,}[ \t]*$", ""), (r"[ \t]+", " "))
+    lines = unique_lines(reduce(lambda x, s: F.regexp_replace(x, F.lit(s[0]), F.lit(s[1])), steps, c))
+    return F.btrim(F.regexp_replace(lines, r"\n{3,}", "\n\n"), F.lit(" \n\t"))
 
 
 def reversed_lines(c: Column) -> Column:

@@ -79,7 +79,11 @@ def contents_lines(rows: DataFrame, key: str = "doc_id", reach: int = 15, least:
 
 def case_sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sections of judgments: what stands between one marker and the next, sections of one type joined by blank lines; texts without a marker are a summary."""
-    marks = F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(f"(?im)^\\s*(?:{p})\\s*:?"), F.lit(0)), lambda m, t=t: F.struct(F.lit(t).alias("type"), m.alias("mark"))) for t, p in CASE_MARKERS.items()))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?im)^\\s*(?:{pattern})\\s*:?"), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("mark")))
+
+    marks = F.concat(*(of(t, p) for t, p in CASE_MARKERS.items()))
     found = documents.select(key, F.col(text).alias("_text"), F.explode_outer(F.array_distinct(marks)).alias("m")).select(key, "_text", "m.type", "m.mark")
     placed_ = found.withColumn("start", F.expr("locate(mark, _text)"))
     w = Window.partitionBy(key).orderBy("start", "type")
