@@ -27,14 +27,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daftar.llm import bloom
 from daftar.llm.common import partitions, text_slices, written
 from daftar.llm.components import components
 from daftar.llm.words import lower, mix, run_hashes, spans, word_hashes
 
 #: Lists up to SMALL are compared in full. A token is frequent from HOT prefixes on. FILTER_BITS bounds the filter of frequent tokens.
-SMALL, HOT, FILTER_BITS = 8, 12, 1 << 23
+SMALL, HOT, FILTER_BITS = 8, 12, 1 << 24
 _SLICE = 1 << 22
-_POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+_POSTING = np.dtype([("t", "<u4"), ("s", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +72,6 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _bits(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of a 64-bit block of the filter: block and mask."""
-    h = mix(tokens + np.uint64(0x632BE59BD9B4E019))
-    block = (h % np.uint64(FILTER_BITS // 64)).astype(np.int64)
-    return block, (np.uint64(1) << (h >> np.uint64(40) & np.uint64(63))) | (np.uint64(1) << (h >> np.uint64(50) & np.uint64(63))) | (np.uint64(1) << (h >> np.uint64(58)))
-
-
 def _prefix(tokens: np.ndarray, first: np.ndarray, percent: int, filled: np.ndarray | None, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, token, place) of the prefixes of the given rows in the global order."""
     n = np.diff(first)
@@ -87,8 +81,7 @@ def _prefix(tokens: np.ndarray, first: np.ndarray, percent: int, filled: np.ndar
     at = some[owner]
     tokens, owner = tokens[at], owner[at]
     if filled is not None:
-        block, mask = _bits(tokens)
-        often = filled[block] & mask == mask
+        often = bloom.maybe(filled, tokens >> np.uint64(32))
         order = np.lexsort((tokens, often, owner))
         tokens, owner = tokens[order], owner[order]
     begin = np.searchsorted(owner, np.arange(len(n)))
@@ -122,7 +115,7 @@ def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(s), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n", "s", "bucket", "blob"])
                 t = _prefix(tokens, first, percent, None, np.unique(s, return_index=True)[1])[1]
                 t, count = np.unique(t, return_counts=True)
-                dealt = [(b, _pack(t[i], count[i].astype("<u4"))) for b, i in _dealt(t, buckets)]
+                dealt = [(b, _pack((t[i] >> np.uint64(32)).astype("<u4"), np.minimum(count[i], 255).astype("<u1"))) for b, i in _dealt(t, buckets)]  # half a hash will do, as order only
                 k = len(dealt)
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([b for b, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["doc_id", "n", "s", "bucket", "blob"])
 
@@ -134,16 +127,12 @@ def _frequent(counts: DataFrame) -> np.ndarray:
 
     def count(table: pa.Table) -> pa.Table:
         raw = [zstandard.ZstdDecompressor().decompress(b) for b in table.column("blob").to_pylist()]
-        t = np.concatenate([np.frombuffer(r[: len(r) // 12 * 8], "<u8") for r in raw])
-        n = np.concatenate([np.frombuffer(r[len(r) // 12 * 8 :], "<u4") for r in raw])
+        t = np.concatenate([np.frombuffer(r[: len(r) // 5 * 4], "<u4") for r in raw])
+        n = np.concatenate([np.frombuffer(r[len(r) // 5 * 4 :], "<u1") for r in raw])
         t, inverse = np.unique(t, return_inverse=True)
-        block, mask = _bits(t[np.bincount(inverse, n) >= HOT])
-        return pa.table({"block": pa.array(block, pa.int64()), "mask": pa.array(mask.view(np.int64))})
+        return bloom.masks(t[np.bincount(inverse, n) >= HOT].astype(np.uint64), FILTER_BITS)
 
-    held = counts.groupBy("bucket").applyInArrow(count, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
-    filled = np.zeros(FILTER_BITS // 64, np.uint64)
-    filled[held.column("block").to_numpy()] = held.column("mask").to_numpy().view(np.uint64)
-    return filled
+    return bloom.gathered(counts.groupBy("bucket").applyInArrow(count, "block long, mask long"), FILTER_BITS)
 
 
 def _postings(docs: DataFrame, width: int, percent: int, buckets: int, filled: np.ndarray) -> DataFrame:
@@ -155,7 +144,7 @@ def _postings(docs: DataFrame, width: int, percent: int, buckets: int, filled: n
                 tokens, first = sets_of(data, offsets, width)
                 s, n = fingerprints(tokens, first), np.diff(first)
                 row, t, pos = _prefix(tokens, first, percent, shared.value, np.unique(s, return_index=True)[1])
-                dealt = [(b, _pack(t[i], s[row[i]], n[row[i]].astype("<i4"), pos[i].astype("<i4"))) for b, i in _dealt(t, buckets)]
+                dealt = [(b, _pack((t[i] >> np.uint64(32)).astype("<u4"), s[row[i]], n[row[i]].astype("<i4"), pos[i].astype("<i4"))) for b, i in _dealt(t, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["bucket", "blob"])
 
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
@@ -203,22 +192,32 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         found = np.unique(np.stack([e["s"][a[ok]], e["s"][b[ok]]], 1), axis=0)
         every = np.flatnonzero(inside)
         k, m = len(found), len(every)
-        return pa.table({"t": pa.array(np.r_[np.zeros(k, np.int64), e["t"][every].view(np.int64)], mask=np.r_[np.ones(k, bool), np.zeros(m, bool)]), "a": pa.array(np.r_[found[:, 0], e["s"][every]]), "b": pa.array(np.r_[found[:, 1], e["s"][leader[every]]]), "n": pa.array(np.r_[np.zeros(k, np.int32), e["n"][every]]), "pos": pa.array(np.r_[np.zeros(k, np.int32), e["pos"][every]])})
+        return pa.table({"t": pa.array(np.r_[np.zeros(k, np.int64), e["t"][every].astype(np.int64) << 20 | table.column("bucket")[0].as_py()], mask=np.r_[np.ones(k, bool), np.zeros(m, bool)]), "a": pa.array(np.r_[found[:, 0], e["s"][every]]), "b": pa.array(np.r_[found[:, 1], e["s"][leader[every]]]), "n": pa.array(np.r_[np.zeros(k, np.int32), e["n"][every]]), "pos": pa.array(np.r_[np.zeros(k, np.int32), e["pos"][every]])})
 
     return postings.groupBy("bucket").applyInArrow(lists, "t long, a long, b long, n int, pos int")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(s, tokens) of the given nodes (s, doc_id of one text of each), tokens as sorted packed 64-bit hashes."""
+    """(s, tokens) of the given nodes (s, doc_id of one text of each) and of few others, tokens as sorted packed hashes of 48 bits. Texts stay where they are read: a filter of the ids picks them."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.of_column(nodes, "doc_id"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in text_slices(batch, "text", _SLICE):
+            some = batch.filter(pa.array(bloom.maybe(shared.value, batch.column("doc_id").to_numpy())))
+            for _, data, offsets in text_slices(some, "text", _SLICE):
                 tokens, first = sets_of(data, offsets, width)
+                packed = (tokens >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 at = first.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(tokens, first)), pa.array([tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["s", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(tokens, first)), pa.array([packed[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["s", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "s long, tokens binary")
+
 
-    return docs.select("doc_id", "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(run, "s long, tokens binary")
+def _unpacked(tokens: memoryview) -> np.ndarray:
+    raw = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,7 +227,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 out.append((len(x), len(y), int(np.count_nonzero(y[at] == x)) if len(y) else 0))
@@ -237,7 +236,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     x = sets.select(F.col("s").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("s").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
+    return pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
 
 
 def _least(n: Column, m: Column, percent: int) -> Column:
@@ -257,8 +256,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     entries = found.where("t is not null").select("t", F.col("a").alias("s"), F.col("b").alias("leader"), "n", "pos")
     classes = rows.where("doc_id is not null and n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.select(F.col("a").alias("s")).union(first.select("b")).union(entries.select("s")).distinct()
-    sets = written(_sets(known, wanted.join(classes, "s"), width).join(wanted, "s", "left_semi").dropDuplicates(["s"]))
-    measured = written(_overlaps(first, sets))
+    sets = written(_sets(known, wanted.join(classes, "s"), width))
+    measured = written(_overlaps(first, sets).distinct())
     similar = F.col("overlap") >= _least(F.col("n_a"), F.col("n_b"), percent)
     links = measured.where(similar).select("a", "b")
     roots = components(links)

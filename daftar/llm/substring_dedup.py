@@ -7,7 +7,7 @@ difference of two members of COVER. Anchors that two documents share extend to t
 
 A text that equals, word by word, one with a smaller id is settled by a hash of the whole, so groups of copies cost one entry each.
 
-Steps: (1) a scan sends anchors to buckets (see matching); (2) documents meet their shared anchors: untouched ones are done, the
+Steps: (1) a scan sends anchors to buckets (see matching); (2) documents that a Bloom filter of ids picks meet their shared anchors: untouched ones are done, the
 others send their windows to buckets and are written with them to the shared folder; (3) these documents meet their
 marked windows.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daftar.llm import matching
+from daftar.llm import bloom, matching
 from daftar.llm.common import partitions, text_slices, written
 from daftar.llm.words import run_hashes, spans, word_hashes
 
@@ -86,9 +86,23 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     buckets = partitions(docs.sparkSession)
-    near = matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("_doc"), "places")
-    met = docs.withColumn("_f", F.xxhash64("text")).join(near, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").withColumnRenamed("places", "_places")
-    names = docs.columns
+    near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("_doc"), F.col("places").alias("_places")))
+    some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "_doc"))
+
+    def picked(hit: bool):
+        """The documents that may have shared anchors, or those that surely have none: so only the former move to meet theirs."""
+
+        def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                maybe = bloom.maybe(some_near.value, pc.fill_null(ids, 0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(maybe if hit else ~maybe))
+
+        return pick
+
+    marked = docs.withColumn("_f", F.xxhash64("text"))
+    alone = marked.mapInArrow(picked(False), marked.schema).withColumn("_places", F.lit(None).cast("binary"))
+    met = marked.mapInArrow(picked(True), marked.schema).join(near, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     kept = [f for f in docs.schema.fields if not digest or f.name != "text"]
     result = [*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *([T.StructField("kept_sha256", T.StringType())] if digest else [])]
 
@@ -136,7 +150,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 yield _staged(kinds, [pa.array([2] * n, pa.int32()), *finish(some, some.column("text").to_pylist(), sizes[left], np.zeros(n, np.int64), [None] * n), some.column("text"), some.column("_f"), None, None], n)
 
     staged = T.StructType([T.StructField("_kind", T.IntegerType()), *result, T.StructField("_text", T.StringType()), T.StructField("_f", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-    stage = written(met.mapInArrow(sort_out, staged))
+    stage = written(alone.mapInArrow(sort_out, staged).union(met.mapInArrow(sort_out, staged)))
     marks = matching.hits(stage.where("_kind = 1").select("bucket", "blob"), buckets).select(F.col("doc_id").alias("_doc"), F.col("f").alias("_mark"), F.col("places").alias("_places"))
     open_rows = stage.where("_kind = 2").join(marks, (F.col("doc_id") == F.col("_doc")) & (F.col("_f") == F.col("_mark")), "left").drop("_doc", "_mark", "_kind", "bucket", "blob")
 
