@@ -37,6 +37,15 @@ _CHUNK_BITS = 10
 _MAX_PIECES, _MAX_CHUNKS = 600_000, 20_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of every byte in byte-level vocabularies: itself if printable, else the next character from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -71,9 +80,15 @@ class ChunkEncoder:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces.difference(self.pieces))
-        texts = [p.decode() for p in new]
-        for p, t, e in zip(new, texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for p in pieces.difference(self.pieces):
+            t = p.decode()
+            if (t[1:] if t[0] == " " else t).isalpha():  # letters after a space or none are one pre-token, which the library's model takes as it is
+                self.pieces[p] = pack([x.id for x in tokenize(p.decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                rest.append(t)
+        for t, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            p = t.encode()
             self.pieces[p] = None if not t.isascii() and _ODD_SPACE.search(t) else pack(e.ids)
 
     @staticmethod
@@ -147,8 +162,7 @@ def encoder(path: str) -> ChunkEncoder:
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id; the printable stand-ins of a byte-level vocabulary are turned back."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    back = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+    back = {c: b for b, c in BYTE_LETTERS.items()}
     with open(path, encoding="utf-8") as f:
         d = json.load(f)
     out = [b""] * (1 + max([*d["model"]["vocab"].values(), *(a["id"] for a in d["added_tokens"])]))

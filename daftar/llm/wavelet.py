@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daftar.llm.bpe import BYTE_LETTERS
 from daftar.llm.common import partitions, text_slices, written
 from daftar.llm.words import lower
 
@@ -67,10 +69,17 @@ class WordEncoder:
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text, with the end id."""
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.pieces))
-        for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.pieces[p] = struct.pack(f"<{len(ids)}H", *ids)
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for p in set().union(*split).difference(self.pieces):
+            t = p.decode()
+            # Small letters alone are one pre-token: the library's model takes it as it is.
+            if t.isalpha() and (t.islower() if t.isascii() else t.lower() == t and unicodedata.is_normalized("NFC", t)):
+                ids = [x.id for x in tokenize(t if t.isascii() else p.decode("latin-1").translate(BYTE_LETTERS))]
+                self.pieces[p] = struct.pack(f"<{len(ids)}H", *ids)
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch([p.decode() for p in rest], add_special_tokens=False), strict=True):
+            self.pieces[p] = struct.pack(f"<{len(e.ids)}H", *e.ids)
         last, get = struct.pack("<H", end), self.pieces.__getitem__
         out = [b"".join(map(get, s)) + last for s in split]
         if len(self.pieces) > _MAX_PIECES:
