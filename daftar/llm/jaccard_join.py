@@ -8,7 +8,7 @@ block is skipped when the sizes, or what can still follow those places, rule out
 
 Answer-level skipping: in a long list all sets are first compared with one leader, the set in which the list's token comes first (the
 most typical one). What a set shares with its leader then answers for the others: sets already linked through it are not compared again, and the overlap of
-two others is bounded by their overlaps with the leader; only pairs that these bounds leave open are compared. So a group of near copies costs
+two others is bounded by their overlaps with the leader and by bitmaps of their differences from it; only pairs that these bounds leave open are compared. So a group of near copies costs
 about one comparison per set, and no link that joins different components is lost.
 
 Entries travel packed by token bucket (see matching): equal sets of one slice of texts send one entry.
@@ -34,7 +34,7 @@ from daftar.llm.words import lower, mix, run_hashes, spans, word_hashes
 
 #: Lists up to SMALL are compared in full. A token is frequent from HOT prefixes on. FILTER_BITS bounds the filter of frequent tokens.
 SMALL, HOT, FILTER_BITS = 8, 12, 1 << 24
-_SLICE = 1 << 22
+_SLICE = 1 << 21
 _POSTING = np.dtype([("t", "<u4"), ("s", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -220,23 +220,36 @@ def _unpacked(tokens: memoryview) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_BITS = [f"{sign}{i}" for sign in ("lack", "more") for i in range(4)]
+_MEASURED = ["a", "b", "n_a", "n_b", "overlap", *_BITS, "lack_extra", "more_extra"]
+
+
+def _bitmap(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """256 bits as four longs, one set for each token, and how many tokens have no bit of their own."""
+    flags = np.zeros(256, bool)
+    flags[(tokens & np.uint64(255)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view("<i8"), len(tokens) - int(np.count_nonzero(flags))
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with n_a, n_b and overlap."""
+    """pairs (a, b) with n_a, n_b, overlap, and bitmaps of what a lacks of b and has more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            out = np.zeros((batch.num_rows, len(_MEASURED) - 2), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                out.append((len(x), len(y), int(np.count_nonzero(y[at] == x)) if len(y) else 0))
-            n, m, k = (pa.array(v, pa.int64()) for v in zip(*out, strict=True)) if out else (pa.array([], pa.int64()),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), n, m, k], names=["a", "b", "n_a", "n_b", "overlap"])
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                hit = y[at] == x
+                common = np.zeros(len(y), bool)
+                common[at[hit]] = True
+                lack, more = _bitmap(y[~common]), _bitmap(x[~hit])
+                out[i] = [len(x), len(y), np.count_nonzero(hit), *lack[0], *more[0], lack[1], more[1]]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=_MEASURED)
 
     x = sets.select(F.col("s").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("s").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
+    return pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in _MEASURED))
 
 
 def _least(n: Column, m: Column, percent: int) -> Column:
@@ -257,24 +270,34 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = rows.where("doc_id is not null and n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.select(F.col("a").alias("s")).union(first.select("b")).union(entries.select("s")).distinct()
     sets = written(_sets(known, wanted.join(classes, "s"), width))
-    measured = written(_overlaps(first, sets).distinct())
+    measured = written(_overlaps(first, sets).dropDuplicates(["a", "b"]))
     similar = F.col("overlap") >= _least(F.col("n_a"), F.col("n_b"), percent)
     links = measured.where(similar).select("a", "b")
     roots = components(links)
     # What is left: in long lists, sets that the leader's component doesn't hold against sets of other components.
     named = entries.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     named = named.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("leader_root", F.coalesce("leader_root", "leader"))
-    shared = measured.select(F.col("a").alias("s"), F.col("b").alias("leader"), F.col("overlap").alias("with_leader")).distinct()
-    named = written(named.join(shared, ["s", "leader"], "left").withColumn("with_leader", F.when(F.col("s") == F.col("leader"), F.col("n").cast("long")).otherwise(F.col("with_leader"))))
+    shared = measured.select(F.col("a").alias("s"), F.col("b").alias("leader"), F.col("overlap").alias("with"), F.col("n_b").alias("n_leader"), *_BITS, "lack_extra", "more_extra")
+    own = F.col("s") == F.col("leader")
+    named = named.join(shared, ["s", "leader"], "left").withColumns({"with": F.when(own, F.col("n").cast("long")).otherwise(F.col("with")), "n_leader": F.when(own, F.col("n").cast("long")).otherwise(F.col("n_leader")), **{c: F.coalesce(c, F.when(own, F.lit(0).cast("long"))) for c in (*_BITS, "lack_extra", "more_extra")}})
+    named = written(named)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    strange = named.where("root <> leader_root").select("t", *(F.col(c).alias(f"{c}_x") for c in ("s", "root", "n", "pos", "with_leader")), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    others = named.select("t", *(F.col(c).alias(f"{c}_y") for c in ("s", "root", "n", "pos", "with_leader", "leader_root")), band.alias("band"))
+    sides = ("s", "root", "n", "pos", "with", "n_leader", *_BITS, "lack_extra", "more_extra")
+    strange = named.where("root <> leader_root").select("t", *(F.col(c).alias(f"{c}_x") for c in sides), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    others = named.select("t", *(F.col(c).alias(f"{c}_y") for c in (*sides, "leader_root")), band.alias("band"))
     least = _least(F.col("n_x"), F.col("n_y"), percent)
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= least
-    # Inside the leader's set they share at most the lesser overlap with it, outside at most the lesser rest.
-    bound = F.least("with_leader_x", "with_leader_y") + F.least(F.col("n_x") - F.col("with_leader_x"), F.col("n_y") - F.col("with_leader_y"))
+
+    def both(sign: str, size) -> Column:
+        """At most so many tokens that both lack of the leader, or have beside it."""
+        met = sum((F.bit_count(F.col(f"{sign}{i}_x").bitwiseAND(F.col(f"{sign}{i}_y"))) for i in range(4)), F.lit(0))
+        return F.least(met + F.least(f"{sign}_extra_x", f"{sign}_extra_y"), size("x"), size("y"))
+
+    lacking, beside = (lambda i: F.col(f"n_leader_{i}") - F.col(f"with_{i}")), (lambda i: F.col(f"n_{i}") - F.col(f"with_{i}"))
+    bound = F.col("n_leader_x") - lacking("x") - lacking("y") + both("lack", lacking) + both("more", beside)
+    open_ = F.col("with_x").isNull() | F.col("with_y").isNull() | (bound >= least)
     once = (F.col("root_y") == F.col("leader_root_y")) | (F.col("s_x") < F.col("s_y"))
-    second = strange.join(others, ["t", "band"]).where((F.col("root_x") != F.col("root_y")) & once & room & F.coalesce(bound >= least, F.lit(True))).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
+    second = strange.join(others, ["t", "band"]).where((F.col("root_x") != F.col("root_y")) & once & room & open_).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
     more = _overlaps(second, sets).where(similar).select("a", "b")
     roots = components(links.union(more))
     labels = classes.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
