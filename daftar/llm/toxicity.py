@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 
 from daftar.llm.common import text_slices
 
-WINDOW, LEVEL, DICTIONARY = 8, 10, 1 << 14
+#: MOST_BYTES, the bound of a dictionary, also sets the parameters of both compressors alike.
+WINDOW, LEVEL, DICTIONARY, MOST_BYTES = 8, 10, 1 << 14, 1 << 16
 MOST_TOXIC, MOST_ORDINARY = 2000, 4000
 CONTEXTS, RATIO = 10, 10.0
 _BATCH = 5  # every fifth labelled document calibrates
@@ -71,7 +72,7 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple
         usual = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()[-DICTIONARY + 1500 :]  # without its tables
     except zstandard.ZstdError:  # too little text to train on
         usual = b" ".join(samples)[-DICTIONARY:]
-    return b" ".join([*particular(toxic, ordinary), usual])[-(1 << 16) :], usual
+    return b" ".join([*particular(toxic, ordinary), usual])[-MOST_BYTES:], usual
 
 
 class Scorer:
@@ -84,7 +85,7 @@ class Scorer:
     @staticmethod
     def _compressor(content: bytes):
         made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(content), window_log=17, min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=MOST_BYTES, window_log=17, min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
         made.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress
 
