@@ -35,7 +35,7 @@ WINDOW, PERIOD = 50, 31
 #: A perfect difference set: its 30 differences modulo 31 are 1 to 30, each once.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-_SLICE = 1 << 22
+_SLICE = 1 << 21
 
 
 def anchor_places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +86,8 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     buckets = partitions(docs.sparkSession)
-    near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("_doc"), F.col("places").alias("_places")))
-    some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "_doc"))
+    near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places")))
+    some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "__doc"))
 
     def picked(hit: bool):
         """The documents that may have shared anchors, or those that surely have none: so only the former move to meet theirs."""
@@ -100,9 +100,9 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
 
         return pick
 
-    marked = docs.withColumn("_f", F.xxhash64("text"))
-    alone = marked.mapInArrow(picked(False), marked.schema).withColumn("_places", F.lit(None).cast("binary"))
-    met = marked.mapInArrow(picked(True), marked.schema).join(near, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    marked = docs.withColumn("__f", F.xxhash64("text"))
+    alone = marked.mapInArrow(picked(False), marked.schema).withColumn("__places", F.lit(None).cast("binary"))
+    met = marked.mapInArrow(picked(True), marked.schema).join(near, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     kept = [f for f in docs.schema.fields if not digest or f.name != "text"]
     result = [*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *([T.StructField("kept_sha256", T.StringType())] if digest else [])]
 
@@ -118,7 +118,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 starts, ends, first = spans(data, offsets)
                 sizes, whole = np.diff(first), data.tobytes()
                 shared, twin, touched = np.zeros(len(starts), bool), np.zeros(rows.num_rows, bool), np.zeros(rows.num_rows, bool)
-                for i, at in matching.places(rows.column("_places")):
+                for i, at in matching.places(rows.column("__places")):
                     twin[i] = (at < 0).any() and sizes[i] >= WINDOW
                     at = at[(at >= 0) & (at < sizes[i])]  # rows with one id have each other's places
                     if not twin[i]:
@@ -139,7 +139,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 if not len(windows):
                     continue
                 words = word_hashes(data, starts, ends)
-                ids, f = pc.fill_null(rows.column("doc_id"), 0).to_numpy(), rows.column("_f").to_numpy()
+                ids, f = pc.fill_null(rows.column("doc_id"), 0).to_numpy(), rows.column("__f").to_numpy()
                 g = (run_hashes(words, windows, WINDOW, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 numbers, blobs = matching.blocks(matching.entries(run_hashes(words, windows, WINDOW, 1), g, ids[owner], f[owner], (windows - first[owner]).astype(np.int32)), buckets)
                 n = len(numbers)
@@ -147,25 +147,25 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 left = np.flatnonzero(touched)
                 some = rows.take(pa.array(left))
                 n = len(left)
-                yield _staged(kinds, [pa.array([2] * n, pa.int32()), *finish(some, some.column("text").to_pylist(), sizes[left], np.zeros(n, np.int64), [None] * n), some.column("text"), some.column("_f"), None, None], n)
+                yield _staged(kinds, [pa.array([2] * n, pa.int32()), *finish(some, some.column("text").to_pylist(), sizes[left], np.zeros(n, np.int64), [None] * n), some.column("text"), some.column("__f"), None, None], n)
 
-    staged = T.StructType([T.StructField("_kind", T.IntegerType()), *result, T.StructField("_text", T.StringType()), T.StructField("_f", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    staged = T.StructType([T.StructField("__kind", T.IntegerType()), *result, T.StructField("__text", T.StringType()), T.StructField("__f", T.LongType()), T.StructField("__bucket", T.IntegerType()), T.StructField("__blob", T.BinaryType())])
     stage = written(alone.mapInArrow(sort_out, staged).union(met.mapInArrow(sort_out, staged)))
-    marks = matching.hits(stage.where("_kind = 1").select("bucket", "blob"), buckets).select(F.col("doc_id").alias("_doc"), F.col("f").alias("_mark"), F.col("places").alias("_places"))
-    open_rows = stage.where("_kind = 2").join(marks, (F.col("doc_id") == F.col("_doc")) & (F.col("_f") == F.col("_mark")), "left").drop("_doc", "_mark", "_kind", "bucket", "blob")
+    marks = matching.hits(stage.where("__kind = 1").select(F.col("__bucket").alias("bucket"), F.col("__blob").alias("blob")), buckets).select(F.col("doc_id").alias("__doc"), F.col("f").alias("__mark"), F.col("places").alias("__places"))
+    open_rows = stage.where("__kind = 2").join(marks, (F.col("doc_id") == F.col("__doc")) & (F.col("__f") == F.col("__mark")), "left").drop("__doc", "__mark", "__kind", "__bucket", "__blob")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, "_text", _SLICE):
+            for rows, data, offsets in text_slices(batch, "__text", _SLICE):
                 starts, ends, first = spans(data, offsets)
                 change = np.zeros(len(starts) + 1, np.int64)
-                for i, at in matching.places(rows.column("_places")):
+                for i, at in matching.places(rows.column("__places")):
                     np.add.at(change, first[i] + at, 1)
                     np.add.at(change, np.minimum(first[i] + at + WINDOW, first[i + 1]), -1)
                 keep = np.cumsum(change)[:-1] == 0 if len(starts) else np.zeros(0, bool)
                 total = np.concatenate([[0], np.cumsum(~keep)])
                 removed, whole = total[first[1:]] - total[first[:-1]], data.tobytes()
-                texts, original = [], rows.column("_text").to_pylist()
+                texts, original = [], rows.column("__text").to_pylist()
                 for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
                     k = np.flatnonzero(keep[a:b]) + a
                     texts.append(_text(whole, starts[k], ends[k]))
@@ -175,7 +175,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     out = T.StructType(result)
     columns = out.names
-    return stage.where("_kind = 0").select(*columns).unionByName(open_rows.mapInArrow(cut, out).select(*columns))
+    return stage.where("__kind = 0").select(*columns).unionByName(open_rows.mapInArrow(cut, out).select(*columns))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
