@@ -34,7 +34,7 @@ _ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u
 _BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, np.uint32)
 _CHUNK_BITS = 10
-_MAX_PIECES, _MAX_CHUNKS = 600_000, 20_000
+_MAX_PIECES, _MAX_CHUNKS = 300_000, 5_000
 
 
 def _byte_letters() -> dict[int, str]:

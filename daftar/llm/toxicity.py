@@ -20,9 +20,9 @@ rows are kept one for one.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ from daftar.llm.common import text_slices
 WINDOW, LEVEL, DICTIONARY, MOST_BYTES = 8, 10, 1 << 14, 1 << 16
 MOST_TOXIC, MOST_ORDINARY = 2000, 4000
 CONTEXTS, RATIO = 10, 10.0
+#: Windows that the ordinary dictionary is trained on at most, a bound of the fit.
+SAMPLES = 60_000
 _BATCH = 5  # every fifth labelled document calibrates
 
 
@@ -53,21 +55,27 @@ def windows(words: list[bytes], n: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
 
 
-def particular(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words of toxic text, the most supported last."""
-    contexts: dict[bytes, set] = {}
-    for words in toxic:
-        for before, word, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
-            contexts.setdefault(word, set()).add((before, after))
-    usual = Counter(w for words in ordinary for w in set(words))
-    share = lambda n, of: (n + 0.5) / (of + 1)
-    hot = {w: len(c) for w, c in contexts.items() if len(c) >= CONTEXTS and share(len(c), len(toxic)) > RATIO * share(usual[w], len(ordinary))}
-    return sorted(hot, key=lambda w: (hot[w], w))
-
-
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+def particular(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Words of toxic texts, the most supported last. Words are numbers here, to spare the driver's memory."""
+    number: dict[bytes, int] = {}
+    coded = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in toxic]
+    none = np.full(1, -1)
+    word, before, after = (np.concatenate([none[:0], *(f(c) for c in coded)]) for f in (lambda c: c, lambda c: np.concatenate([none, c])[:-1], lambda c: np.concatenate([c, none])[1:]))
+    order = np.lexsort((after, before, word))
+    word, before, after = word[order], before[order], after[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])
+    contexts = np.bincount(word[new], minlength=len(number))
+    usual = np.zeros(len(number), np.int64)
+    for t in ordinary:
+        usual[[number[w] for w in set(words_of(t)) if w in number]] += 1
+    hot = (contexts >= CONTEXTS) & ((contexts + 0.5) / (len(toxic) + 1) > RATIO * (usual + 0.5) / (len(ordinary) + 1))
+    return sorted((w for w, i in number.items() if hot[i]), key=lambda w: (contexts[number[w]], w))
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """Contents for toxic and for ordinary text."""
-    samples = [w for words in ordinary for w in windows(words, 2 * WINDOW)][:60_000]
+    samples = list(islice((w for t in ordinary for w in windows(words_of(t), 2 * WINDOW)), SAMPLES))
     try:
         usual = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()[-DICTIONARY + 1500 :]  # without its tables
     except zstandard.ZstdError:  # too little text to train on
@@ -122,7 +130,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, list[f
     if not toxic or not ordinary:
         share = len(toxic) / (len(toxic) + len(ordinary)) if toxic or ordinary else 0.0
         return b"", b"", [math.log((share + 1e-12) / (1 - share + 1e-12)), 0.0, 0.0, 0.0, 0.0]
-    learn = [[words_of(t) for i, t in enumerate(ts) if len(ts) < _BATCH or i % _BATCH] for ts in (toxic, ordinary)]
+    learn = [[t for i, t in enumerate(ts) if len(ts) < _BATCH or i % _BATCH] for ts in (toxic, ordinary)]
     rest = [[t for i, t in enumerate(ts) if len(ts) < _BATCH or not i % _BATCH] for ts in (toxic, ordinary)]
     a, b = dictionaries(*learn)
     if not b:
