@@ -7,7 +7,7 @@ Index-level skipping: an entry carries its place in its set; a list is read in b
 block is skipped when the sizes, or what can still follow those places, rule out the needed overlap.
 
 Answer-level skipping: in a long list all sets are first compared with one leader, the set in which the list's token comes first (the
-most typical one). What a set shares with its leader then answers for the others: sets already linked through it are not compared again, and the overlap of
+most typical one); lists with one leader are one group. What a set shares with its leader then answers for the others: sets already linked through it are not compared again, and the overlap of
 two others is bounded by their overlaps with the leader and by bitmaps of their differences from it; only pairs that these bounds leave open are compared. So a group of near copies costs
 about one comparison per set, and no link that joins different components is lost.
 
@@ -167,7 +167,7 @@ def fits(n, m, i, j, percent: int):
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) to compare, b the leader of a long list; and with t the entries (a, n, pos) of long lists and their leader b."""
+    """Pairs (a, b) to compare, b the leader in a long list; and with n the members a of long lists, their size n and the list's leader b."""
 
     def lists(table: pa.Table) -> pa.Table:
         e = np.concatenate([_unpack(b) for b in table.column("blob").to_pylist()])
@@ -188,13 +188,14 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         member = np.flatnonzero(inside & (np.arange(len(e)) != leader))
         pairs.append((member, leader[member]))
         a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        ok = fits(e["n"][a].astype(np.int64), e["n"][b].astype(np.int64), e["pos"][a], e["pos"][b], percent)
+        ok = inside[a] | fits(e["n"][a].astype(np.int64), e["n"][b].astype(np.int64), e["pos"][a], e["pos"][b], percent)
         found = np.unique(np.stack([e["s"][a[ok]], e["s"][b[ok]]], 1), axis=0)
         every = np.flatnonzero(inside)
-        k, m = len(found), len(every)
-        return pa.table({"t": pa.array(np.r_[np.zeros(k, np.int64), e["t"][every].astype(np.int64) << 20 | table.column("bucket")[0].as_py()], mask=np.r_[np.ones(k, bool), np.zeros(m, bool)]), "a": pa.array(np.r_[found[:, 0], e["s"][every]]), "b": pa.array(np.r_[found[:, 1], e["s"][leader[every]]]), "n": pa.array(np.r_[np.zeros(k, np.int32), e["n"][every]]), "pos": pa.array(np.r_[np.zeros(k, np.int32), e["pos"][every]])})
+        group = np.unique(np.stack([e["s"][every], e["s"][leader[every]], e["n"][every].astype(np.int64)], 1), axis=0)
+        k = len(found)
+        return pa.table({"a": pa.array(np.r_[found[:, 0], group[:, 0]]), "b": pa.array(np.r_[found[:, 1], group[:, 1]]), "n": pa.array(np.r_[np.zeros(k, np.int64), group[:, 2]], mask=np.r_[np.ones(k, bool), np.zeros(len(group), bool)])})
 
-    return postings.groupBy("bucket").applyInArrow(lists, "t long, a long, b long, n int, pos int")
+    return postings.groupBy("bucket").applyInArrow(lists, "a long, b long, n long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -220,14 +221,15 @@ def _unpacked(tokens: memoryview) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_BITS = [f"{sign}{i}" for sign in ("lack", "more") for i in range(4)]
+_LONGS = 16
+_BITS = [f"{sign}{i}" for sign in ("lack", "more") for i in range(_LONGS)]
 _MEASURED = ["a", "b", "n_a", "n_b", "overlap", *_BITS, "lack_extra", "more_extra"]
 
 
 def _bitmap(tokens: np.ndarray) -> tuple[np.ndarray, int]:
-    """256 bits as four longs, one set for each token, and how many tokens have no bit of their own."""
-    flags = np.zeros(256, bool)
-    flags[(tokens & np.uint64(255)).astype(np.int64)] = True
+    """Bits in _LONGS longs, one set for each token, and how many tokens have no bit of their own."""
+    flags = np.zeros(64 * _LONGS, bool)
+    flags[(tokens % np.uint64(64 * _LONGS)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view("<i8"), len(tokens) - int(np.count_nonzero(flags))
 
 
@@ -265,8 +267,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     filled = _frequent(scanned.where("bucket is not null").select("bucket", "blob"))
     known = docs.where("doc_id is not null")
     found = written(_candidates(_postings(known, width, percent, buckets, filled), percent))
-    first = found.where("t is null").select("a", "b").distinct()
-    entries = found.where("t is not null").select("t", F.col("a").alias("s"), F.col("b").alias("leader"), "n", "pos")
+    first = found.where("n is null").select("a", "b").distinct()
+    entries = found.where("n is not null").select(F.col("a").alias("s"), F.col("b").alias("leader"), "n").distinct()
     classes = rows.where("doc_id is not null and n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.select(F.col("a").alias("s")).union(first.select("b")).union(entries.select("s")).distinct()
     sets = written(_sets(known, wanted.join(classes, "s"), width))
@@ -274,30 +276,29 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     similar = F.col("overlap") >= _least(F.col("n_a"), F.col("n_b"), percent)
     links = measured.where(similar).select("a", "b")
     roots = components(links)
-    # What is left: in long lists, sets that the leader's component doesn't hold against sets of other components.
+    # What is left: of the sets that meet a leader, those that its component doesn't hold against those of other components.
     named = entries.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     named = named.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("leader_root", F.coalesce("leader_root", "leader"))
     shared = measured.select(F.col("a").alias("s"), F.col("b").alias("leader"), F.col("overlap").alias("with"), F.col("n_b").alias("n_leader"), *_BITS, "lack_extra", "more_extra")
     own = F.col("s") == F.col("leader")
-    named = named.join(shared, ["s", "leader"], "left").withColumns({"with": F.when(own, F.col("n").cast("long")).otherwise(F.col("with")), "n_leader": F.when(own, F.col("n").cast("long")).otherwise(F.col("n_leader")), **{c: F.coalesce(c, F.when(own, F.lit(0).cast("long"))) for c in (*_BITS, "lack_extra", "more_extra")}})
+    named = named.join(shared, ["s", "leader"], "left").withColumns({"with": F.when(own, F.col("n")).otherwise(F.col("with")), "n_leader": F.when(own, F.col("n")).otherwise(F.col("n_leader")), **{c: F.coalesce(c, F.when(own, F.lit(0).cast("long"))) for c in (*_BITS, "lack_extra", "more_extra")}})
     named = written(named)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    sides = ("s", "root", "n", "pos", "with", "n_leader", *_BITS, "lack_extra", "more_extra")
-    strange = named.where("root <> leader_root").select("t", *(F.col(c).alias(f"{c}_x") for c in sides), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    others = named.select("t", *(F.col(c).alias(f"{c}_y") for c in (*sides, "leader_root")), band.alias("band"))
+    sides = ("s", "root", "n", "with", "n_leader", *_BITS, "lack_extra", "more_extra")
+    strange = named.where("root <> leader_root").select("leader", *(F.col(c).alias(f"{c}_x") for c in sides), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    others = named.select("leader", *(F.col(c).alias(f"{c}_y") for c in (*sides, "leader_root")), band.alias("band"))
     least = _least(F.col("n_x"), F.col("n_y"), percent)
-    room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= least
+    alike = F.least("n_x", "n_y") >= least
 
     def both(sign: str, size) -> Column:
         """At most so many tokens that both lack of the leader, or have beside it."""
-        met = sum((F.bit_count(F.col(f"{sign}{i}_x").bitwiseAND(F.col(f"{sign}{i}_y"))) for i in range(4)), F.lit(0))
+        met = sum((F.bit_count(F.col(f"{sign}{i}_x").bitwiseAND(F.col(f"{sign}{i}_y"))) for i in range(_LONGS)), F.lit(0))
         return F.least(met + F.least(f"{sign}_extra_x", f"{sign}_extra_y"), size("x"), size("y"))
 
     lacking, beside = (lambda i: F.col(f"n_leader_{i}") - F.col(f"with_{i}")), (lambda i: F.col(f"n_{i}") - F.col(f"with_{i}"))
     bound = F.col("n_leader_x") - lacking("x") - lacking("y") + both("lack", lacking) + both("more", beside)
-    open_ = F.col("with_x").isNull() | F.col("with_y").isNull() | (bound >= least)
     once = (F.col("root_y") == F.col("leader_root_y")) | (F.col("s_x") < F.col("s_y"))
-    second = strange.join(others, ["t", "band"]).where((F.col("root_x") != F.col("root_y")) & once & room & open_).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
+    second = strange.join(others, ["leader", "band"]).where((F.col("root_x") != F.col("root_y")) & once & alike & (bound >= least)).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
     more = _overlaps(second, sets).where(similar).select("a", "b")
     roots = components(links.union(more))
     labels = classes.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
