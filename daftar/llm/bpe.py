@@ -27,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from daftar.llm.common import text_slices
+from daftar.llm.common import small_batches, text_slices
 
 _PIECE = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, np.uint32)
 _CHUNK_BITS = 10
-_MAX_PIECES, _MAX_CHUNKS = 300_000, 5_000
+_MAX_PIECES, _MAX_CHUNKS = 150_000, 2_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([rows.column("__id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([decode(tokenizer_path, x) for x in ids], pa.string())], names=[id_col, "ids", "n_tokens", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long, decoded string")
+    return small_batches(docs).select(docs[id_col].alias("__id"), docs[text_col].alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -206,4 +206,4 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 back = [hashlib.sha256(decode(tokenizer_path, x).encode()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(hashed), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", docs["text"].alias("__text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", docs["text"].alias("__text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one slice of an Arrow batch holds (one longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +34,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's bound of an Arrow batch is lowered to BATCH_BYTES, as executors hold several batches of long texts beside their heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

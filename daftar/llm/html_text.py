@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from daftar.llm.common import small_batches
+
 #: Elements by what they are to the text.
 SKIPPED = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg canvas object video audio math dialog menu".split())
 RAW = frozenset(("script", "style"))
@@ -164,4 +166,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h) for h in rows.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

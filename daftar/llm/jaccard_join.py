@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm import bloom
-from daftar.llm.common import partitions, text_slices, written
+from daftar.llm.common import partitions, small_batches, text_slices, written
 from daftar.llm.components import components
 from daftar.llm.words import lower, mix, run_hashes, spans, word_hashes
 
 #: Lists up to SMALL are compared in full. A token is frequent from HOT prefixes on. FILTER_BITS bounds the filter of frequent tokens.
 SMALL, HOT, FILTER_BITS = 8, 12, 1 << 24
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 _POSTING = np.dtype([("t", "<u4"), ("s", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -260,7 +260,7 @@ def _least(n: Column, m: Column, percent: int) -> Column:
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. width: words of a shingle; percent: the least Jaccard similarity of a link."""
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     buckets = partitions(docs.sparkSession)
     scanned = written(_scan(docs, width, percent, buckets))
     rows = scanned.where("bucket is null").select("doc_id", "n", "s")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daftar.llm.common import text_slices, written
+from daftar.llm.common import small_batches, text_slices, written
 from daftar.llm.words import spans
 
 WEIGHTS, BUDGET, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
@@ -44,7 +44,7 @@ def sizes(docs: DataFrame) -> DataFrame:
                 first = spans(data, offsets)[2]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("source"), rows.column("h"), pa.array(np.diff(first), pa.int64())], names=["doc_id", "source", "h", "size"])
 
-    return docs.select("doc_id", "source", row_hash().alias("h"), "text").mapInArrow(run, "doc_id long, source string, h long, size long")
+    return small_batches(docs).select("doc_id", "source", row_hash().alias("h"), "text").mapInArrow(run, "doc_id long, source string, h long, size long")
 
 
 def targets(sized: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daftar.llm import bloom, matching
-from daftar.llm.common import partitions, text_slices, written
+from daftar.llm.common import partitions, small_batches, text_slices, written
 from daftar.llm.words import run_hashes, spans, word_hashes
 
 WINDOW, PERIOD = 50, 31
 #: A perfect difference set: its 30 differences modulo 31 are 1 to 30, each once.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 
 
 def anchor_places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     digest: instead of text, kept_sha256 of the kept words joined by one space. Columns n_words, n_removed, kept_sha256 of the input are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    docs = small_batches(docs).drop("n_words", "n_removed", "kept_sha256")
     buckets = partitions(docs.sparkSession)
     near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places")))
     some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "__doc"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daftar.llm.common import text_slices
+from daftar.llm.common import small_batches, text_slices
 
 #: MOST_BYTES, the bound of a dictionary, also sets the parameters of both compressors alike.
 WINDOW, LEVEL, DICTIONARY, MOST_BYTES = 8, 10, 1 << 14, 1 << 16
@@ -172,7 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out = [rows.column(c) for c in names] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(out, names=[*names, "score", "predicted"])
 
-    rest = docs.drop("score", "predicted")
+    rest = small_batches(docs).drop("score", "predicted")
     names = rest.columns
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 

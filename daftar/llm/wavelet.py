@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daftar.llm.bpe import BYTE_LETTERS
-from daftar.llm.common import partitions, text_slices, written
+from daftar.llm.common import partitions, small_batches, text_slices, written
 from daftar.llm.words import lower
 
 SHARD_TOKENS = 1 << 21
@@ -237,7 +237,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_to
             yield shard(part, number, ids, held)
 
     n = partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    dealt = small_batches(docs).select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     return written(dealt.mapInArrow(run, "part int, shard int, doc_ids array<bigint>, n_tokens long, blob binary"))
 
 
