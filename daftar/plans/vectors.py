@@ -38,4 +38,4 @@ def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of all benchmark items by hashed words."""
-    return table(spark, sf_dir, "benchmark").select("item_id", vectors.hashed_embedding(F.col("text"), 64).alias("embedding"))
+    return vectors.hashed_embeddings(table(spark, sf_dir, "benchmark"), "item_id", "text", 64)

@@ -93,3 +93,6 @@ def test_cosine(spark):
 def test_hashed_embedding(spark):
     got = one(spark, lambda c: vectors.hashed_embedding(c, 32), "some words here", "", None)
     assert abs(sum(x * x for x in got[0]) - 1) < 1e-9 and got[1] == [0.0] * 32
+    rows = spark.createDataFrame([(1, "some words here"), (2, ""), (3, None)], "k long, x string")
+    whole = {r.k: r.embedding for r in vectors.hashed_embeddings(rows, "k", "x", 32).collect()}
+    assert all(abs(a - b) < 1e-12 for i, v in enumerate(got, 1) for a, b in zip(v, whole[i], strict=True))
