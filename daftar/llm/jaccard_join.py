@@ -104,7 +104,9 @@ def _dealt(t: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """Per document (doc_id, n, s), and packed counts of tokens in prefixes by hash (bucket, blob)."""
+    """Per document its columns but text, n and s, and packed counts of tokens in prefixes by hash (bucket, blob)."""
+    named = [c for c in docs.columns if c != "text"]
+    columns = [*named, "n", "s", "bucket", "blob"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,14 +114,14 @@ def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 tokens, first = sets_of(data, offsets, width)
                 s, n = fingerprints(tokens, first), np.diff(first)
                 k = rows.num_rows
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(s), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n", "s", "bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in named), pa.array(n, pa.int64()), pa.array(s), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=columns)
                 t = _prefix(tokens, first, percent, None, np.unique(s, return_index=True)[1])[1]
                 t, count = np.unique(t, return_counts=True)
                 dealt = [(b, _pack((t[i] >> np.uint64(32)).astype("<u4"), np.minimum(count[i], 255).astype("<u1"))) for b, i in _dealt(t, buckets)]  # half a hash will do, as order only
                 k = len(dealt)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([b for b, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["doc_id", "n", "s", "bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in columns[:-2]), pa.array([b for b, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, bucket int, blob binary")
+    return docs.mapInArrow(run, "".join(f"{c} long, " for c in columns[:-2]) + "bucket int, blob binary")
 
 
 def _frequent(counts: DataFrame) -> np.ndarray:
@@ -258,12 +260,16 @@ def _least(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent) - F.lit(1e-9))
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id. width: words of a shingle; percent: the least Jaccard similarity of a link."""
-    docs = small_batches(docs).select("doc_id", "text")
+def join(docs: DataFrame, width: int = 5, percent: int = 80, text_hash: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id. width: words of a shingle; percent: the least Jaccard similarity of a link.
+
+    text_hash: one more column text_hash, xxhash64 of the text, by which rows with one id can be told apart.
+    """
+    own_hash = ["text_hash"] if text_hash else []
+    docs = small_batches(docs).select("doc_id", "text", *(F.xxhash64("text").alias(c) for c in own_hash))
     buckets = partitions(docs.sparkSession)
     scanned = written(_scan(docs, width, percent, buckets))
-    rows = scanned.where("bucket is null").select("doc_id", "n", "s")
+    rows = scanned.where("bucket is null").select("doc_id", *own_hash, "n", "s")
     filled = _frequent(scanned.where("bucket is not null").select("bucket", "blob"))
     known = docs.where("doc_id is not null")
     found = written(_candidates(_postings(known, width, percent, buckets, filled), percent))
@@ -305,4 +311,4 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     least_of = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least_of, "root").select("s", "component_id")
     out = rows.join(named, "s", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"), *own_hash)

@@ -74,7 +74,7 @@ def blocks(e: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
 
 
 def hits(rows: DataFrame, buckets: int) -> DataFrame:
-    """From rows (bucket, blob) the hits, one row per document: doc_id, f, places (packed 32-bit integers, no more than its words)."""
+    """From rows (bucket, blob) the hits, one row per document: doc_id, f, places (packed 32-bit integers, no more than its words), and whole: f of its whole-text entries (packed 64-bit integers), which count to its row of f = 0."""
 
     def judge(table: pa.Table) -> pa.Table:
         e = np.concatenate([unpack(b) for b in table.column("blob").to_pylist()])
@@ -88,18 +88,24 @@ def hits(rows: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"to": pa.array(numbers, pa.int32()), "blob": pa.array([pack(np.sort(e[edges[b] : edges[b + 1]], order=("doc", "pos"))) for b in numbers.tolist()], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
-        e = np.sort(np.concatenate([unpack(b) for b in table.column("blob").to_pylist()]), order=("doc", "f", "pos"))
+        e = np.concatenate([unpack(b) for b in table.column("blob").to_pylist()])
+        whole = e["pos"] < 0
+        of = e["f"].copy()
+        e["f"][whole] = 0
+        order = np.lexsort((e["pos"], e["f"], e["doc"]))
+        e, of, whole = e[order], of[order], whole[order]
         new = np.flatnonzero(np.r_[True, (e["doc"][1:] != e["doc"][:-1]) | (e["f"][1:] != e["f"][:-1])]) if len(e) else np.zeros(0, np.int64)
         edges = np.r_[new, len(e)].tolist()
+        middle = (new + np.add.reduceat(whole, new, dtype=np.int64)).tolist() if len(e) else []  # whole-text entries come first
         pos = np.ascontiguousarray(e["pos"])
-        return pa.table({"doc_id": pa.array(e["doc"][new], pa.int64()), "f": pa.array(e["f"][new], pa.int64()), "places": pa.array([pos[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
+        return pa.table({"doc_id": pa.array(e["doc"][new], pa.int64()), "f": pa.array(e["f"][new], pa.int64()), "places": pa.array([pos[a:b].tobytes() for a, b in zip(middle, edges[1:], strict=True)], pa.binary()), "whole": pa.array([np.unique(of[a:b]).tobytes() for a, b in zip(edges, middle, strict=False)], pa.binary())})
 
     found = rows.select("bucket", "blob").groupBy("bucket").applyInArrow(judge, "to int, blob binary")
-    return found.groupBy("to").applyInArrow(gather, "doc_id long, f long, places binary")
+    return found.groupBy("to").applyInArrow(gather, "doc_id long, f long, places binary, whole binary")
 
 
-def places(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, its places) of the rows that have any."""
+def places(column: pa.Array, kind: str = "<i4") -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its places) of the rows that have any; with kind <i8, its whole-text hashes."""
     for i, packed in enumerate(column.to_pylist()):
         if packed:
-            yield i, np.frombuffer(packed, "<i4").astype(np.int64)
+            yield i, np.frombuffer(packed, kind).astype(np.int64)

@@ -5,7 +5,8 @@ WINDOW words, wherever they begin, have a pair of such runs at the same distance
 difference of two members of COVER. Anchors that two documents share extend to the windows of WINDOW words around them, and only these windows are compared, by
 96-bit hashes: a window whose words also begin in a document with a smaller id marks its words.
 
-A text that equals, word by word, one with a smaller id is settled by a hash of the whole, so groups of copies cost one entry each.
+A text that equals, word by word, one with a smaller id is settled by a hash of the whole, so groups of copies cost one entry each. The entry carries a hash of
+its row's text, so that of the rows with one id only the equal ones are settled.
 
 Steps: (1) a scan sends anchors to buckets (see matching); (2) documents that a Bloom filter of ids picks meet their shared anchors: untouched ones are done, the
 others send their windows to buckets and are written with them to the shared folder; (3) these documents meet their
@@ -53,16 +54,16 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
             for rows, data, offsets in text_slices(batch, "text", _SLICE):
                 starts, ends, first = spans(data, offsets)
                 words = word_hashes(data, starts, ends)
-                ids = rows.column("doc_id").to_numpy()
+                ids, f = rows.column("doc_id").to_numpy(), rows.column("__f").to_numpy()
                 doc, pos = anchor_places(first)
                 sizes = np.diff(first)
                 long = np.flatnonzero(sizes >= WINDOW)
-                whole = matching.entries(run_hashes(words, first[long], sizes[long], 2), (sizes[long] | 1 << 31).astype(np.uint32), ids[long], 0, -1)
+                whole = matching.entries(run_hashes(words, first[long], sizes[long], 2), (sizes[long] | 1 << 31).astype(np.uint32), ids[long], f[long], -1)
                 part = matching.entries(run_hashes(words, first[doc] + pos, ANCHOR), 0, ids[doc], 0, pos)
                 numbers, blobs = matching.blocks(np.concatenate([part, whole]), buckets)
                 yield pa.RecordBatch.from_arrays([numbers, blobs], names=["bucket", "blob"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
+    return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("__f")).mapInArrow(run, "bucket int, blob binary")
 
 
 def windows_near(shared: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -86,7 +87,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     docs = small_batches(docs).drop("n_words", "n_removed", "kept_sha256")
     buckets = partitions(docs.sparkSession)
-    near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places")))
+    near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"), F.col("whole").alias("__whole")))
     some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "__doc"))
 
     def picked(hit: bool):
@@ -101,7 +102,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
         return pick
 
     marked = docs.withColumn("__f", F.xxhash64("text"))
-    alone = marked.mapInArrow(picked(False), marked.schema).withColumn("__places", F.lit(None).cast("binary"))
+    alone = marked.mapInArrow(picked(False), marked.schema).withColumns({c: F.lit(None).cast("binary") for c in ("__places", "__whole")})
     met = marked.mapInArrow(picked(True), marked.schema).join(near, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     kept = [f for f in docs.schema.fields if not digest or f.name != "text"]
     result = [*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *([T.StructField("kept_sha256", T.StringType())] if digest else [])]
@@ -118,9 +119,11 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 starts, ends, first = spans(data, offsets)
                 sizes, whole = np.diff(first), data.tobytes()
                 shared, twin, touched = np.zeros(len(starts), bool), np.zeros(rows.num_rows, bool), np.zeros(rows.num_rows, bool)
+                ids, f = pc.fill_null(rows.column("doc_id"), 0).to_numpy(), rows.column("__f").to_numpy()
+                for i, hashes in matching.places(rows.column("__whole"), "<i8"):
+                    twin[i] = f[i] in hashes
                 for i, at in matching.places(rows.column("__places")):
-                    twin[i] = (at < 0).any() and sizes[i] >= WINDOW
-                    at = at[(at >= 0) & (at < sizes[i])]  # rows with one id have each other's places
+                    at = at[at < sizes[i]]  # rows with one id have each other's places
                     if not twin[i]:
                         shared[first[i] + at] = True
                 windows = windows_near(shared, first)
@@ -139,7 +142,6 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 if not len(windows):
                     continue
                 words = word_hashes(data, starts, ends)
-                ids, f = pc.fill_null(rows.column("doc_id"), 0).to_numpy(), rows.column("__f").to_numpy()
                 g = (run_hashes(words, windows, WINDOW, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 numbers, blobs = matching.blocks(matching.entries(run_hashes(words, windows, WINDOW, 1), g, ids[owner], f[owner], (windows - first[owner]).astype(np.int32)), buckets)
                 n = len(numbers)

@@ -19,5 +19,17 @@ def test_stages(spark, sf):
     assert counts[0] >= counts[1] >= counts[2] == counts[3] and counts[4] == counts[5] > 0
 
 
+def test_rows_of_one_id(spark, sf):
+    """A near copy under an id doesn't take the id's other rows with it."""
+    a, b = " ".join(f"a{i}" for i in range(70)), " ".join(f"b{i}" for i in range(65))
+    rows = [(1, a), (5, a), (5, b), (5, a + " more"), (5, None), (6, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.one_of_each_group(spark, docs, sf)
+    want = [(1, a), (5, b), (5, None), (None, a)]
+    assert kept.columns == list(p.COLUMNS) and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in kept.collect())
+    cut = p.without_repeated_passages(spark, docs, sf).where(F.col("doc_id") == 5).collect()
+    assert sorted(r.text or "" for r in cut) == ["", "", b, "more"]
+
+
 def test_names():
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]

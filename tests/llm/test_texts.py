@@ -125,6 +125,18 @@ def test_substring_dedup(docs, rows):
     assert texts == brute_removed(rows)
 
 
+def test_substring_dedup_rows_of_one_id(spark):
+    """A copy under an id doesn't take the id's other rows with it, whatever order and partition they come in."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c = prose(70), prose(65), prose(90)
+    rows = [(1, a), (5, a), (5, b), (5, "  " + a), (5, None), (5, a[:20]), (5, c + " " + a), (6, b), (6, c), (7, prose(60)), (None, b)]
+    for parts in (1, 4):
+        got = substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), digest=True).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removed(rows)
+    assert ("5", 65, 0, hashlib.sha256(b.encode()).hexdigest()) in brute_removed(rows)
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(substring_dedup.PERIOD))
 
