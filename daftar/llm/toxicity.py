@@ -10,7 +10,8 @@ Particular to toxic text are words that stand there in many different contexts (
 ordinary documents.
 
 The dictionaries and the calibration are fitted on a bounded sample: at most MOST_TOXIC toxic and MOST_ORDINARY ordinary documents, those whose ids
-hash lowest; every document is scored over its whole text.
+hash lowest, and at most SAMPLES windows of the ordinary ones, of which each document has an equal share, spread over its whole text; every document is
+scored over its whole text.
 
 Defined results: null and empty texts get the score of a document without windows; a document with several labels counts as toxic if
 any is; null ids and null labels are not learned from; without labels of both kinds every score is the share of toxic labels (0 where there are none);
@@ -22,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from daftar.llm.common import small_batches, text_slices
 WINDOW, LEVEL, DICTIONARY, MOST_BYTES = 8, 10, 1 << 14, 1 << 16
 MOST_TOXIC, MOST_ORDINARY = 2000, 4000
 CONTEXTS, RATIO = 10, 10.0
-#: Windows that the ordinary dictionary is trained on at most, a bound of the fit.
+#: Windows that the ordinary dictionary is trained on at most, a bound of the fit; see shares.
 SAMPLES = 60_000
 _BATCH = 5  # every fifth labelled document calibrates
 
@@ -73,9 +73,29 @@ def particular(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return sorted((w for w, i in number.items() if hot[i]), key=lambda w: (contexts[number[w]], w))
 
 
+def shares(counts: list[int], most: int) -> list[int]:
+    """How many of its windows each document gives, `most` in all: what short documents leave of an equal share goes to the longer ones."""
+    out, left = [0] * len(counts), most
+    order = sorted(range(len(counts)), key=lambda i: counts[i])
+    for k, i in enumerate(order):
+        out[i] = min(counts[i], left // (len(order) - k))
+        left -= out[i]
+    return out
+
+
+def sampled(texts: list[bytes], most: int, n: int) -> list[bytes]:
+    """At most `most` windows of n words: each text's share, at even distances."""
+    counts = [-(-len(words_of(t)) // n) for t in texts]
+    out = []
+    for t, count, share in zip(texts, counts, shares(counts, most), strict=True):
+        w = windows(words_of(t), n)
+        out += [w[k * count // share] for k in range(share)]
+    return out
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """Contents for toxic and for ordinary text."""
-    samples = list(islice((w for t in ordinary for w in windows(words_of(t), 2 * WINDOW)), SAMPLES))
+    samples = sampled(ordinary, SAMPLES, 2 * WINDOW)
     try:
         usual = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()[-DICTIONARY + 1500 :]  # without its tables
     except zstandard.ZstdError:  # too little text to train on

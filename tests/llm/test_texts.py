@@ -249,6 +249,19 @@ def test_toxicity_accuracy(spark):
     assert sum(r.predicted for r in hits) / len(hits) > 0.6
 
 
+def test_toxicity_sample_reaches_all_documents(monkeypatch):
+    """Long documents at the front don't fill the sample of the ordinary dictionary alone."""
+    texts = [" ".join(f"d{i}x{j}" for j in range(n)).encode() for i, n in enumerate([20000, 20000, 0, 3, 400, 400])]
+    monkeypatch.setattr(toxicity, "SAMPLES", 60)
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 2000, dict_type=toxicity.zstandard.DICT_TYPE_RAWCONTENT))
+    toxicity.dictionaries([b"bad"], texts)
+    found = [[w for w in seen if w.startswith(f"d{i}x".encode())] for i in range(len(texts))]
+    assert [len(f) for f in found] == [15, 15, 0, 1, 14, 15] and len(set(seen)) == 60
+    assert int(found[0][-1].split()[0].split(b"x")[1]) > 18000
+    assert toxicity.shares([5, 1, 2], 100) == [5, 1, 2] and toxicity.shares([9, 9, 9], 2) == [0, 1, 1] and toxicity.shares([], 5) == []
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
