@@ -9,7 +9,8 @@ headers and footers of the page, asides, forms, scripts, styles, and elements wh
 menu, sidebar, advert, notice, comments) is never content, and where a page declares an article or a main part,
 only lines inside compete.
 
-Defined results: null and empty html give an empty text; broken or unclosed markup is read as far as it goes; a page is one
+Defined results: null and empty html give an empty text; broken or unclosed markup is read to the end: unknown declarations are comments, and an
+article or main part that begins inside an element left open counts nevertheless; a page is one
 row and rows are kept one for one. A page is handled whole inside one task.
 """
 
@@ -31,8 +32,8 @@ RAW = frozenset(("script", "style"))
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SECTIONS = frozenset("article main section div td body".split())
-#: Closed by the start of another block: paragraphs and items need no end tag.
-LOOSE = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
+#: Closed by the start of another block: paragraphs, items and the head need no end tag.
+LOOSE = {"head": BLOCKS | SKIPPED - frozenset("script style noscript template head title".split()) | {"body"}, "p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 #: Words in class, id or role that declare an element no part of the article.
 OUTSIDE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond related recommended recommendations share sharing social pagination pager toolbar contentinfo complementary search skip".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -40,14 +41,20 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Reader(HTMLParser):
-    """Collects (text, characters, tags, section, inside article) per line."""
+    """Collects (text, tags, section, inside article, doubts) per line.
+
+    An element declared outside hides what it holds. An article or main part that begins in it leaves it in doubt: if its own end tag never
+    comes, it was left open and hides nothing of the article.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []
-        self.outside, self.section, self.inside = False, 0, False
-        self.sections = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.stack: list[tuple[str, int, int, tuple[int, ...], int, bool]] = []
+        #: The number of the element that hides this place (0: none), and the numbers of those in doubt.
+        self.outside, self.doubts, self.section, self.inside = 0, (), 0, False
+        self.sections = self.hiding = 0
+        self.closed: set[int] = set()
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -55,15 +62,26 @@ class _Reader(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.section, self.inside))
+                self.lines.append((text, self.tags, self.section, self.inside, self.doubts))
             self.text = []
             self.tags = 0
 
-    def _pop(self) -> None:
-        tag, self.outside, self.section, self.inside = self.stack.pop()
+    def _pop(self, ended: bool = False) -> None:
+        """ended: by its own end tag."""
+        tag, hides, self.outside, self.doubts, self.section, self.inside = self.stack.pop()
+        if hides and (ended or tag in LOOSE):
+            self.closed.add(hides)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Unknown and unclosed declarations are comments up to the next `>`."""
+        try:
+            end = super().parse_marked_section(i, report)
+        except AssertionError:
+            end = -1
+        return end if end >= 0 else self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS or tag in SKIPPED:
+        if tag in BLOCKS or tag in SKIPPED or tag == "body":
             self.flush()
             while self.stack and tag in LOOSE.get(self.stack[-1][0], ()):
                 self._pop()
@@ -72,10 +90,17 @@ class _Reader(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        self.stack.append((tag, self.outside, self.section, self.inside))
+        around = (self.outside, self.doubts, self.section, self.inside)
+        hides = 0
+        if tag in ("article", "main") and self.outside:
+            self.doubts, self.outside = (*self.doubts, self.outside), 0
         if not self.outside:
-            self.outside = tag in SKIPPED or tag == "header" and not self.inside or any(k in ("class", "id", "role") and v and not OUTSIDE.isdisjoint(w.lower() for w in _NAME.findall(v)) for k, v in attrs) and tag not in ("html", "body", "article", "main")
-            self.outside |= any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
+            outside = tag in SKIPPED or tag == "header" and not self.inside or any(k in ("class", "id", "role") and v and not OUTSIDE.isdisjoint(w.lower() for w in _NAME.findall(v)) for k, v in attrs) and tag not in ("html", "body", "article", "main")
+            outside |= any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
+            if outside:
+                self.hiding += 1
+                hides = self.outside = self.hiding
+        self.stack.append((tag, hides, *around))
         if tag in SECTIONS:
             self.sections += 1
             self.section = self.sections
@@ -89,13 +114,13 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in SKIPPED:
+        if tag in BLOCKS or tag in SKIPPED or tag in ("body", "html"):
             self.flush()
         self.tags += 1
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 while len(self.stack) > k:
-                    self._pop()
+                    self._pop(len(self.stack) == k + 1)
                 return
             if self.stack[k][0] in SECTIONS and tag not in SECTIONS and tag not in SKIPPED:
                 return  # a stray end tag doesn't close the section around it
@@ -135,13 +160,10 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     reader = _Reader()
-    try:
-        reader.feed(html)
-        reader.close()
-    except AssertionError:  # what the parser says to malformed declarations; what was read before counts
-        pass
+    reader.feed(html)
+    reader.close()
     reader.flush()
-    lines = reader.lines
+    lines = [x for x in reader.lines if reader.closed.isdisjoint(x[4])]
     if any(x[3] for x in lines):
         lines = [x for x in lines if x[3]]
     if not lines:

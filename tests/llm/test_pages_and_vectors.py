@@ -26,6 +26,20 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>One</p><![foo bar><p>Two</p><![ --><p>Three</p></article>", "One\nTwo\nThree"),
+    ("<article><p>One</p><![CDATA[ open > <p>Two</p></article>", "One\nTwo"),
+    ("<article><p>One</p><![CDATA[ <p>no</p> ]]><p>Two</p></article>", "One\nTwo"),
+    ("<body><nav><a>menu</a><article><p>One</p><aside>no</aside><p>Two</p></article><footer>f</footer></body>", "One\nTwo"),
+    ("<body><div class='ad'>buy<article><p>One</p></article></body>", "One"),
+    ("<main><div><div class='ad'>buy<article><p>One</p></article></main>", "One"),
+    ("<main><p>One</p><aside><article>teaser</article></aside><ul><li class='related'><article>teaser</article></ul></main>", "One"),
+    ("<html><head><title>t</title><body><article><p>One</p>Two</body></html>", "One\nTwo"),
+])
+def test_main_text_of_malformed_pages(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_content_region_without_markup():
     body = "".join(f"<p>{'A sentence of the story that is long enough to count. ' * 4}</p>" for _ in range(6))
     links = "".join(f"<a href='#'>L{i}</a> " for i in range(30))
