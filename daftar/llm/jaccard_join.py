@@ -9,7 +9,8 @@ block is skipped when the sizes, or what can still follow those places, rule out
 Answer-level skipping: in a long list all sets are first compared with one leader, the set in which the list's token comes first (the
 most typical one); lists with one leader are one group. What a set shares with its leader then answers for the others: sets already linked through it are not compared again, and the overlap of
 two others is bounded by their overlaps with the leader and by bitmaps of their differences from it; only pairs that these bounds leave open are compared. So a group of near copies costs
-about one comparison per set, and no link that joins different components is lost.
+about one comparison per set, and no link that joins different components is lost. The answer is components, not links: pairs inside
+a leader's component are not compared, so links and their number per document don't come out.
 
 Entries travel packed by token bucket (see matching): equal sets of one slice of texts send one entry.
 
