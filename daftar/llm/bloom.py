@@ -1,4 +1,4 @@
-"""Blocked Bloom filters of 64-bit values as numpy arrays: a fixed number of bits, whatever the input, so a filter can go to every task. An exact step follows each."""
+"""Blocked Bloom filters of 64-bit values as numpy arrays: of at most MOST_BITS, whatever the input, so a filter can go to every task. An exact step follows each."""
 
 from __future__ import annotations
 
@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from daftar.llm.words import mix
 
-BITS = 1 << 25
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def bits_for(n: int) -> int:
+    """16 to 32 bits a value, so that about one other value in 500 passes, up to MOST_BITS (32 MB); beyond, more pass."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
 
 
 def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -21,7 +26,7 @@ def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(bits // 64)).astype(np.int64), one << (h >> np.uint64(40) & low) | one << (h >> np.uint64(50) & low) | one << (h >> np.uint64(58))
 
 
-def masks(values: np.ndarray, bits: int = BITS) -> pa.Table:
+def masks(values: np.ndarray, bits: int) -> pa.Table:
     """Rows (block, mask) of some values, one per block."""
     block, mask = _places(values, bits)
     order = np.argsort(block, kind="stable")
@@ -31,7 +36,7 @@ def masks(values: np.ndarray, bits: int = BITS) -> pa.Table:
     return pa.table({"block": pa.array(block[first], pa.int64()), "mask": pa.array(held.view(np.int64), pa.int64())})
 
 
-def gathered(rows: DataFrame, bits: int = BITS) -> np.ndarray:
+def gathered(rows: DataFrame, bits: int) -> np.ndarray:
     """The filter from rows (block, mask): bits / 64 words at most reach the driver."""
     held = rows.groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
@@ -39,14 +44,16 @@ def gathered(rows: DataFrame, bits: int = BITS) -> np.ndarray:
     return words
 
 
-def of_column(rows: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """The filter of a long column."""
+def of_column(rows: DataFrame, column: str) -> np.ndarray:
+    """The filter of a long column, of a size that follows the number of rows."""
+    rows = rows.where(F.col(column).isNotNull()).select(column)
+    bits = bits_for(rows.count())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from masks(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits).to_batches()
 
-    return gathered(rows.where(F.col(column).isNotNull()).select(column).mapInArrow(run, "block long, mask long"), bits)
+    return gathered(rows.mapInArrow(run, "block long, mask long"), bits)
 
 
 def maybe(words: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -18,9 +18,11 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a local one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session makes one of its own; on a cluster it must be set, as a folder of one machine would lose data."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="daftar-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/daftar-{uuid.uuid4().hex}"
@@ -34,6 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written() tables that no DataFrame will read any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after the session's bound of an Arrow batch is lowered to BATCH_BYTES, as executors hold several batches of long texts beside their heap."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -44,6 +55,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """Into how many buckets what is gathered from docs is dealt: with the input's partitions, which are of bounded size, and no less than the shuffle's."""
+    return max(partitions(docs.sparkSession), docs.rdd.getNumPartitions())
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch into row ranges of about `limit` text bytes: (rows, UTF-8 bytes of all their texts, offsets). Null counts as empty."""
     texts = pc.fill_null(batch.column(column), "")

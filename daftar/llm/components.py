@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.llm.common import written
+from daftar.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        edges = written(_small_star(_large_star(edges)))
+        edges, last = written(_small_star(_large_star(edges))), edges
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm import bloom
-from daftar.llm.common import partitions, small_batches, text_slices, written
+from daftar.llm.common import buckets_for, discard, small_batches, text_slices, written
 from daftar.llm.components import components
 from daftar.llm.words import lower, mix, run_hashes, spans, word_hashes
 
@@ -49,8 +49,9 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     at = np.arange(len(words))
     full = at + width <= first[1:][doc]
     short = np.flatnonzero((sizes > 0) & (sizes < width))
-    tokens = np.concatenate([run_hashes(words, at[full], width), run_hashes(words, first[short], sizes[short])])
-    owner = np.concatenate([doc[full], short])
+    shorter = [(k, short[sizes[short] == k]) for k in range(1, width)]
+    tokens = np.concatenate([run_hashes(words, at[full], width), *(run_hashes(words, first[i], k) for k, i in shorter)])
+    owner = np.concatenate([doc[full], *(i for _, i in shorter)])
     order = np.lexsort((tokens, owner))
     tokens, owner = tokens[order], owner[order]
     if len(tokens):
@@ -252,6 +253,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out[i] = [len(x), len(y), np.count_nonzero(hit), *lack[0], *more[0], lack[1], more[1]]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=_MEASURED)
 
+    sets = sets.dropDuplicates(["s"])  # of equal sets that passed the filter one is enough
     x = sets.select(F.col("s").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("s").alias("b"), F.col("tokens").alias("y"))
     return pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in _MEASURED))
@@ -264,11 +266,11 @@ def _least(n: Column, m: Column, percent: int) -> Column:
 def join(docs: DataFrame, width: int = 5, percent: int = 80, text_hash: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. width: words of a shingle; percent: the least Jaccard similarity of a link.
 
-    text_hash: one more column text_hash, xxhash64 of the text, by which rows with one id can be told apart.
+    text_hash: two more columns: text_hash, xxhash64 of the text, by which rows with one id can be told apart, and component, a number that the rows of one component share (rows without one: null).
     """
     own_hash = ["text_hash"] if text_hash else []
     docs = small_batches(docs).select("doc_id", "text", *(F.xxhash64("text").alias(c) for c in own_hash))
-    buckets = partitions(docs.sparkSession)
+    buckets = buckets_for(docs)
     scanned = written(_scan(docs, width, percent, buckets))
     rows = scanned.where("bucket is null").select("doc_id", *own_hash, "n", "s")
     filled = _frequent(scanned.where("bucket is not null").select("bucket", "blob"))
@@ -279,7 +281,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text_hash: bool = F
     classes = rows.where("doc_id is not null and n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.select(F.col("a").alias("s")).union(first.select("b")).union(entries.select("s")).distinct()
     sets = written(_sets(known, wanted.join(classes, "s"), width))
-    measured = written(_overlaps(first, sets).dropDuplicates(["a", "b"]))
+    measured = written(_overlaps(first, sets))
     similar = F.col("overlap") >= _least(F.col("n_a"), F.col("n_b"), percent)
     links = measured.where(similar).select("a", "b")
     roots = components(links)
@@ -308,8 +310,10 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text_hash: bool = F
     second = strange.join(others, ["leader", "band"]).where((F.col("root_x") != F.col("root_y")) & once & alike & (bound >= least)).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
     more = _overlaps(second, sets).where(similar).select("a", "b")
     roots = components(links.union(more))
+    discard(found, sets, measured, named)
     labels = classes.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     least_of = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(least_of, "root").select("s", "component_id")
-    out = rows.join(named, "s", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"), *own_hash)
+    out = rows.join(labels.join(least_of, "root").select("s", "root", "component_id"), "s", "left")
+    has = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    own = [F.col(c) for c in own_hash] + [F.when(has, F.col("root")).alias("component") for _ in own_hash]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(has | (F.col("n") > 0), F.when(has, F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"), *own)

@@ -2,7 +2,7 @@
 
 Entries travel packed: a task sends one compressed block per bucket and slice of texts, not a row per entry. Within a slice equal keys of several documents are
 judged at once and only the smallest document's entries go on, so the bucket of a key that very many documents hold receives one
-document per slice of text, not one per document. The number of buckets follows the shuffle partitions.
+document per slice of text, not one per document. The number of buckets follows the input.
 """
 
 from __future__ import annotations

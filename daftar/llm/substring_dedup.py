@@ -5,7 +5,7 @@ WINDOW words, wherever they begin, have a pair of such runs at the same distance
 difference of two members of COVER. Anchors that two documents share extend to the windows of WINDOW words around them, and only these windows are compared, by
 96-bit hashes: a window whose words also begin in a document with a smaller id marks its words.
 
-A text that equals, word by word, one with a smaller id is settled by a hash of the whole, so groups of copies cost one entry each. The entry carries a hash of
+A text that equals, word by word, one with a smaller id is settled by a hash of the whole (95 bits of xxh3-128 over its bytes), so groups of copies cost one entry each. The entry carries a hash of
 its row's text, so that of the rows with one id only the equal ones are settled.
 
 Steps: (1) a scan sends anchors to buckets (see matching); (2) documents that a Bloom filter of ids picks meet their shared anchors: untouched ones are done, the
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daftar.llm import bloom, matching
-from daftar.llm.common import partitions, small_batches, text_slices, written
-from daftar.llm.words import run_hashes, spans, word_hashes
+from daftar.llm.common import buckets_for, discard, small_batches, text_slices, written
+from daftar.llm.words import run_hashes, spans, whole_hashes, word_hashes
 
 WINDOW, PERIOD = 50, 31
 #: A perfect difference set: its 30 differences modulo 31 are 1 to 30, each once.
@@ -58,7 +58,8 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 doc, pos = anchor_places(first)
                 sizes = np.diff(first)
                 long = np.flatnonzero(sizes >= WINDOW)
-                whole = matching.entries(run_hashes(words, first[long], sizes[long], 2), (sizes[long] | 1 << 31).astype(np.uint32), ids[long], f[long], -1)
+                low, high = whole_hashes(data.tobytes(), offsets.tolist(), long.tolist())
+                whole = matching.entries(low, (high & np.uint64(0x7FFFFFFF) | np.uint64(1 << 31)).astype(np.uint32), ids[long], f[long], -1)
                 part = matching.entries(run_hashes(words, first[doc] + pos, ANCHOR), 0, ids[doc], 0, pos)
                 numbers, blobs = matching.blocks(np.concatenate([part, whole]), buckets)
                 yield pa.RecordBatch.from_arrays([numbers, blobs], names=["bucket", "blob"])
@@ -86,7 +87,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     digest: instead of text, kept_sha256 of the kept words joined by one space. Columns n_words, n_removed, kept_sha256 of the input are replaced.
     """
     docs = small_batches(docs).drop("n_words", "n_removed", "kept_sha256")
-    buckets = partitions(docs.sparkSession)
+    buckets = buckets_for(docs)
     near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"), F.col("whole").alias("__whole")))
     some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "__doc"))
 
@@ -153,6 +154,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     staged = T.StructType([T.StructField("__kind", T.IntegerType()), *result, T.StructField("__text", T.StringType()), T.StructField("__f", T.LongType()), T.StructField("__bucket", T.IntegerType()), T.StructField("__blob", T.BinaryType())])
     stage = written(alone.mapInArrow(sort_out, staged).union(met.mapInArrow(sort_out, staged)))
+    discard(near)
     marks = matching.hits(stage.where("__kind = 1").select(F.col("__bucket").alias("bucket"), F.col("__blob").alias("blob")), buckets).select(F.col("doc_id").alias("__doc"), F.col("f").alias("__mark"), F.col("places").alias("__places"))
     open_rows = stage.where("__kind = 2").join(marks, (F.col("doc_id") == F.col("__doc")) & (F.col("__f") == F.col("__mark")), "left").drop("__doc", "__mark", "__kind", "__bucket", "__blob")
 

@@ -1,38 +1,21 @@
 """Words `[^\\x20\\x09-\\x0D]+` of whole batches of texts, and 64-bit hashes of words and of runs of words, as numpy arrays.
 
-A run's hash is a polynomial in the words' hashes modulo 2**64 with an odd base, so that
-every window of a text comes out of one running sum.
+A word's hash takes eight bytes at a time through a mixing step; a run's hash is a tree of mixing steps over its words' hashes, so that no pattern
+of letters or words makes two of them equal by construction. Different words or runs collide by chance alone, about once in 2**64 pairs.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+import xxhash
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTES = np.random.default_rng(20240229).integers(0, 2**64, 256, np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9)
-_BLOCK = 1 << 19
-
-
-@lru_cache(maxsize=8)
-def _table(base: int, bits: int) -> np.ndarray:
-    powers = np.empty(1 << bits, np.uint64)
-    powers[0] = 1
-    n, step = 1, np.uint64(base)
-    with np.errstate(over="ignore"):
-        for _ in range(bits):
-            powers[n : 2 * n] = powers[:n] * step
-            n, step = 2 * n, step * step
-    return powers
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return _table(base % 2**64, max(10, int(n).bit_length()))[:n]
+_KEYS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9)
+#: Words of more bytes are hashed one by one by xxhash; shorter ones eight bytes at a time.
+_SHORT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,31 +49,49 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _met(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """One hash of two in their order."""
+    return mix(mix(x + np.uint64(_KEYS[seed])) ^ (y * np.uint64(_KEYS[(seed + 1) % 3] | 1)))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, in blocks of words so that memory stays bounded."""
-    out = np.empty(len(starts), np.uint64)
-    base = _BASES[0]
-    inverse = pow(base, -1, 2**64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTES[data[lo:hi]] * _powers(base, hi - lo), out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        h = (sums[e] - sums[s]) * _powers(inverse, hi - lo + 1)[s]
-        out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(_BASES[1]))
-        i = j
+    """A 64-bit hash of each word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_KEYS[0]))
+    left = np.flatnonzero(size <= _SHORT)
+    done = 0
+    while len(left):
+        rest = np.minimum(size[left] - done, 8).astype(np.uint64)
+        lane = eights[starts[left] + done] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest))
+        out[left] = _met(out[left], lane, 0)
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
     return out
 
 
-def run_hashes(words: np.ndarray, at: np.ndarray, length: np.ndarray | int, seed: int = 1) -> np.ndarray:
-    """Hashes of the runs of `length` words that begin at the indexes `at`."""
+def run_hashes(words: np.ndarray, at: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
+    """Hashes of the runs of `length` words that begin at the indexes `at`; every run lies inside `words`."""
     if not len(at):
         return np.zeros(0, np.uint64)
-    base = _BASES[seed]
-    inverse = pow(base, -1, 2**64)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _powers(base, len(words)), out=sums[1:])
-    h = (sums[at + length] - sums[at]) * _powers(inverse, len(words) + 1)[at]
-    return mix(h + np.uint64(_BASES[0]) * np.asarray(length, np.uint64))
+    out, begun, power, size = None, 0, words, 1  # power: hashes of the runs of `size` words from every index on
+    while True:
+        if length & size:
+            part = power[at + begun]
+            out = part if out is None else _met(out, part, seed)
+            begun += size
+        if begun == length:
+            return mix(out ^ np.uint64(length * _KEYS[seed] % 2**64))
+        power = _met(power[:-size], power[size:], (seed + 1) % 3)
+        size *= 2
+
+
+def whole_hashes(data: bytes, offsets: list[int], some: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the words of some texts, joined by one space, as two columns of 64 bits."""
+    found = [xxhash.xxh3_128_intdigest(b" ".join(data[offsets[i] : offsets[i + 1]].split())) for i in some]
+    return np.array([h & (2**64 - 1) for h in found], np.uint64), np.array([h >> 64 for h in found], np.uint64)
