@@ -1,21 +1,19 @@
 """Toxicity by compression distance (operator 10).
 
-Two zstandard dictionaries are trained on labelled documents: one on windows of ordinary text, one on the same windows and
-what is particular to toxic text. A window of WINDOW words compressed with either gives two lengths; their
-difference is the window's distance. A document's score is a logistic function, calibrated on labelled documents kept
-apart from the dictionaries, of its largest distance, the mean of its three largest, the mean of all and the number of its windows, so that
-0.5 is the calibrated threshold.
+Two zstandard dictionaries are trained on labelled documents: one on all windows of WINDOW words of ordinary documents, one on windows of toxic
+documents. Not every window of a toxic document is toxic text, so its windows are chosen by compression: in each of ROUNDS rounds a dictionary trained on
+all folds but one measures the toxic documents of that fold, and the PER_TEXT windows of each document that it shortens most against ordinary text, cut to the PART words where it does so, train the next
+round; no document judges itself. Windows of ordinary documents that the toxic dictionary shortens all the same train a further part of the ordinary one. Ordinary text is compressed with the ordinary dictionary; toxic text, which is ordinary
+language too, with both. A window's distance is the difference of the two lengths. A document's score is a logistic function of its largest distance,
+the mean of its three largest, the mean of all and the number of its windows, calibrated on labelled documents kept apart from the
+dictionaries that measure them there (a fold of toxic ones each time, a fifth of the ordinary ones), so that 0.5 is the calibrated threshold. Of the TRAININGS of the toxic dictionary, a task each, the one with the least loss there is kept.
 
-Particular to toxic text are words that stand there in many different contexts (so that copies of one text count once) and are rare in
-ordinary documents.
-
-The dictionaries and the calibration are fitted on a bounded sample: at most MOST_TOXIC toxic and MOST_ORDINARY ordinary documents, those whose ids
-hash lowest, and at most SAMPLES windows of the ordinary ones, of which each document has an equal share, spread over its whole text; every document is
-scored over its whole text.
+The dictionaries and the calibration are fitted on a bounded sample of labelled documents: at most MOST_TOXIC toxic and MOST_ORDINARY ordinary ones, those whose
+ids hash lowest, of at most MOST_BYTES bytes of text each kind; all windows of theirs count. Every document is scored over its whole text.
 
 Defined results: null and empty texts get the score of a document without windows; a document with several labels counts as toxic if
-any is; null ids and null labels are not learned from; without labels of both kinds every score is the share of toxic labels (0 where there are none);
-rows are kept one for one.
+any is; null ids and null labels are not learned from; without labels of both kinds, or with too little text to train a dictionary on, every score is the share of
+toxic labels (0 where there are none); rows are kept one for one.
 """
 
 from __future__ import annotations
@@ -33,13 +31,13 @@ from pyspark.sql import types as T
 
 from daftar.llm.common import small_batches, text_slices
 
-#: MOST_BYTES, the bound of a dictionary, also sets the parameters of both compressors alike.
-WINDOW, LEVEL, DICTIONARY, MOST_BYTES = 8, 10, 1 << 14, 1 << 16
-MOST_TOXIC, MOST_ORDINARY = 2000, 4000
-CONTEXTS, RATIO = 10, 10.0
-#: Windows that the ordinary dictionary is trained on at most, a bound of the fit; see shares.
-SAMPLES = 60_000
-_BATCH = 5  # every fifth labelled document calibrates
+#: ORDINARY_BYTES and MORE_BYTES (for windows that the toxic dictionary shortens though they are ordinary) and the sizes in TRAININGS bound the dictionaries; both compressors have the same parameters.
+WINDOW, LEVEL, ORDINARY_BYTES, MORE_BYTES, WINDOW_LOG = 8, 10, 96_000, 12_000, 17
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 4000, 32 << 20
+ROUNDS, PER_TEXT, PART = 4, 3, 4
+#: The toxic dictionary is trained once for each number of bytes in the second place, with segments of SEGMENT bytes by their runs of so many, and has so many bytes each time.
+SEGMENT, TRAININGS = 16, ((1024, (8, 6)), (2048, (8, 6)), (4096, (8, 6)), (4096, (8,)))
+_FOLD = 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,68 +53,60 @@ def windows(words: list[bytes], n: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
 
 
-def particular(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words of toxic texts, the most supported last. Words are numbers here, to spare the driver's memory."""
-    number: dict[bytes, int] = {}
-    coded = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in toxic]
-    none = np.full(1, -1)
-    word, before, after = (np.concatenate([none[:0], *(f(c) for c in coded)]) for f in (lambda c: c, lambda c: np.concatenate([none, c])[:-1], lambda c: np.concatenate([c, none])[1:]))
-    order = np.lexsort((after, before, word))
-    word, before, after = word[order], before[order], after[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])
-    contexts = np.bincount(word[new], minlength=len(number))
-    usual = np.zeros(len(number), np.int64)
-    for t in ordinary:
-        usual[[number[w] for w in set(words_of(t)) if w in number]] += 1
-    hot = (contexts >= CONTEXTS) & ((contexts + 0.5) / (len(toxic) + 1) > RATIO * (usual + 0.5) / (len(ordinary) + 1))
-    return sorted((w for w, i in number.items() if hot[i]), key=lambda w: (contexts[number[w]], w))
-
-
-def shares(counts: list[int], most: int) -> list[int]:
-    """How many of its windows each document gives, `most` in all: what short documents leave of an equal share goes to the longer ones."""
-    out, left = [0] * len(counts), most
-    order = sorted(range(len(counts)), key=lambda i: counts[i])
-    for k, i in enumerate(order):
-        out[i] = min(counts[i], left // (len(order) - k))
-        left -= out[i]
-    return out
-
-
-def sampled(texts: list[bytes], most: int, n: int) -> list[bytes]:
-    """At most `most` windows of n words: each text's share, at even distances."""
-    counts = [-(-len(words_of(t)) // n) for t in texts]
-    out = []
-    for t, count, share in zip(texts, counts, shares(counts, most), strict=True):
-        w = windows(words_of(t), n)
-        out += [w[k * count // share] for k in range(share)]
-    return out
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents for toxic and for ordinary text."""
-    samples = sampled(ordinary, SAMPLES, 2 * WINDOW)
+def trained(samples: list[bytes], size: int, k: int = 0, d: int = 0) -> bytes:
+    """What zstandard learns from samples; empty if they are too few."""
     try:
-        usual = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()[-DICTIONARY + 1500 :]  # without its tables
-    except zstandard.ZstdError:  # too little text to train on
-        usual = b" ".join(samples)[-DICTIONARY:]
-    return b" ".join([*particular(toxic, ordinary), usual])[-MOST_BYTES:], usual
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes() if samples else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def compressor(content: bytes):
+    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=1 << WINDOW_LOG, window_log=WINDOW_LOG, min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
+    made.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress
+
+
+def nearest_part(window: bytes, plain, judge) -> bytes:
+    """The run of PART words of a window that `judge` shortens most against `plain`."""
+    words = window.split(b" ")
+    runs = [b" ".join(words[i : i + PART]) for i in range(max(1, len(words) - PART + 1))]
+    return max(runs, key=lambda r: len(plain(r)) - len(judge(r)))
+
+
+def farthest(windows_: list[bytes], plain, judge) -> list[bytes]:
+    """Of a document's windows the PER_TEXT that `judge` shortens most against `plain`, cut to their nearest parts."""
+    far = sorted(((len(plain(w)) - len(judge(w)), -i) for i, w in enumerate(windows_)), reverse=True)[:PER_TEXT]
+    return [nearest_part(windows_[-i], plain, judge) for distance, i in far if distance > 0]
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], usual: bytes, size: int, runs: tuple[int, ...]) -> tuple[bytes, bytes, list[bytes]]:
+    """(toxic, ordinary), from the windows of toxic and of ordinary documents, one list each, and what was trained on all of the latter; and for each fold of the toxic documents the toxic dictionary of the other folds."""
+
+    def special(chosen: list[list[bytes]], left_out: int | None = None) -> bytes:
+        samples = [w for i, c in enumerate(chosen) if i != left_out for w in c]
+        return b"".join(trained(samples, size, SEGMENT, d) for d in runs)
+
+    folds = [toxic[i::_FOLD] for i in range(_FOLD)]
+    chosen = [[w for ws in fold for w in ws] for fold in folds]
+    for r in range(ROUNDS + 1):
+        if r == ROUNDS:  # what the toxic dictionary shortens in ordinary documents is ordinary: it joins the other's training
+            plain, judge = compressor(usual), compressor(special(chosen) + usual)
+            far = [max(ws, key=lambda w: len(plain(w)) - len(judge(w))) for ws in ordinary if ws]
+            usual = trained([w for w in far if len(plain(w)) > len(judge(w))], MORE_BYTES, SEGMENT, 8) + usual
+        plain, judges = compressor(usual), [compressor(special(chosen, i) + usual) for i in range(_FOLD)]
+        chosen = [[w for ws in fold for w in farthest(ws, plain, judge)] for fold, judge in zip(folds, judges, strict=True)]
+    return special(chosen), usual, [special(chosen, i) for i in range(_FOLD)]
 
 
 class Scorer:
     """Scores texts by the two dictionaries and the calibrated weights."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float]):
-        self.of = [self._compressor(d) for d in (toxic, ordinary)] if ordinary else None
+        self.of = [compressor(toxic + ordinary), compressor(ordinary)] if ordinary else None
         self.weights = np.array(weights)
 
-    @staticmethod
-    def _compressor(content: bytes):
-        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=MOST_BYTES, window_log=17, min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
-        made.precompute_compress(compression_params=params)
-        return zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress
-
     def features(self, text: bytes) -> list[float]:
         if self.of is None:
             return [0.0] * 4
@@ -127,37 +117,42 @@ class Scorer:
         best = sorted(found, reverse=True)[:3]
         return [float(best[0]), sum(best) / len(best), sum(found) / len(found), math.log(len(found))]
 
+    def of_features(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ self.weights, -30, 30)))
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        x = np.array([[1.0, *self.features(t)] for t in texts]).reshape(-1, 5)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        return self.of_features(np.array([self.features(t) for t in texts]).reshape(-1, 4))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; n: how many documents a row stands for."""
     x = np.c_[np.ones(len(x)), x]
     w, ridge = np.zeros(x.shape[1]), np.r_[1e-6, np.ones(x.shape[1] - 1)]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (n * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, list[float]]:
-    """Both dictionaries and the weights."""
-    if not toxic or not ordinary:
-        share = len(toxic) / (len(toxic) + len(ordinary)) if toxic or ordinary else 0.0
-        return b"", b"", [math.log((share + 1e-12) / (1 - share + 1e-12)), 0.0, 0.0, 0.0, 0.0]
-    learn = [[t for i, t in enumerate(ts) if len(ts) < _BATCH or i % _BATCH] for ts in (toxic, ordinary)]
-    rest = [[t for i, t in enumerate(ts) if len(ts) < _BATCH or not i % _BATCH] for ts in (toxic, ordinary)]
-    a, b = dictionaries(*learn)
-    if not b:
-        return fit([], ordinary)
-    s = Scorer(a, b, [0.0] * 5)
-    x = np.array([s.features(t) for ts in rest for t in ts])
-    return a, b, _logistic(x, np.repeat([1.0, 0.0], [len(ts) for ts in rest])).tolist()
+def fit(toxic: list[bytes], ordinary: list[bytes], training: tuple[int, tuple[int, ...]]) -> tuple[float, bytes, bytes, list[float]]:
+    """The loss on documents kept apart, both dictionaries and the weights. Without a dictionary: an endless loss."""
+    learned = [t for i, t in enumerate(ordinary) if len(ordinary) < _FOLD or i % _FOLD]
+    apart = [t for i, t in enumerate(ordinary) if len(ordinary) < _FOLD or not i % _FOLD]
+    ordinary_windows = [windows(words_of(t)) for t in learned]
+    usual = trained([w for ws in ordinary_windows for w in ws], ORDINARY_BYTES)
+    if not usual or not toxic:
+        return math.inf, b"", b"", [0.0] * 5
+    found, usual, others = dictionaries([windows(words_of(t)) for t in toxic], ordinary_windows, usual, *training)
+    s, judges = Scorer(found, usual, [0.0] * 5), [Scorer(d, usual, [0.0] * 5) for d in others]
+    x = np.array([judges[i % _FOLD].features(t) for i, t in enumerate(toxic)] + [s.features(t) for t in apart])
+    y = np.repeat([1.0, 0.0], [len(toxic), len(apart)])
+    n = np.repeat([1.0, len(ordinary) / len(apart)], [len(toxic), len(apart)])
+    s.weights = _logistic(x, y, n)
+    p = np.clip(s.of_features(x), 1e-12, 1 - 1e-12)
+    return -float(np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=n)), found, usual, s.weights.tolist()
 
 
 @lru_cache(maxsize=4)
@@ -166,17 +161,36 @@ def _scorer(toxic: bytes, ordinary: bytes, weights: tuple[float, ...]) -> Scorer
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float]]:
-    """fit() on the bounded sample of labelled documents that are not held out."""
+    """Both dictionaries and the weights, from the bounded sample of labelled documents that are not held out. Each of TRAININGS is one task; only ids and what was learned reach the driver."""
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    ids = docs.select("doc_id").distinct().join(labelled, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    chosen = [r["doc_id"] for toxic, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY)) for r in ids.where(F.col("toxic") == toxic).orderBy("h").limit(n).select("doc_id").collect()]
-    if not chosen:
-        return fit([], [])
-    bounded = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # at most MOST_TOXIC + MOST_ORDINARY ids
-    texts = docs.join(F.broadcast(bounded), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = {r["doc_id"]: (r["text"] or "").encode() for r in texts.collect()}
-    of = {r["doc_id"]: r["toxic"] for r in ids.join(F.broadcast(bounded), "doc_id", "left_semi").collect()}
-    return fit(*([rows[i] for i in chosen if of[i] == t] for t in (1, 0)))
+    each = docs.select("doc_id", F.octet_length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    ids = each.join(labelled, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    chosen: list[tuple[int, int, int]] = []
+    for toxic, most in ((1, MOST_TOXIC), (0, MOST_ORDINARY)):
+        held = 0
+        for place, r in enumerate(ids.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(most).collect()):
+            held += r["size"] or 0
+            if held > MOST_BYTES:
+                break
+            chosen.append((r["doc_id"], toxic, place))
+    n = sum(t for _, t, _ in chosen)
+    share = n / len(chosen) if chosen else 0.0
+    flat = b"", b"", [math.log((share + 1e-12) / (1 - share + 1e-12)), 0.0, 0.0, 0.0, 0.0]
+    if n in (0, len(chosen)):
+        return flat
+    bounded = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int, place int")  # at most MOST_TOXIC + MOST_ORDINARY rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
+
+    def train(table: pa.Table) -> pa.Table:
+        number = table.column("training")[0].as_py()
+        rows = sorted(zip(table.column("toxic").to_pylist(), table.column("place").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: r[:2])
+        loss, toxic, ordinary, weights = fit(*([(t or "").encode() for kind, _, t in rows if kind == k] for k in (1, 0)), TRAININGS[number])
+        return pa.table({"training": pa.array([number], pa.int32()), "loss": pa.array([loss]), "toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary()), "weights": pa.array([weights], pa.list_(pa.float64()))})
+
+    tried = texts.select("toxic", "place", "text", F.explode(F.sequence(F.lit(0), F.lit(len(TRAININGS) - 1))).alias("training"))
+    tried = tried.repartition(len(TRAININGS), "training").groupBy("training").applyInArrow(train, "training int, loss double, toxic binary, ordinary binary, weights array<double>")
+    best = min(tried.collect(), key=lambda r: (r["loss"], r["training"]))
+    return (bytes(best["toxic"]), bytes(best["ordinary"]), list(best["weights"])) if best["ordinary"] else flat
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
