@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by adaptive dimension scan (operator 1).
 
 Largest inner product is turned into nearest distance by one further component, sqrt(M^2 - |x|^2) with M the
-greatest norm. Vectors are rotated at random and dealt into lists by centroids fitted on a bounded sample (SAMPLE rows
-by hash of id); every row is indexed. A query probes the share PROBED of lists that lie nearest. In a probed block the rotated
+greatest norm. Vectors are rotated at random and dealt into lists by centroids fitted on a bounded sample (a SHARE of the rows, SAMPLE at most, by
+hash of id); every row is indexed. A query probes the share PROBED of lists that lie nearest. In a probed block the rotated
 vectors stand in column blocks: after each block of columns a hypothesis test on the partial distance abandons
-candidates that are, with high confidence, farther than the kth distance known from the sample, a true bound. Survivors get the exact
-inner product of the original vectors, summed in order in double precision.
+candidates that are, with high confidence, farther than the kth distance known so far: that of the sample at first, a true bound, then
+that of the rows of the block already read. Survivors get the exact inner product of the original vectors, summed in order in double precision.
 
 Lists are dealt into blocks of bounded size by a salt from their counts, so equal vectors, however many,
 spread over tasks. Queries are dealt into chunks likewise.
 
 Defined results: vectors null, empty, zero, with null or non-finite components, or without an id take no part; so do those of another length than
-the most frequent; an id queried twice is one query (its least vector), an id that stands in several rows one candidate (its best score); an empty table gives no rows. Fewer than k candidates: all.
+the most frequent, which have no inner product with the rest; every row but those with the query's own id is a candidate, so an id that stands in several rows
+may take several places; an id queried twice is one query (its least vector); an empty table gives no rows. Fewer than k candidates: all.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from daftar.llm import vectors
 from daftar.llm.common import written
 
-SAMPLE, ROWS_PER_LIST, MOST_LISTS, PROBED = 8192, 1600, 1024, 0.7
-COLUMNS = 16
+SAMPLE, SHARE, ROWS_PER_LIST, MOST_LISTS, PROBED = 2048, 0.05, 512, 1024, 0.7
+COLUMNS, ROWS = 16, 1024
 EPSILON = 1.5
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_id long, vec_id long, score double, sampled boolean"
 
 
 def _fit(x: np.ndarray, lists: int) -> np.ndarray:
@@ -80,14 +81,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     asked = vectors.usable(queries, id_col, vector_col, allow_zero=False).groupBy("vec_id").agg(F.min("v").alias("v"))
     stat = data.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     n, most = stat["n"], stat["m"] or 0.0
-    fit_ids, fit = vectors.sample(data, SAMPLE) if n else (np.zeros(0, np.int64), np.zeros((0, 1)))
+    fit_ids, fit = vectors.sample(data, max(1, min(SAMPLE, int(SHARE * n)))) if n else (np.zeros(0, np.int64), np.zeros((0, 1)))
     d = fit.shape[1] + 1
     rotation = np.linalg.qr(np.random.default_rng(2).normal(size=(d, d)))[0]
 
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]]) @ rotation
 
-    centroids = _fit(lifted(fit), max(1, min(MOST_LISTS, n // ROWS_PER_LIST))) if n else np.zeros((1, d))
+    centroids = _fit(lifted(fit), max(1, min(MOST_LISTS, n // ROWS_PER_LIST, len(fit) // 4))) if n else np.zeros((1, d))
     half = 0.5 * (centroids**2).sum(1)
     indexed = written(vectors.assigned(data, lambda x: np.argmax(lifted(x) @ centroids.T - half, axis=1)))
     per_list = vectors.salts(indexed)
@@ -102,7 +103,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         return np.partition(score, len(fit) - k, axis=1)[:, len(fit) - k]
 
     def from_sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sample's own k best, so that no query is left with fewer than k rows."""
+        """The rows that set the bound, so that no query is left with fewer than k."""
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -113,7 +114,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                 j = near.ravel()
                 other = own[i] != fit_ids[j]
                 i, j = i[other], j[other]
-                yield pa.RecordBatch.from_arrays([pa.array(own[i], pa.int64()), pa.array(fit_ids[j], pa.int64()), pa.array(inner_products(fit[j], x[i]))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[i], pa.int64()), pa.array(fit_ids[j], pa.int64()), pa.array(inner_products(fit[j], x[i])), pa.array(np.ones(len(i), bool))], names=["query_id", "vec_id", "score", "sampled"])
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,15 +136,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             turned = lifted(x)
             for lo in range(0, len(q), 256):
                 own = slice(lo, lo + 256)
-                far = (q[own] ** 2).sum(1) + most - 2 * least[own]
-                a, b = scan(turned, np.hstack([q[own], np.zeros((len(q[own]), 1))]) @ rotation, far)
-                other = ids[b] != q_ids[own][a]
-                a, b = a[other], b[other]
-                score = inner_products(x[b], q[own][a])
-                best = vectors.best_rows(a, score, ids[b], k)
-                held.append((q_ids[own][a[best]], ids[b[best]], score[best]))
+                asking, asked_ids, bound = np.hstack([q[own], np.zeros((len(q[own]), 1))]) @ rotation, q_ids[own], least[own].copy()
+                best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for at in range(0, len(x), ROWS):
+                    far = (q[own] ** 2).sum(1) + most - 2 * bound
+                    a, b = scan(turned[at : at + ROWS], asking, far)
+                    b = b + at
+                    other = ids[b] != asked_ids[a]
+                    a, b = a[other], b[other]
+                    a, b, score = (np.concatenate(v) for v in zip(best, (a, b, inner_products(x[b], q[own][a])), strict=True))
+                    keep = vectors.best_rows(a, score, ids[b], k)
+                    best = a[keep], b[keep], score[keep]
+                    full = np.flatnonzero(np.bincount(best[0], minlength=len(bound)) == k)
+                    kth = np.full(len(bound), np.inf)
+                    np.minimum.at(kth, best[0], best[2])
+                    bound[full] = np.maximum(bound[full], kth[full])
+                held.append((asked_ids[best[0]], ids[best[1]], best[2]))
         a, b, c = (np.concatenate(v) for v in zip(*held, strict=True))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64()), "sampled": pa.array(np.zeros(len(a), bool))})
 
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
     blocks = indexed.select("vec_id", "v", "list", vectors.salt_of(per_list).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
@@ -152,4 +162,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     found = blocks.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(block, _FOUND)
     if n:
         found = found.union(asked.select("vec_id", "v").mapInArrow(from_sample, _FOUND))
-    return vectors.top(found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    # A sampled row is met in its block too, if that is probed: the two are one row.
+    rows_of = found.repartition("query_id").groupBy("query_id", "vec_id", "score").agg(F.greatest(F.count_if("sampled"), F.count_if(~F.col("sampled"))).alias("n"))
+    return vectors.top(rows_of.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")))), k)
