@@ -7,11 +7,11 @@ are taken until the total budget is reached, so that each source stands near its
 Targets: sources in code point order, null last, weigh WEIGHTS in turn and share `budget` times all words; a target stops at `repeats` times
 its source's words, and the excess is shared anew by weight.
 
-Running totals go by buckets of the hash (and ranges of the finish time), whose number follows the number of documents: sums of buckets
+Running totals go by buckets of the hash (and ranges of the finish time, between quantiles), whose number follows the number of documents: sums of buckets
 first, then rows inside a bucket, so no source, however large, meets in one task. Only (doc_id, source, size) move; texts don't.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; sources whose words are 0 have target 0; a null source is a source;
-repeated rows are documents of their own; reruns agree, as the order is a hash of the row.
+repeated rows are documents of their own, rows that differ in any column too; reruns agree, as the order is a hash of the row.
 """
 
 from __future__ import annotations
@@ -22,17 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from daftar.llm.common import small_batches, text_slices, written
+from daftar.llm.common import discard, small_batches, text_slices, written
 from daftar.llm.words import spans
 
 WEIGHTS, BUDGET, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
 ROWS_PER_BUCKET = 1 << 15
+KNOTS = 64
 
 
-def row_hash() -> Column:
-    """What a document's place in the shuffled order comes from."""
-    return F.xxhash64("doc_id", "source", "text")
+def row_hash(docs: DataFrame) -> Column:
+    """What a row's place in the shuffled order comes from: all of its columns, and which of them are null."""
+    plain = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*plain, *(c.isNull() for c in plain))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def sizes(docs: DataFrame) -> DataFrame:
                 first = spans(data, offsets)[2]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("source"), rows.column("h"), pa.array(np.diff(first), pa.int64())], names=["doc_id", "source", "h", "size"])
 
-    return small_batches(docs).select("doc_id", "source", row_hash().alias("h"), "text").mapInArrow(run, "doc_id long, source string, h long, size long")
+    return small_batches(docs).select("doc_id", "source", row_hash(docs).alias("h"), "text").mapInArrow(run, "doc_id long, source string, h long, size long")
 
 
 def targets(sized: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -77,16 +80,32 @@ def _running(rows: DataFrame, group: list[str], bucket: str, order: list[str], s
     return rows.join(offsets, same).withColumn("upto", inside + F.col("offset")).drop("offset", *(f"_{g}" for g in (*group, bucket)))
 
 
+def _knots(queue: DataFrame) -> Column:
+    """KNOTS quantiles of the column `time`, and its least."""
+    return queue.agg(F.percentile_approx("time", [i / KNOTS for i in range(KNOTS + 1)], 100 * KNOTS).alias("knots")).scalar()
+
+
+def _range_of(knots: Column, n: int) -> Column:
+    """About n ranges of the column `time` of about as many rows each: by the quantiles, and evenly between two of them."""
+    at = F.least(F.greatest(F.size(F.filter(knots, lambda k: k <= F.col("time"))), F.lit(1)), F.lit(KNOTS))
+    low, high = F.element_at(knots, at), F.element_at(knots, at + 1)
+    parts = -(-n // KNOTS)
+    inside = F.when(high > low, F.floor((F.col("time") - low) / (high - low) * parts)).otherwise(0)
+    return (at * parts + F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1))).cast("int")
+
+
 def mix(docs: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Per document: doc_id, h (row_hash), source, size, source_size, target, copies (times it is taken), taken (words)."""
     sized = written(sizes(docs))
     n = max(16, sized.count() // ROWS_PER_BUCKET + 1)
-    goal = targets(sized, budget, repeats, weights).withColumnRenamed("source", "_source")
+    goal = written(targets(sized, budget, repeats, weights).withColumnRenamed("source", "_source"))
     rows = sized.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = written(_running(rows.withColumn("bucket", _bucket_of(n, F.col("h"))), ["source"], "bucket", ["h", "doc_id"], "size").drop("bucket"))
+    discard(sized)
     finish = lambda k: (F.col("upto") + k * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target"))
     queue = placed.select("doc_id", "h", "size", "target", F.explode(F.array(*(F.struct(finish(k).alias("time"), F.lit(k).alias("round")) for k in range(repeats)))).alias("t")).where("t.time is not null and size > 0")
-    queue = queue.select("doc_id", "h", "size", "t.time", "t.round").withColumn("range", F.floor(F.col("time") / (1 + F.col("time")) * (n * repeats)).cast("int"))
+    queue = queue.select("doc_id", "h", "size", "t.time", "t.round")
+    queue = queue.withColumn("knots", _knots(queue)).withColumn("range", _range_of(F.col("knots"), n * repeats)).drop("knots")
     total = goal.agg(F.sum("target").alias("total"))
     key = F.struct("time", "h", "doc_id", "round")
     # As doubles carry the targets, half a word decides nothing.
@@ -96,8 +115,8 @@ def mix(docs: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, weights
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it."""
-    chosen = mix(docs, **options).groupBy("doc_id", "h").agg(F.sum("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "copies")
-    rows = docs.withColumn("_row", row_hash())
-    once = rows.dropDuplicates(["doc_id", "_row"])
-    return once.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_h"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """docs, each row as often as the mix takes it. Rows that agree in all columns are one row here, with the copies of all of them; texts move once."""
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    chosen = mix(docs, **options).where("copies > 0").groupBy(F.col("h").alias("_row"), key.alias("_key")).agg(F.sum("copies").alias("_copies"))
+    once = docs.withColumns({"_row": row_hash(docs), "_key": key}).dropDuplicates(["_row", "_key"])
+    return once.join(chosen, ["_row", "_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
