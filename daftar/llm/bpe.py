@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse (operator 5).
 
 A rolling hash over the bytes cuts every text into chunks, so that texts which share a passage share
-its chunks. Each chunk is encoded once while a task keeps it. A chunk keeps only the ids
-between its first and its last hard boundary, a place where ASCII white space follows
-another byte: the pre-tokenizer always cuts there, whatever stands around. What is left at either end of a
-join is encoded again together, on over further chunks if they hold no boundary, until the
-ids agree with those of the whole text.
+its chunks. A chunk is encoded once while a task keeps it: its memory holds CHUNK_BYTES of ids and edges, those used last. A chunk keeps the ids
+between its first and its last boundary, a place where ASCII white space follows another byte. Joins are repaired by encoding again: what is left at
+either end of a join goes to the library together with the last piece of the chunk before and the first of the chunk after, and the ids of these two
+must come out as the chunks have them. Where they don't, the join reaches over further pieces, REACH on either side at most, and then
+over the whole text; so the ids agree with those of the whole text.
 
-No shuffle: a task holds one slice of texts, and its two memories are emptied when they are full.
+No shuffle: a task holds one slice of texts. Chunks are shared between the texts of a task, not between tasks.
 
 Defined results: null and empty texts have no ids; rows are kept one for one, so repeated rows and ids
 repeat; a text with white space outside ASCII is encoded whole by the library.
@@ -20,11 +20,14 @@ import json
 import os
 import re
 import struct
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from daftar.llm.common import small_batches, text_slices
@@ -34,7 +37,8 @@ _ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u
 _BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, np.uint32)
 _CHUNK_BITS = 10
-_MAX_PIECES, _MAX_CHUNKS = 150_000, 2_000
+#: Pieces between white space that a task keeps, bytes of its chunks, and pieces of a chunk kept on either side of a join.
+_MAX_PIECES, CHUNK_BYTES, REACH = 150_000, 48 << 20, 3
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,8 +65,19 @@ def cut_points(data: np.ndarray, bits: int = _CHUNK_BITS) -> np.ndarray:
     return np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
 
 
+@dataclass(slots=True)
+class Chunk:
+    """head and tail: what stands before the first and after the last boundary; ids of what is between, None if only the whole text's count; the first and last REACH pieces there with their ids."""
+
+    head: bytes
+    tail: bytes
+    ids: bytes | None
+    first: list[tuple[bytes, bytes]]
+    last: list[tuple[bytes, bytes]]
+
+
 class ChunkEncoder:
-    """Ids as little-endian unsigned 32-bit integers, in bytes."""
+    """Ids as little-endian unsigned 32-bit integers, in bytes. found and missed count chunks, repaired the joins that needed more than the pieces beside them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,8 +88,8 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pieces: dict[bytes, bytes | None] = {}
-        self.chunks: dict[bytes, tuple[bytes, list[bytes], bytes] | None] = {}
-        self.encoded: dict[bytes, bytes | None] = {}
+        self.chunks: OrderedDict[bytes, Chunk | None] = OrderedDict()
+        self.size = self.found = self.missed = self.repaired = 0
 
     def whole(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -93,7 +108,7 @@ class ChunkEncoder:
 
     @staticmethod
     def _split(chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
-        """Head, body between the outer hard boundaries, tail; None without a boundary."""
+        """Head, body between the outer boundaries, tail; None without a boundary."""
         first = _BOUNDARY.search(chunk)
         if first is None:
             return None
@@ -102,55 +117,92 @@ class ChunkEncoder:
             last = len(chunk[: len(chunk) - len(chunk.rsplit(None, 1)[1])].rstrip())
         return chunk[:head], chunk[head:last], chunk[last:]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        plans, need, chunks = [], set(), {}
+    def _remember(self, key: bytes, chunk: Chunk | None) -> None:
+        self.chunks[key] = chunk
+        self.size += 300 + (len(chunk.ids or b"") + 8 * len(chunk.head + chunk.tail) if chunk else 0)
+        while self.size > CHUNK_BYTES:
+            _, old = self.chunks.popitem(last=False)
+            self.size -= 300 + (len(old.ids or b"") + 8 * len(old.head + old.tail) if old else 0)
+
+    def _chunks_of(self, texts: list[bytes]) -> list[list[tuple[bytes, Chunk | None]] | None]:
+        """Each text's chunks; None for a text with separators that only some readers take for white space."""
+        cut, split, need = [], {}, set()
         for text in texts:
             data = np.frombuffer(text, np.uint8)
-            if (data - np.uint8(0x1C) < 4).any():  # separators that only some readers take for white space
-                plans.append(None)
+            if (data - np.uint8(0x1C) < 4).any():
+                cut.append(None)
                 continue
             cuts = [0, *(c for c in cut_points(data).tolist() if c < len(text)), len(text)] if text else [0]
-            plan, carry = [], b""
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                chunk = text[lo:hi]
-                if chunk not in self.chunks and chunk not in chunks:
-                    parts = self._split(chunk)
-                    if parts is not None:
-                        body = _PIECE.findall(parts[1])
-                        need.update(body)
-                        parts = (parts[0], body, parts[2])
-                    chunks[chunk] = parts
-                parts = chunks[chunk] if chunk in chunks else self.chunks[chunk]
-                if parts is None:
-                    carry += chunk
+            parts = [text[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            keys = [xxhash.xxh3_128_digest(p) for p in parts]
+            for key, part in zip(keys, parts, strict=True):
+                if key in self.chunks or key in split:
+                    self.found += 1
+                    continue
+                self.missed += 1
+                own = self._split(part)
+                body = _PIECE.findall(own[1]) if own else []
+                need.update(body)
+                split[key] = own and (own[0], own[2], body)
+            cut.append(list(zip(keys, parts, strict=True)))
+        self._learn(need)
+        known: dict[bytes, Chunk | None] = {}
+        for key, own in split.items():
+            ids = [self.pieces[p] for p in own[2]] if own else []
+            odd = None in ids
+            pieces = [] if odd else list(zip(own[2], ids, strict=True)) if own else []
+            known[key] = own and Chunk(own[0], own[1], None if odd else b"".join(ids), pieces[:REACH], pieces[-REACH:])
+        for keys in cut:
+            for key, _ in keys or ():
+                if key in self.chunks:
+                    known.setdefault(key, self.chunks[key])
+                    self.chunks.move_to_end(key)
+        for key in split:
+            self._remember(key, known[key])
+        return [keys and [(part, known[key]) for key, part in keys] if keys is not None else None for keys in cut]
+
+    def _joined(self, joins: list[tuple[Chunk | None, bytes, Chunk | None]], reach: int) -> list[bytes | None]:
+        """Ids of what stands between two chunks, encoded with `reach` pieces of either; None where the ids of those don't come out as the chunks have them."""
+        befores = [b.last[-reach:] if b else [] for b, _, _ in joins]
+        afters = [a.first[:reach] if a else [] for _, _, a in joins]
+        texts = [b"".join([*(p for p, _ in x), middle, *(p for p, _ in y)]).decode() for x, (_, middle, _), y in zip(befores, joins, afters, strict=True)]
+        out = []
+        for t, e, x, y in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), befores, afters, strict=True):
+            ids, left, right = pack(e.ids), b"".join(i for _, i in x), b"".join(i for _, i in y)
+            agree = ids.startswith(left) and ids.endswith(right) and len(ids) >= len(left) + len(right) and (t.isascii() or not _ODD_SPACE.search(t))
+            out.append(ids[len(left) : len(ids) - len(right)] if agree else None)
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        plans, joins = [], []
+        for chunks in self._chunks_of(texts):
+            if chunks is None or any(c is not None and c.ids is None for _, c in chunks):
+                plans.append(None)
+                continue
+            plan, carry, before = [], b"", None
+            for part, chunk in chunks:
+                if chunk is None:
+                    carry += part
                     continue
-                join = _PIECE.findall(carry + parts[0])
-                need.update(join)
-                plan += [(join, None), (None, chunk)]
-                carry = parts[2]
+                joins.append((before, carry + chunk.head, chunk))
+                plan += [len(joins) - 1, chunk.ids]
+                carry, before = chunk.tail, chunk
             if carry:
-                join = _PIECE.findall(carry)
-                need.update(join)
-                plan.append((join, None))
+                joins.append((before, carry, None))
+                plan.append(len(joins) - 1)
             plans.append(plan)
-        self._learn(need)
-        ids = self.pieces.__getitem__
-        for chunk, parts in chunks.items():
-            if parts is not None:
-                found = list(map(ids, parts[1]))
-                self.encoded[chunk] = None if None in found else b"".join(found)
+        found = self._joined(joins, 1)
+        for reach in range(2, REACH + 1):
+            open_ = [i for i, f in enumerate(found) if f is None]
+            self.repaired += len(open_)
+            for i, f in zip(open_, self._joined([joins[i] for i in open_], reach), strict=True):
+                found[i] = f
         out = []
         for text, plan in zip(texts, plans, strict=True):
-            if plan is None:
-                out.append(self.whole(text.decode()))
-                continue
-            found = [x for join, chunk in plan for x in (map(ids, join) if chunk is None else (self.encoded[chunk],))]
-            out.append(self.whole(text.decode()) if None in found else b"".join(found))
-        self.chunks.update((c, p and (p[0], [], p[2])) for c, p in chunks.items())
+            ids = None if plan is None else [found[x] if isinstance(x, int) else x for x in plan]
+            out.append(self.whole(text.decode()) if ids is None or None in ids else b"".join(ids))
         if len(self.pieces) > _MAX_PIECES:
             self.pieces = {}
-        if len(self.chunks) > _MAX_CHUNKS:
-            self.chunks, self.encoded = {}, {}
         return out
 
 
