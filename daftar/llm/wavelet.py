@@ -1,9 +1,9 @@
 """Token files as wavelet matrices (operator 7).
 
-Documents are range-partitioned by doc_id and cut into shards. A shard is one compressed blob: the documents'
-offsets and, for each bit of an id from the highest, a plane of bits of all tokens with running
-counts for rank. One file so supports access to any token, counting of an id in a
-range and the places of an id, without being unpacked as a whole.
+Documents are range-partitioned by doc_id and cut into shards. A shard is one blob: the documents'
+offsets and, for each bit of an id from the highest, a plane of bits of all tokens. A plane is compressed in blocks of BLOCK_BITS bits with a directory of
+the blocks' places and of the ones before each, which serves rank and select. So one compressed file supports access to any token, counting of an id in a
+range and the places of an id, and each of these opens one or two blocks a plane, not the file.
 
 Spark writes the blobs as a Parquet table in the shared folder; nothing passes through the driver. A shard
 holds about SHARD_TOKENS tokens (one longer document is a shard of its own).
@@ -32,8 +32,9 @@ from daftar.llm.common import partitions, small_batches, text_slices, written
 from daftar.llm.words import lower
 
 SHARD_TOKENS = 1 << 21
-_MAGIC = b"WVLT1\0"
-_RANK_BITS = 512
+_MAGIC = b"WVLT2\0"
+#: Bits of a plane's block, and how many opened blocks a reader keeps.
+BLOCK_BITS, KEPT = 1 << 15, 256
 _MAX_PIECES = 800_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -93,61 +94,74 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def build(tokens: np.ndarray, starts: np.ndarray, bits: int = 16) -> bytes:
-    """The blob of `tokens` (uint16); starts: where each document begins, and the end."""
+    """The blob of `tokens` (uint16); starts: where each document begins, and the end.
+
+    Magic; number of tokens, documents, bits, bytes of offsets; per plane: zeros, bytes; then the offsets and the planes. A plane is its directory, the ones before each
+    block and the end of each block as 32-bit integers, and its blocks.
+    """
     press = zstandard.ZstdCompressor(level=1).compress
-    parts, zeros, x = [press(np.diff(starts, prepend=0).astype("<u4").tobytes())], [], tokens
+    offsets, planes, zeros, x = press(np.diff(starts, prepend=0).astype("<u4").tobytes()), [], [], tokens
     for b in range(bits - 1, -1, -1):
         bit = (x >> np.uint16(b) & np.uint16(1)).astype(bool)
-        packed = np.packbits(bit)
-        parts.append(press(packed.tobytes()))
-        full = np.zeros(-(-len(packed) // (_RANK_BITS // 8)) * (_RANK_BITS // 8), np.uint8)
-        full[: len(packed)] = packed
-        parts.append(press(np.cumsum(np.bitwise_count(full).reshape(-1, _RANK_BITS // 8).sum(1, dtype=np.int64)).astype("<u4").tobytes()))
+        packed, size = np.packbits(bit), BLOCK_BITS // 8
+        blocks = [packed[lo : lo + size] for lo in range(0, len(packed), size)]
+        ones = np.cumsum([0, *(int(np.bitwise_count(p).sum()) for p in blocks)])[:-1]
+        pressed = [press(p.tobytes()) for p in blocks]
+        planes.append(ones.astype("<u4").tobytes() + np.cumsum([len(p) for p in pressed]).astype("<u4").tobytes() + b"".join(pressed))
         zeros.append(len(x) - int(np.count_nonzero(bit)))
         x = np.concatenate([x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))])  # faster than masks
-    head = struct.pack("<QIII", len(tokens), len(starts) - 1, bits, len(parts))
-    return _MAGIC + head + np.array(zeros, "<u8").tobytes() + np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
+    head = struct.pack("<QIIQ", len(tokens), len(starts) - 1, bits, len(offsets))
+    return _MAGIC + head + np.array(zeros, "<u8").tobytes() + np.array([len(p) for p in planes], "<u8").tobytes() + offsets + b"".join(planes)
 
 
 class Wavelet:
-    """A shard's blob, opened. Planes are decompressed when they are first used."""
+    """A shard's blob, opened. Blocks are decompressed when they are used; opened counts them."""
 
     def __init__(self, blob: bytes):
         if blob[: len(_MAGIC)] != _MAGIC:
             raise ValueError("not a token shard")
         at = len(_MAGIC)
-        self.n, self.docs, self.bits, parts = struct.unpack_from("<QIII", blob, at)
-        at += struct.calcsize("<QIII")
-        self.zeros = np.frombuffer(blob, "<u8", self.bits, at).astype(np.int64)
-        at += 8 * self.bits
-        sizes = np.frombuffer(blob, "<u8", parts, at).astype(np.int64)
-        self._at = at + 8 * parts + np.concatenate([[0], np.cumsum(sizes)])
-        self._blob = blob
-        self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _part(self, i: int) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(self._blob[self._at[i] : self._at[i + 1]])
+        self.n, self.docs, self.bits, offsets = struct.unpack_from("<QIIQ", blob, at)
+        at += struct.calcsize("<QIIQ")
+        self.zeros = np.frombuffer(blob, "<u8", self.bits, at).astype(np.int64).tolist()
+        sizes = np.frombuffer(blob, "<u8", self.bits, at + 8 * self.bits).astype(np.int64)
+        self._offsets = at + 16 * self.bits, offsets
+        self._blob, self.blocks, self.opened = blob, -(-self.n // BLOCK_BITS), 0
+        begin = at + 16 * self.bits + offsets + np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        self._ones = [np.frombuffer(blob, "<u4", self.blocks, b) for b in begin.tolist()]
+        self._ends = [np.frombuffer(blob, "<u4", self.blocks, b + 4 * self.blocks) for b in begin.tolist()]
+        self._from = [b + 8 * self.blocks for b in begin.tolist()]
+        self._held: dict[tuple[int, int], np.ndarray] = {}
 
     def starts(self) -> np.ndarray:
-        return np.cumsum(np.frombuffer(self._part(0), "<u4").astype(np.int64))
-
-    def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        if level not in self._planes:
-            self._planes[level] = np.frombuffer(self._part(1 + 2 * level), np.uint8), np.frombuffer(self._part(2 + 2 * level), "<u4").astype(np.int64)
-        return self._planes[level]
+        at, size = self._offsets
+        return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(self._blob[at : at + size]), "<u4").astype(np.int64))
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        """Packed bits of a block; those used last are kept."""
+        key = level, block
+        found = self._held.pop(key, None)
+        if found is None:
+            self.opened += 1
+            lo, hi = int(self._ends[level][block - 1]) if block else 0, int(self._ends[level][block])
+            found = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._blob[self._from[level] + lo : self._from[level] + hi]), np.uint8)
+        self._held[key] = found
+        if len(self._held) > KEPT:
+            del self._held[next(iter(self._held))]
+        return found
 
     def rank1(self, level: int, i: int) -> int:
         """Ones before place i of a level."""
-        packed, counts = self._plane(level)
-        block = i // _RANK_BITS
-        lo = block * (_RANK_BITS // 8)
-        before = int(counts[block - 1]) if block else 0
-        inner = packed[lo : i // 8]
-        before += int(np.bitwise_count(inner).sum())
-        return before + (int(packed[i // 8]) >> (8 - i % 8)).bit_count() if i % 8 else before
+        if i >= self.n:
+            return self.n - self.zeros[level]
+        block, inside = divmod(i, BLOCK_BITS)
+        packed = self._block(level, block)
+        before = int(self._ones[level][block]) + int(np.bitwise_count(packed[: inside // 8]).sum())
+        return before + (int(packed[inside // 8]) >> (8 - inside % 8)).bit_count() if inside % 8 else before
 
     def bit(self, level: int, i: int) -> int:
-        return int(self._plane(level)[0][i // 8]) >> (7 - i % 8) & 1
+        block, inside = divmod(i, BLOCK_BITS)
+        return int(self._block(level, block)[inside // 8]) >> (7 - inside % 8) & 1
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -156,7 +170,7 @@ class Wavelet:
         for level in range(self.bits):
             b = self.bit(level, i)
             ones = self.rank1(level, i)
-            i = int(self.zeros[level]) + ones if b else i - ones
+            i = self.zeros[level] + ones if b else i - ones
             token = token << 1 | b
         return token
 
@@ -164,7 +178,7 @@ class Wavelet:
         for level in range(self.bits):
             a, b = self.rank1(level, lo), self.rank1(level, hi)
             if token >> (self.bits - 1 - level) & 1:
-                lo, hi = int(self.zeros[level]) + a, int(self.zeros[level]) + b
+                lo, hi = self.zeros[level] + a, self.zeros[level] + b
             else:
                 lo, hi = lo - a, hi - b
         return lo, hi
@@ -175,16 +189,13 @@ class Wavelet:
         return b - a
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) `bit` of a level."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self.rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Place of the k-th (from 0) `bit` of a level: its block by the directory, its place inside by the block's bits."""
+        before = self._ones[level].astype(np.int64)
+        if not bit:
+            before = np.arange(self.blocks) * BLOCK_BITS - before
+        block = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self._block(level, block), count=min(BLOCK_BITS, self.n - block * BLOCK_BITS))
+        return block * BLOCK_BITS + int(np.flatnonzero(bits == bit)[k - before[block]])
 
     def places(self, token: int, lo: int = 0, hi: int | None = None) -> list[int]:
         """Where an id stands in tokens lo to hi, in order."""
@@ -193,7 +204,7 @@ class Wavelet:
         for at in range(a, b):
             for level in range(self.bits - 1, -1, -1):
                 one = token >> (self.bits - 1 - level) & 1
-                at = self._select(level, one, at - int(self.zeros[level]) if one else at)
+                at = self._select(level, one, at - self.zeros[level] if one else at)
             out.append(at)
         return out
 
@@ -201,7 +212,8 @@ class Wavelet:
         """All tokens, by undoing the levels from the last."""
         order = None
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self._plane(level)[0], count=self.n).astype(bool)
+            packed = np.concatenate([np.zeros(0, np.uint8), *(self._block(level, b) for b in range(self.blocks))])
+            bit = np.unpackbits(packed, count=self.n).astype(bool)
             b = bit.astype(np.uint16) << np.uint16(self.bits - 1 - level)
             if order is not None:
                 below = np.empty(self.n, np.uint16)
