@@ -17,14 +17,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. The labels are those of the corpus."""
+    """Documents that the classifier accepts, row by row. The labels are those of the corpus."""
     return toxicity.classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("predicted = 0").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component at a Jaccard similarity of 0.8 on five-word shingles. Documents without an id stay; rows with one id are judged each by its own text."""
-    groups = jaccard_join.join(docs, width=5, percent=80, text_hash=True).where("component_id <> doc_id").select("doc_id", "text_hash")
-    return docs.withColumn("text_hash", F.xxhash64("text")).join(groups, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
+    """One row of each component at a Jaccard similarity of 0.8 on five-word shingles: that of the smallest id, of rows with this id one whose text hashes lowest.
+
+    Rows with one id are judged each by its own text; rows that repeat id and text are one component. Rows without an id and texts without words are linked with nothing and stay.
+    """
+    rows = jaccard_join.join(docs, width=5, percent=80, text_hash=True).where("component is not null").select("doc_id", "text_hash", "component")
+    kept = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash").distinct()
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    once = docs.where(linked).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
+    return once.join(kept, ["doc_id", "text_hash"], "left_semi").select(*COLUMNS).unionByName(docs.where(~linked).select(*COLUMNS))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +40,12 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it; rows without words are taken 0 times."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, decoded."""
+    """doc_id, ids, n_tokens, decoded, one row for each row."""
     return bpe.encode_documents(docs, BYTE_BPE)
 
 
