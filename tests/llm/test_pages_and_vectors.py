@@ -1,6 +1,9 @@
 """Pages, urls and vector searches against brute force, with broken rows among them."""
 
 import math
+import re
+from functools import reduce
+from html import unescape
 
 import numpy as np
 import pytest
@@ -40,6 +43,57 @@ def test_main_text_of_malformed_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><title>t</title><meta charset='utf-8'><p>One</p><p>Two</p></html>", "One\nTwo"),
+    ("<html><head><title>t</title><body><p>One</p></body></html>", "One"),
+    ("<article><h2 id='binary-search'>Binary search</h2><p>One</p></article>", "Binary search\nOne"),
+    ("<article><header class='article-header'><h1>Title</h1></header><p>One</p></article>", "Title\nOne"),
+    ("<article><p>One</p><section class='side-effects'><h2>Side effects</h2><p>Two</p></section></article>", "One\nSide effects\nTwo"),
+    ("<article><p>One</p><div class='comment-list'><p>no</p></div><div id='sidebar-left'>no</div><div class='adBox'>no</div></article>", "One"),
+    ("<article><p>One</p><div class='x7'><h3>3 Comments</h3><div><p>no</p></div></div><p>Two</p></article>", "One\nTwo"),
+    ("<article><p>One</p><article><p>Inner</p></article><p>Two</p></article>", "One\nInner\nTwo"),
+])
+def test_main_text_keeps_the_article(html, text):
+    assert html_text.main_text(html) == text
+
+
+STORY = "".join(f"<p>{'A sentence of the story that is long enough to count. ' * n}</p>" for n in (4, 1, 6, 3)) + "<p>Short.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<div><ul>{menu}</ul></div><div class='q'>{story}</div><div><ul>{menu}</ul></div>",
+    "<div>We set cookies on your machine, please say that you agree to that.</div><div><ul>{menu}</ul></div><div>{story}</div><div><ul>{menu}</ul></div><div>All rights of this page are reserved by its owner.</div>",
+    "<table><tr><td>{menu}</td><td>{story}</td><td>{menu}</td></tr></table>",
+    "<div><div><div>{menu}</div><div><h1>Title</h1><div>{story}</div></div></div></div><div><h2>Comments (2)</h2><div><p>I liked the story very much, thank you for this.</p></div></div>",
+])
+def test_regions_without_telling_names(page):
+    """Clustering alone: no article or main part, no class that says anything."""
+    menu = "".join(f"<li><a href='#'>Entry {i}</a></li>" for i in range(8))
+    got = html_text.main_text("<body>" + page.format(menu=menu, story=STORY) + "</body>")
+    want = html_text.main_text(f"<article>{STORY}</article>")
+    assert got.removeprefix("Title\n") == want and got.startswith("Title") == ("Title" in page)
+
+
+def independent(page):
+    """The article of a given page by plain text search: between its tags, cut at block tags, tags removed, references decoded."""
+    inner = re.search(r"(?s)<article[^>]*>(.*)</article>", page or "")
+    inner = re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside|nav|footer)\b.*?</\1>|<div class=.(?:ad|comments?|sidebar|notice)\b.*?</div>", "\x00", inner.group(1)) if inner else ""
+    parts = re.split(r"\x00|</?(?:p|h[1-6]|div|section|ul|ol|li|table|tr|td|th|blockquote|pre|figure|figcaption|hr)\b[^>]*>", inner)
+    texts = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in parts]
+    return "\n".join(t for t in texts if t)
+
+
+def test_given_pages(spark, sf_middle):
+    """The registered query on given pages against an independent extraction, and the same pages with articles that aren't declared."""
+    pages = spark.read.parquet(f"{sf_middle}/pages.parquet")
+    rows = pages.collect()
+    got = {r.page_id: r for r in queries.op2_html_extraction(spark, sf_middle).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.page_id].text == independent(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text) > 0
+        assert html_text.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html)) == got[r.page_id].text
+
+
 def test_content_region_without_markup():
     body = "".join(f"<p>{'A sentence of the story that is long enough to count. ' * 4}</p>" for _ in range(6))
     links = "".join(f"<a href='#'>L{i}</a> " for i in range(30))
@@ -175,3 +229,58 @@ def test_ann_abandons_and_keeps_recall(spark):
         s = x.astype(float) @ x[q].astype(float)
         hits += len({i for _, i in sorted((-s[i], i) for i in range(4000) if i != q)[:20]} & found)
     assert hits / (20 * len(got)) >= 0.9
+
+
+@pytest.mark.parametrize("search,k,measure", [(ann.search, 20, None), (exact_topk.search, 10, 1024)])
+def test_rows_that_share_an_id(spark, search, k, measure):
+    """Every row is a candidate: 31 rows of one id may take 31 places; a query's own id never."""
+    x = np.random.default_rng(3).normal(size=(130, 8)).astype(np.float32)
+    ids = [1] * 31 + [0] + list(range(2, 100))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in search(rows, rows.where("vec_id in (0, 1, 40)"), k).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 1, 40}
+    v = np.floor(x.astype(float) * measure).astype(np.int64) if measure else x.astype(float)
+    for q, found in got.items():
+        mine = v[min((i for i in range(len(ids)) if ids[i] == q), key=lambda i: v[i].tolist())]
+        scores = [reduce(lambda t, ab: t + ab[0] * ab[1], zip(r.tolist(), mine.tolist(), strict=True), 0) for r in v]  # in order, as sum() compensates
+        best = sorted((-s, i) for s, i in zip(scores, ids, strict=True) if i != q)[:k]
+        assert sorted(found) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    same = spark.createDataFrame([(i // 40, [1.0, 2.0]) for i in range(120)], "vec_id long, embedding array<float>")
+    assert search(same, same.where("vec_id = 0"), k).count() == k
+
+
+def test_exact_topk_of_huge_components(spark):
+    """Sums beyond 2**53 are exact, ties to the smaller id included; a score that a long can't hold is an error."""
+    rows = spark.createDataFrame([(0, [3.0e6, 1.0]), (1, [2.9e6, 1.0]), (2, [2.9e6, 2.0]), (3, [2.9e6, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in exact_topk.search(rows, rows.where("vec_id = 0"), 10).orderBy("rank").collect()]
+    s = [3000000 * 2900000 * 1024**2 + k * 1024**2 for k in (1, 2)]
+    assert got == [(1, 2, s[1]), (2, 1, s[0]), (3, 3, s[0])]
+    with pytest.raises(Exception, match="too large|out of bounds|OverflowError"):
+        rows = spark.createDataFrame([(i, [1.0e9, 1.0e9]) for i in range(2)], "vec_id long, embedding array<double>")
+        exact_topk.search(rows, rows.where("vec_id = 0"), 10).collect()
+
+
+def test_exact_topk_prunes_across_blocks():
+    """With a bound from outside, a block that holds nothing near is left after its root."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(3000, 8)) * 10 + 500)
+    q = np.floor(rng.normal(size=(40, 8)) * 10 - 500)
+    search = exact_topk.DualSearch(x, np.arange(3000), q, -1 - np.arange(40), 5, np.zeros(40, np.int64))
+    assert len(search.run()[0]) == 0 and search.visited == 0
+
+
+def test_ann_recall_on_given_vectors(spark, sf_middle):
+    """The registered query; the lists and the scan answer, as the sample holds a twentieth of the rows."""
+    rows = spark.read.parquet(f"{sf_middle}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in queries.op1_approximate_nearest_neighbours(spark, sf_middle).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = 0
+    for q, found in got.items():
+        s = np.where(ids == q, -np.inf, x @ x[np.flatnonzero(ids == q)[0]])
+        hits += len(found & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
