@@ -38,7 +38,9 @@ _BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, np.uint32)
 _CHUNK_BITS = 10
 #: Pieces between white space that a task keeps, bytes of its chunks, and pieces of a chunk kept on either side of a join.
-_MAX_PIECES, CHUNK_BYTES, REACH = 150_000, 48 << 20, 3
+_MAX_PIECES, CHUNK_BYTES, REACH = 150_000, 24 << 20, 2
+#: Strings that the library gets at once: its results are larger than their ids.
+_BATCH = 500
 
 
 def _byte_letters() -> dict[int, str]:
@@ -94,6 +96,12 @@ class ChunkEncoder:
     def whole(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each, by the library."""
+        for lo in range(0, len(texts), _BATCH):
+            for e in self.tokenizer.encode_batch(texts[lo : lo + _BATCH], add_special_tokens=False):
+                yield pack(e.ids)
+
     def _learn(self, pieces: set[bytes]) -> None:
         rest, tokenize = [], self.tokenizer.model.tokenize
         for p in pieces.difference(self.pieces):
@@ -102,9 +110,8 @@ class ChunkEncoder:
                 self.pieces[p] = pack([x.id for x in tokenize(p.decode("latin-1").translate(BYTE_LETTERS))])
             else:
                 rest.append(t)
-        for t, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            p = t.encode()
-            self.pieces[p] = None if not t.isascii() and _ODD_SPACE.search(t) else pack(e.ids)
+        for t, ids in zip(rest, self._encoded(rest), strict=True):
+            self.pieces[t.encode()] = None if not t.isascii() and _ODD_SPACE.search(t) else ids
 
     @staticmethod
     def _split(chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
@@ -117,12 +124,16 @@ class ChunkEncoder:
             last = len(chunk[: len(chunk) - len(chunk.rsplit(None, 1)[1])].rstrip())
         return chunk[:head], chunk[head:last], chunk[last:]
 
+    @staticmethod
+    def _weight(chunk: Chunk | None) -> int:
+        """Bytes that an entry takes, about, with its key and its pieces."""
+        return 250 if chunk is None else 1000 + len(chunk.head) + len(chunk.tail) + len(chunk.ids or b"")
+
     def _remember(self, key: bytes, chunk: Chunk | None) -> None:
         self.chunks[key] = chunk
-        self.size += 300 + (len(chunk.ids or b"") + 8 * len(chunk.head + chunk.tail) if chunk else 0)
+        self.size += self._weight(chunk)
         while self.size > CHUNK_BYTES:
-            _, old = self.chunks.popitem(last=False)
-            self.size -= 300 + (len(old.ids or b"") + 8 * len(old.head + old.tail) if old else 0)
+            self.size -= self._weight(self.chunks.popitem(last=False)[1])
 
     def _chunks_of(self, texts: list[bytes]) -> list[list[tuple[bytes, Chunk | None]] | None]:
         """Each text's chunks; None for a text with separators that only some readers take for white space."""
@@ -167,8 +178,8 @@ class ChunkEncoder:
         afters = [a.first[:reach] if a else [] for _, _, a in joins]
         texts = [b"".join([*(p for p, _ in x), middle, *(p for p, _ in y)]).decode() for x, (_, middle, _), y in zip(befores, joins, afters, strict=True)]
         out = []
-        for t, e, x, y in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), befores, afters, strict=True):
-            ids, left, right = pack(e.ids), b"".join(i for _, i in x), b"".join(i for _, i in y)
+        for t, ids, x, y in zip(texts, self._encoded(texts), befores, afters, strict=True):
+            left, right = b"".join(i for _, i in x), b"".join(i for _, i in y)
             agree = ids.startswith(left) and ids.endswith(right) and len(ids) >= len(left) + len(right) and (t.isascii() or not _ODD_SPACE.search(t))
             out.append(ids[len(left) : len(ids) - len(right)] if agree else None)
         return out
