@@ -6,7 +6,6 @@ import re
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +34,12 @@ def base_letters(c: Column) -> Column:
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ligatures.items(), one)
 
 
-def _joined(text: str) -> str:
-    """Runs of single Arabic letters between spaces, put together."""
-    return re.sub(r"(?<!\S)(?:[ء-ي] ){2,}[ء-ي](?!\S)", lambda m: m.group().replace(" ", ""), text)
-
-
 def without_fragments(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def join(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _joined(t) if t is not None else None)
-
-    return join(c)
+    """Runs of three or more single Arabic letters between spaces, put together."""
+    letter, alone = "[ء-ي]", "(?<![^\\s])"
+    runs = f"{alone}(?:{letter} ){{2,}}{letter}(?![^\\s])"
+    parts, between = F.regexp_extract_all(c, F.lit(runs), F.lit(0)), F.split(c, runs)
+    return F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.replace(F.get(parts, i), F.lit(" "), F.lit("")), F.lit(""))))), "")
 
 
 def needs_repair(c: Column) -> Column:
@@ -53,8 +47,8 @@ def needs_repair(c: Column) -> Column:
     ws = words(c)
     letters = F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w))
     arabic = F.regexp_count(c, F.lit(ARABIC))
-    share = arabic / F.length(F.trim(c))
-    bad = (letters / F.size(ws) <= 2) | F.exists(ws, lambda w: (F.length(w) == 1) & w.rlike(ARABIC)) | c.rlike(r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFC}]") | (share > 0.1)
+    share = arabic / F.nullif(F.length(F.trim(c)), F.lit(0))
+    bad = (letters / F.nullif(F.size(ws), F.lit(0)) <= 2) | F.exists(ws, lambda w: (F.length(w) == 1) & w.rlike(ARABIC)) | c.rlike(r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFC}]") | (share > 0.1)
     return F.coalesce((F.trim(c) != "") & (arabic > 0) & bad, F.lit(False))
 
 
@@ -83,3 +77,13 @@ def ordinal_number(c: Column) -> Column:
     digits = F.nullif(F.translate(F.regexp_extract(c, r"[0-9٠-٩]+", 0), "٠١٢٣٤٥٦٧٨٩", "0123456789"), F.lit("")).try_cast("int")
     found = F.regexp_extract(F.regexp_replace(c, r"\s+", " "), "(?<![ء-ي])(" + "|".join(map(re.escape, table)) + ")(?![ء-ي])", 1)
     return F.coalesce(digits, F.when(found != "", F.try_element_at(number, found)))
+
+
+def with_digits(c: Column) -> Column:
+    """Ordinal words in a text as digits, longer ones first, so that none is replaced inside a longer one."""
+    table = ordinals()
+    number = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    pattern = "(?<![ء-ي])(?:" + "|".join(re.escape(k).replace("\\ ", r"\s+") for k in table) + ")(?![ء-ي])"
+    words_, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern)
+    digits = F.transform(words_, lambda w: F.try_element_at(number, F.regexp_replace(w, r"\s+", " ")).cast("string"))
+    return F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(digits, i), F.lit(""))))), "")

@@ -89,34 +89,55 @@ def recursive_chunks(c: Column, size: int = 400, overlap: int = 50, separators:
     return split(c)
 
 
-_SENTENCE = re.compile(r"[^.!?؟]*[.!?؟]+\s*|[^.!?؟]+$")
-
-
-def _budgeted(text: str, most: int) -> list[dict]:
-    pieces = []
-    for m in re.finditer(r"(?:.(?!\n\s*\n))*.(?:\n\s*\n)?", text, re.S):
-        if len(m.group().split()) > most:
-            pieces += [(m.start() + x.start(), m.start() + x.end()) for x in _SENTENCE.finditer(m.group())]
-        else:
-            pieces.append(m.span())
-    out, start, end, count = [], None, None, 0
-    for a, b in pieces:
-        n = len(text[a:b].split())
-        if start is not None and count + n > most:
-            out.append({"start": start, "end": end, "text": text[start:end]})
-            start, count = None, 0
-        start = a if start is None else start
-        end, count = b, count + n
-    if start is not None:
-        out.append({"start": start, "end": end, "text": text[start:end]})
+_BUDGETED = "array<string>"
+
+
+def _budgeted(text: str, most: int, overlap: bool) -> list[str]:
+    """Paragraphs packed up to `most` words, longer ones by sentence; with overlap a chunk begins with the last paragraph, or the last of several sentences, of the one before."""
+    out: list[str] = []
+    size = lambda x: len(x.split())
+
+    def packed(parts: list[str], glue: str, least: int) -> None:
+        held, count = [], 0
+        for x in parts:
+            n = size(x)
+            if held and count + n > most:
+                out.append(glue.join(held))
+                held = held[-1:] if overlap and len(held) > least else []
+                count = sum(map(size, held))
+            held.append(x)
+            count += n
+        if held:
+            out.append(glue.join(held))
+
+    run: list[str] = []
+    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+        if size(paragraph) <= most:
+            run.append(paragraph)
+            continue
+        packed(run, "\n\n", 0)
+        run = []
+        packed([x for x in map(str.strip, re.split(r"[.!?؟]\s+", paragraph)) if x], " ", 1)
+    packed(run, "\n\n", 0)
     return out
 
 
-def budget_chunks(c: Column, most: int = 500) -> Column:
-    """Paragraphs packed up to `most` words; longer ones by sentence."""
+def budget_chunks(c: Column, most: int = 500, overlap: bool = True) -> Column:
+    """Chunk texts of paragraphs up to `most` words; longer paragraphs by sentence."""
 
-    @F.pandas_udf(_CHUNKS)
+    @F.pandas_udf(_BUDGETED)
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _budgeted(t or "", most))
+        return texts.map(lambda t: _budgeted(t or "", most, overlap))
 
     return split(c)
+
+
+#: How articles and sections are named in chunks, Arabic and English.
+ARTICLE_IN = {"ar": r"(?:المادة|الماده|مادة)\s*(?:رقم)?\s*(\d+|[٠-٩]+)", "en": r"(?i)(?:Article|Section|Clause)\s+(?:No\.?\s*)?(\d+)"}
+SECTION_IN = {"ar": r"(?:الباب|الفصل|القسم)\s*(?:ال)?([\p{L}\p{N}_]+)", "en": r"(?i)(?:Chapter|Part|Section)\s+([\p{L}\p{N}_]+)"}
+
+
+def chunk_metadata(content: Column, language: Column) -> Column:
+    """article_number and section_title that a chunk names first, by its language; null without."""
+    by = lambda held, group: F.nullif(F.when(language == "ar", F.regexp_extract(content, held["ar"], group)).otherwise(F.regexp_extract(content, held["en"], group)), F.lit(""))
+    return F.struct(by(ARTICLE_IN, 1).alias("article_number"), by(SECTION_IN, 0).alias("section_title"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +43,8 @@ def token_count(c: Column) -> Column:
 
 
 def first_number(c: Column) -> Column:
-    """The first run of digits, Arabic-Indic ones too, as long."""
-    return F.nullif(F.translate(F.regexp_extract(c, r"(?U)\d+", 0), "٠١٢٣٤٥٦٧٨٩", "0123456789"), F.lit("")).try_cast("long")
+    """The first run of digits, Arabic-Indic and Persian ones too, as long."""
+    return F.nullif(F.translate(F.regexp_extract(c, r"[0-9٠-٩۰-۹]+", 0), "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "0123456789" * 2), F.lit("")).try_cast("long")
 
 
 def article_chunk(title: Column, content: Column, number: Column) -> Column:
@@ -60,10 +63,14 @@ def case_chunk(section_type: Column, content: Column) -> Column:
     return F.concat_ws("\n", F.coalesce(F.try_element_at(label, section_type), section_type), content)
 
 
+#: A letter, digit or underscore.
+WORD = r"[\p{L}\p{N}_]"
+
+
 def arabic_share(c: Column) -> Column:
-    """Arabic characters over word characters; 0 without any."""
-    n = F.regexp_count(c, F.lit(r"(?U)\w"))
-    return F.when(n > 0, F.regexp_count(c, F.lit(ARABIC)) / n).otherwise(0.0)
+    """Arabic characters over word characters; 0 without any. Texts without Arabic are not counted through."""
+    n = F.regexp_count(c, F.lit(WORD))
+    return F.when(c.rlike(ARABIC) & (n > 0), F.regexp_count(c, F.lit(ARABIC)) / n).otherwise(0.0)
 
 
 def language(c: Column) -> Column:
@@ -76,6 +83,12 @@ def text_statistics(c: Column) -> Column:
     return F.struct(n.alias("n_chars"), arabic.alias("n_arabic"), F.when(n > 0, F.round(arabic / n, 4)).otherwise(0.0).alias("arabic_ratio"))
 
 
+def repaired_share(before: Column, after: Column) -> Column:
+    """Statistics of a text before and after its repair, and by how much the Arabic ratio grew (4 digits)."""
+    a, b = text_statistics(before), text_statistics(after)
+    return F.struct(a.alias("before"), b.alias("after"), F.round(b["arabic_ratio"] - a["arabic_ratio"], 4).alias("delta"))
+
+
 def keyword_words(c: Column) -> Column:
     """Lower-cased words without marks, longer than two and no stop words, in text order."""
     plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w\s]", "")
@@ -100,15 +113,17 @@ def sentences(c: Column) -> Column:
 
 
 def unique_lines(c: Column) -> Column:
-    """Lines without those that, trimmed, stand before; empty lines stay."""
-    lines = F.split(c, "\n")
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    return F.array_join(F.filter(lines, lambda x, i: (F.trim(x) == "") | (F.array_position(trimmed, F.trim(x)) == i + 1)), "\n")
+    """Lines without those that, trimmed, stand before; empty lines stay. Lines are sorted once by content and place, so that repeated ones follow each other."""
+    placed = F.sort_array(F.transform(F.split(c, "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i"), x.alias("line"))))
+    none = F.filter(F.transform(placed, lambda x: F.lit(None).cast("struct<t:string,i:int,line:string>")), lambda x: F.lit(True))
+    before = F.concat(F.slice(none, 1, 1), placed)
+    first = F.filter(F.zip_with(placed, before, lambda a, b: F.when(a.isNotNull() & ((a["t"] == "") | b.isNull() | (a["t"] != b["t"])), F.struct(a["i"].alias("i"), a["line"].alias("line")))), lambda x: x.isNotNull())
+    return F.array_join(F.transform(F.sort_array(first), lambda x: x["line"]), "\n")
 
 
 def cleaned(c: Column) -> Column:
     """Newlines unified, lines of page numbers and rules dropped, runs of spaces and of blank lines cut, repeated lines dropped, trimmed."""
-    steps = ((r"\r\n?", "\n"), (r"(?m)^[ \t]*(?:[Pp]age[ \t]+)?\d+[ \t]*$", ""), (r"(?m)^[ \t]*[-_=*]{3,}[ \t]*$", ""), (r"[ \t]+", " "))
+    steps = ((r"\r\n?", "\n"), (r"(?md)^[ \t]*(?:[Pp]age[ \t]+)?\d+[ \t]*$", ""), (r"(?md)^[ \t]*[-_=*]{3,}[ \t]*$", ""), (r"[ \t]+", " "))
     lines = unique_lines(reduce(lambda x, s: F.regexp_replace(x, F.lit(s[0]), F.lit(s[1])), steps, c))
     return F.btrim(F.regexp_replace(lines, r"\n{3,}", "\n\n"), F.lit(" \n\t"))
 
@@ -149,6 +164,33 @@ def json_in(c: Column) -> Column:
     return F.coalesce(*(F.when(F.try_parse_json(t).isNotNull() & (t != ""), t) for t in tries))
 
 
+def listed_items(c: Column, key: str, n: int = 10) -> Column:
+    """For text without JSON: after the first line that names the key (`weak_points` or `weak point`), the first n items: lines with a bullet or one of the numbers 1 to 3, and other lines of more than 10 characters but brackets."""
+    named = F.array(F.lit(key), F.lit(key.rstrip("s").replace("_", " ")))
+    lines = F.split(c, "\n")
+    hits = F.transform(lines, lambda x: F.exists(named, lambda k: F.contains(F.lower(x), k)))
+    start = F.array_position(hits, True)
+    item = lambda x: F.when(x.rlike(r"^\s*(?:[-•*]|[123]\.)"), F.nullif(F.trim(F.regexp_replace(x, r"^[-•*0-9.\s]+", "")), F.lit(""))).when(~x.rlike(r"^\s*[{}\[\]]") & (F.length(F.trim(x)) > 10), F.trim(x))
+    rest = F.filter(F.zip_with(lines, hits, lambda x, hit: F.when(~hit, item(x))), lambda x, i: (i >= start) & x.isNotNull())
+    return F.when(start > 0, F.slice(rest, 1, n)).otherwise(F.array().cast("array<string>"))
+
+
+def json_hash(c: Column) -> Column:
+    """SHA-256 of JSON with its keys in order, as Python's json module writes it; null for what is no JSON."""
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return digest(c)
+
+
 def browser(user_agent: Column) -> Column:
     """The first name of BROWSERS in the header."""
     return reduce(lambda rest, b: F.when(user_agent.contains(b), b).otherwise(rest), reversed(BROWSERS), F.lit("Unknown"))
@@ -159,6 +201,20 @@ def masked_email(c: Column) -> Column:
     return F.regexp_replace(c, r"^(.)[^@]*@", "$1***@")
 
 
+#: Keys whose values logs hide, and what stands there instead.
+SECRETS = {"password": "***", "token": "***", "email": "***@***.***", "authorization": "***"}
+
+
+def masked_secrets(c: Column) -> Column:
+    """Values after `key=` or `key:`, quoted or not, hidden."""
+    return reduce(lambda x, kv: F.regexp_replace(x, f"(?i){kv[0]}[\"']?\\s*[:=]\\s*[\"']?[^\"'\\s,}}]+", f'{kv[0]}="{kv[1]}"'), SECRETS.items(), c)
+
+
+def valid_name(c: Column) -> Column:
+    """Latin or Arabic letters, white space, hyphens and apostrophes; null and empty names are allowed."""
+    return (F.coalesce(c, F.lit("")) == "") | F.coalesce(F.trim(c).rlike(r"^[a-zA-Z\x{0600}-\x{06FF}\s\-']+$"), F.lit(False))
+
+
 def valid_email(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), F.lit(False))
 
@@ -178,6 +234,20 @@ def days_remaining(end: Column, as_of: Column) -> Column:
     return F.when(end.isNull(), 999999).otherwise(F.greatest(F.lit(0), F.floor(seconds / 86400)))
 
 
+def subscription_state(start: Column, end: Column, as_of: Column) -> Column:
+    """active from the start to the end, without an end for ever; expired after it; pending before."""
+    return F.when(start > as_of, "pending").when(end.isNull() | (end > as_of), "active").otherwise("expired")
+
+
+#: Which column of a plan limits which feature.
+FEATURE_LIMITS = {"file_upload": "file_limit", "ai_chat": "ai_message_limit", "contract": "contract_limit", "report": "report_limit", "token": "token_limit", "multi_user": "multi_user_limit"}
+
+
+def plan_limit(feature: Column, limits: dict[str, str] = FEATURE_LIMITS) -> Column:
+    """The limit of a feature in a row of plans; 0, which is none, where it is null or the feature unknown."""
+    return F.coalesce(F.try_element_at(F.create_map(*(x for name, column in limits.items() for x in (F.lit(name), F.col(column)))), feature), F.lit(0))
+
+
 def reset_due(cycle: Column, last_reset: Column, as_of: Column) -> Column:
     days = F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(last_reset.cast("timestamp"))) / 86400)
     return F.coalesce(days >= F.when(cycle == "daily", 1).when(cycle == "monthly", 30).when(cycle == "yearly", 365), F.lit(False))

@@ -36,9 +36,14 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def hashed_embedding(c: Column, dim: int = 256, most_words: int = 1000) -> Column:
+def _first(ws: Column, n: int | None) -> Column:
+    """The first n words; all of them for None."""
+    return ws if n is None else F.slice(ws, 1, n)
+
+
+def hashed_embedding(c: Column, dim: int = 256, most_words: int | None = 1000) -> Column:
     """A bag of hashed words: the i-th word (from 0) adds 1/(i+1) to three slots; unit length; zeros for blank text."""
-    ws = F.slice(words(F.lower(c)), 1, most_words)
+    ws = _first(words(F.lower(c)), most_words)
     slots = F.flatten(F.transform(ws, lambda w, i: F.array(*(F.struct(F.pmod(F.xxhash64(w, F.lit(k)), F.lit(dim)).cast("int").alias("slot"), (F.lit(1.0) / (i + 1)).alias("weight")) for k in range(3)))))
     # Arrays of one hold the slots, the sums and the length, so that each is computed once.
     raw = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(held, lambda s: s["slot"] == d), F.lit(0.0), lambda acc, s: acc + s["weight"]))
@@ -47,9 +52,9 @@ def hashed_embedding(c: Column, dim: int = 256, most_words: int = 1000) -> Colum
     return F.coalesce(F.transform(F.array(both), unit)[0], F.array_repeat(F.lit(0.0), dim))
 
 
-def hashed_embeddings(rows: DataFrame, key: str, text: str, dim: int = 256, most_words: int = 1000) -> DataFrame:
+def hashed_embeddings(rows: DataFrame, key: str, text: str, dim: int = 256, most_words: int | None = 1000) -> DataFrame:
     """(key, embedding) as hashed_embedding makes it, with one sum per key and slot: for whole tables. Keys are unique."""
-    each = rows.select(key, F.posexplode(F.slice(words(F.lower(text)), 1, most_words)).alias("_i", "_w"))
+    each = rows.select(key, F.posexplode(_first(words(F.lower(text)), most_words)).alias("_i", "_w"))
     hits = each.select(key, (F.lit(1.0) / (F.col("_i") + 1)).alias("_x"), F.explode(F.array(*(F.pmod(F.xxhash64("_w", F.lit(k)), F.lit(dim)).cast("int") for k in range(3)))).alias("_slot"))
     sums = hits.groupBy(key, "_slot").agg(F.sum("_x").alias("_x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_x"))).alias("_sums"))
     dense = rows.select(key).join(sums, key, "left").withColumn("_raw", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("_sums", d), F.lit(0.0)))).withColumn("_n", norm(F.col("_raw")))

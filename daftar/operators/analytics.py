@@ -7,6 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daftar.functions.text import plan_limit
+from daftar.operators.catalog import null_or_after
+
 
 def minute_bucket(ts: Column, minutes: int) -> Column:
     """The hour and the minutes of the hour rounded down to a multiple; so 45 gives :00 and :45."""
@@ -58,11 +61,27 @@ def macro_accuracy(hits: DataFrame, key: str, hit: str) -> DataFrame:
     return hits.groupBy(key).agg(F.avg(F.col(hit).cast("double")).alias("ratio")).agg(F.round(F.avg("ratio"), 6).alias("macro_accuracy"), F.count("ratio").alias("n_keys"))
 
 
+def tally(rows: DataFrame, succeeded: Column, *keys: str) -> DataFrame:
+    """total, successful and failed rows, of each key or of all; what is neither true nor false has failed."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(succeeded).alias("successful"), (F.count("*") - F.count_if(succeeded)).alias("failed"))
+
+
 def next_number(rows: DataFrame, key: str, number: str) -> DataFrame:
     """Each key's next revision number."""
     return rows.groupBy(key).agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_number"))
 
 
+def feature_usage(subscriptions: DataFrame, plans: DataFrame, usage: DataFrame, feature: str, as_of: Column) -> DataFrame:
+    """Each user's quota of a feature: user_id, current_usage, limit, remaining (999999 without a limit), can_use. The latest subscription that has begun and not ended counts; without one nothing is allowed, without a limit (0) or a usage row everything is."""
+    valid = subscriptions.where((F.col("start_date") <= as_of) & null_or_after("end_date", as_of))
+    current = latest(valid, "user_id", F.desc("start_date"), F.desc("subscription_id")).select("user_id", "subscription_id", "plan_id")
+    limits = plans.select("plan_id", plan_limit(F.lit(feature)).alias("limit"))
+    used = usage.where(F.col("feature") == feature).groupBy("subscription_id").agg(F.sum("used_count").alias("used_count"))
+    joined = subscriptions.select("user_id").distinct().join(current, "user_id", "left").join(limits, "plan_id", "left").join(used, "subscription_id", "left")
+    has, now, most = F.col("limit").isNotNull(), F.coalesce("used_count", F.lit(0)), F.coalesce("limit", F.lit(0))
+    return joined.select("user_id", F.when(has, now).otherwise(0).alias("current_usage"), most.alias("limit"), F.when(~has, 0).when(most > 0, F.greatest(F.lit(0), most - now)).otherwise(999999).alias("remaining"), (has & ((most == 0) | (now < most))).alias("can_use"))
+
+
 def lockouts(attempts: DataFrame, failed: Column, most: int = 5) -> DataFrame:
     """Per user the longest run of failures without a success between, and whether it reaches `most`."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

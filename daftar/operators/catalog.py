@@ -22,6 +22,36 @@ def where_given(rows: DataFrame, **filters: object) -> DataFrame:
     return rows.where(reduce(operator.and_, conditions)) if conditions else rows
 
 
+def null_or_after(column: str, at: Column) -> Column:
+    """Rows without an end, or whose end is still to come."""
+    return F.col(column).isNull() | (F.col(column) > at)
+
+
+def has_any(tags: Column, wanted: Sequence[str]) -> Column:
+    """Whether an array, or JSON text of one, holds any of the wanted tags; every row without wanted ones."""
+    return F.coalesce(F.arrays_overlap(tags, F.lit(list(wanted))), F.lit(False)) if wanted else F.lit(True)
+
+
+def tags_of(json: Column) -> Column:
+    """The tags of a JSON array of strings."""
+    return F.from_json(json, "array<string>")
+
+
+def limited_then_skipped(rows: DataFrame, order: Sequence[Column | str], skip: int, limit: int) -> DataFrame:
+    """For callers that rely on it: the first `limit` rows, and of these all but the first `skip`."""
+    return rows.orderBy(*order).limit(limit).offset(skip)
+
+
+def labelled(rows: DataFrame, labels: DataFrame, on: Column, label: str, default: str = "Unknown") -> DataFrame:
+    """rows with the label of what they refer to, or a default where that isn't there."""
+    return rows.join(labels, on, "left").withColumn(label, F.coalesce(label, F.lit(default)))
+
+
+def both_or_null(*parts: str, glue: str = " ") -> Column:
+    """The parts joined; null unless all are there."""
+    return F.when(reduce(operator.and_, (F.col(c).isNotNull() for c in parts)), F.concat_ws(glue, *parts))
+
+
 def contains_any(columns: Sequence[str], term: str) -> Column:
     """Case-insensitive substring of any column; `%` and `_` in the term act as wildcards."""
     return reduce(operator.or_, (F.coalesce(F.col(c).ilike(f"%{term}%"), F.lit(False)) for c in columns))

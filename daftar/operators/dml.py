@@ -11,6 +11,11 @@ def update_where(rows: DataFrame, condition: Column, **values: Column) -> DataFr
     return rows.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def updated_rows(rows: DataFrame, condition: Column, **values: Column) -> DataFrame:
+    """The changed rows alone, as they are after update_where."""
+    return rows.where(condition).withColumns(values)
+
+
 def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
@@ -21,7 +26,9 @@ def cascade(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(rows: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """new rows replace those with their keys and join the others. Keys of new must be unique."""
+    """new rows replace those with their keys and join the others. Of several new rows with one key the greatest, column by column, counts."""
+    last = F.max(F.struct(*(F.col(c) for c in new.columns if c not in keys), *keys)).alias("_last")
+    new = new.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(last).select("_last.*")
     return rows.join(new.select(*keys), list(keys), "left_anti").unionByName(new.select(*rows.columns))
 
 
@@ -38,6 +45,14 @@ def add_to_counters(counters: DataFrame, uses: DataFrame, *keys: str, amount: st
     return counters.select(*keys, amount).unionByName(uses.select(*keys, amount)).groupBy(*keys).agg(F.sum(amount).alias(amount))
 
 
+def used_if_allowed(counters: DataFrame, uses: DataFrame, *keys: str, amount: str = "used", limit: str = "limit") -> DataFrame:
+    """Check and increment in one: counters (keys, amount, limit) after the uses (keys, amount), each key's in full or, if it would pass the limit, not at all; with `allowed`. A limit of 0 or null is none."""
+    asked = uses.groupBy(*keys).agg(F.sum(amount).alias("_asked"))
+    sum_ = F.col(amount) + F.col("_asked")
+    allowed = (F.coalesce(limit, F.lit(0)) <= 0) | (sum_ <= F.col(limit))
+    return counters.join(asked, list(keys), "left").withColumn("allowed", F.when(F.col("_asked").isNotNull(), allowed)).withColumn(amount, F.when(F.col("allowed"), sum_).otherwise(F.col(amount))).drop("_asked")
+
+
 def with_revision(revisions: DataFrame, content: DataFrame, key: str) -> DataFrame:
     """revisions (key, revision_number, content) and one further row for each key in content."""
     last = revisions.groupBy(key).agg(F.max("revision_number").alias("_last"))
@@ -50,7 +65,11 @@ def resolve(tickets: DataFrame, condition: Column, at: Column) -> DataFrame:
     return tickets.withColumn("resolved_at", F.when(condition, F.coalesce("resolved_at", at)).otherwise(F.col("resolved_at"))).withColumn("status", F.when(condition, "resolved").otherwise(F.col("status")))
 
 
-def document_status(documents: DataFrame, chunks: DataFrame, key: str = "document_id") -> DataFrame:
-    """processed where a document has chunks and each has a vector, else raw."""
+def document_status(documents: DataFrame, chunks: DataFrame, key: str = "document_id", analysed: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """indexed where a document was analysed, processed where it has chunks and each has a vector, raw else and where its embedding failed."""
     per = chunks.groupBy(key).agg(F.count("*").alias("n"), F.count("embedding").alias("done"))
-    return documents.drop("status").join(per, key, "left").withColumn("status", F.when(F.col("done") == F.col("n"), "processed").otherwise("raw")).drop("n", "done")
+    joined = documents.drop("status").join(per, key, "left")
+    for name, held in (("_analysed", analysed), ("_failed", failed)):
+        joined = joined.join(held.select(key).distinct().withColumn(name, F.lit(True)), key, "left") if held is not None else joined.withColumn(name, F.lit(None).cast("boolean"))
+    status = F.when(F.col("_failed"), "raw").when(F.col("_analysed"), "indexed").when(F.col("done") == F.col("n"), "processed").otherwise("raw")
+    return joined.withColumn("status", status).drop("n", "done", "_analysed", "_failed")

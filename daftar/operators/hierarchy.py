@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ CHAPTER = r"^\s*(?:الباب|(?i:part|title))\s+\S"
 SECTION = r"^\s*(?:الفصل|(?i:chapter|section))\s+\S|^\s*(?:أولاً|ثانياً|ثالثاً|رابعاً|خامساً|سادساً|سابعاً|ثامناً|تاسعاً|عاشراً)"
 ARTICLE = r"^\s*(?:(?:ال)?مادة\s*[:：]?\s*\S|م\s*[.．]\s*[0-9٠-٩]|(?i:article)\s+\S)"
 SUB_ARTICLE = r"^\s*(?:[0-9٠-٩]+|[أ-ي])\s*[-–—).]\s*"
-CONTENTS = r"(?i)فهرس|المحتويات|table of contents"
+CONTENTS = r"(?i)فهرس|المحتويات|محتوى الكتاب|index|contents"
 CASE_MARKERS = {"summary": "ملخص|summary", "facts": "الوقائع|facts", "arguments": "الحجج|الدفوع|arguments", "ruling": "الحكم|منطوق|ruling", "legal_basis": "الأساس القانوني|الأسانيد|legal basis"}
 
 
@@ -21,16 +23,35 @@ def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return documents.select(key, F.posexplode(F.split(text, "\n")).alias("_i", "line")).select(key, (F.col("_i") + 1).alias("line_number"), "line")
 
 
+def _kind(plain: Column) -> Column:
+    return F.when(F.trim(plain) == "", "blank").when(plain.rlike(CHAPTER), "chapter").when(plain.rlike(SECTION), "section").when(plain.rlike(ARTICLE), "article").when(plain.rlike(SUB_ARTICLE), "sub_article").otherwise("content")
+
+
 def kind(line: Column) -> Column:
     """chapter, section, article, sub_article, content or blank; the outermost kind wins."""
-    plain = base_letters(line)
-    return F.when(F.trim(plain) == "", "blank").when(plain.rlike(CHAPTER), "chapter").when(plain.rlike(SECTION), "section").when(plain.rlike(ARTICLE), "article").when(plain.rlike(SUB_ARTICLE), "sub_article").otherwise("content")
+    return _kind(base_letters(line))
+
+
+#: The headings that are surest, as PDFs give them, in presentation forms; and what confidence each kind has, with and without them.
+SUREST = {"chapter": ("ﺍﻟﺒﺎﺏ ﺍﻟﺤﺎﺩﻱ ﻋﺸﺮ", "ﺍﻟﺒﺎﺏ ﺍﻟﺜﺎﻧﻲ ﻋﺸﺮ"), "section": ("ﺍﻟﻔﺼﻞ ﺍﻷﻭﻝ", "ﺍﻟﻔﺼﻞ ﺍﻟﺜﺎﻧﻲ", "ﺍﻟﻔﺼﻞ ﺍﻟﺜﺎﻟﺚ"), "article": ("ﺍﻟﻤﺎﺩﺓ ﺍﻟﺤﺎﺩﻳﺔ ﻭﺍﻟﻌﺸﺮﻭﻥ", "ﺍﻟﻤﺎﺩﺓ ﺍﻟﺜﺎﻧﻴﺔ ﻭﺍﻟﻌﺸﺮﻭﻥ")}
+CONFIDENCE = {"chapter": (0.95, 0.85), "section": (0.90, 0.80), "article": (0.95, 0.85), "sub_article": (0.80, 0.80), "content": (0.70, 0.70), "blank": (1.0, 1.0)}
+
+
+def confidence(kind_: Column, line: Column) -> Column:
+    """How sure a line's kind is."""
+    out = F.lit(None).cast("double")
+    for name, (most, least) in CONFIDENCE.items():
+        surest = reduce(lambda a, b: a | b, (line.contains(x) for x in SUREST.get(name, ())), F.lit(False))
+        out = F.when(kind_ == name, F.when(surest, most).otherwise(least)).otherwise(out)
+    return out
 
 
 def classified(rows: DataFrame) -> DataFrame:
-    """Lines with kind, number and confidence: 1.0 with a number that could be read, else 0.8 for headings, 0.5 for content."""
-    k = rows.withColumn("kind", kind(F.col("line"))).withColumn("number", F.when(F.col("kind").isin("chapter", "section", "article"), ordinal_number(base_letters(F.col("line")))))
-    return k.withColumn("confidence", F.when(F.col("number").isNotNull(), 1.0).when(F.col("kind").isin("content", "blank"), 0.5).otherwise(0.8))
+    """Lines with kind, number (of headings) and confidence."""
+    plain = rows.withColumn("_plain", base_letters(F.col("line")))
+    k = plain.withColumn("kind", _kind(F.col("_plain")))
+    k = k.withColumn("number", F.when(F.col("kind").isin("chapter", "section", "article"), ordinal_number(F.col("_plain"))))
+    return k.withColumn("confidence", confidence(F.col("kind"), F.col("line"))).drop("_plain")
 
 
 def placed(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,35 +79,51 @@ def article_texts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return held.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda s: s["line"]), "\n").alias("content"))
 
 
-def numbering_issues(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Articles whose number is missing or does not follow the last one's, and each document's validity 1 - 0.1 per issue, at least 0."""
-    w = Window.partitionBy(key).orderBy("line_number")
-    articles = rows.where("kind = 'article'").withColumn("_before", F.lag("number").over(w))
-    bad = F.col("number").isNull() | (F.col("_before").isNotNull() & (F.col("number") != F.col("_before") + 1))
-    return articles.groupBy(key).agg(F.count_if(bad).alias("n_issues")).withColumn("validity", F.greatest(F.lit(0.0), 1.0 - 0.1 * F.col("n_issues")))
+def numbering_issues(rows: DataFrame, key: str = "doc_id", number: str = "number") -> DataFrame:
+    """rows: articles, or classified lines, of which articles count. Per document those whose stated number, without `/` and `-`, is no run of digits, and its validity 1 - 0.1 per issue, at least 0."""
+    rows = rows.where("kind = 'article'") if "kind" in rows.columns else rows
+    bad = ~F.coalesce(F.regexp_replace(F.col(number).cast("string"), "[/-]", "").rlike(r"^[\p{Nd}]+$"), F.lit(False))
+    return rows.groupBy(key).agg(F.count_if(bad).alias("n_issues")).withColumn("validity", F.greatest(F.lit(0.0), 1.0 - 0.1 * F.col("n_issues")))
+
+
+#: What a contents page, its entries and its end look like.
+ENTRY_PAGE = r"\.+\s*\d+\s*$|\s+\d+\s*$"
+ENTRY_WORDS = "الباب|الفصل|المادة|أولاً|ثانياً"
+FIRST_ARTICLE = r"المادة الأولى|المادة\s+الاولى|المادة\s+1\s*:|المادة\s+١|مادة\s+1\s*:|الفصل الأول|الباب الأول|بداية النص|(?i:start of text|beginning of document)"
+PREFIXED, PREFIXED_HEADING = r"^\s*[Cc]hapter\s+", r"^\s*[Cc]hapter\s+(?:الباب|الفصل)"
 
 
-def contents_lines(rows: DataFrame, key: str = "doc_id", reach: int = 15, least: int = 3) -> DataFrame:
-    """Lines that belong to a contents page: those after a contents heading, within reach, that end in a page number, where there are `least` of them; the heading too."""
+def contents_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Lines with in_contents. Where three lines or more are headings with the word Chapter before them, what lies from the first to the last is the contents page. Else it begins at a line that
+    names it, or has Chapter before it and three such within 15 lines, or is an entry with a page number and three such within 5, or names a part and 5 do within 10 with less than two long lines between; it ends before
+    the first article, or first heading, that has no page number, a part that is followed by text within 5 lines, or a page number alone before a chapter within 3; else with the document."""
     w = Window.partitionBy(key).orderBy("line_number")
-    ends = F.col("line").rlike(r"(?:\.{2,}|\s)\s*[0-9٠-٩]+\s*$")
-    ahead = rows.withColumn("_head", F.col("line").rlike(CONTENTS)).withColumn("_ends", ends)
-    ahead = ahead.withColumn("_n", F.count_if(F.col("_ends")).over(w.rowsBetween(1, reach)))
-    ahead = ahead.withColumn("_from", F.last(F.when(F.col("_head") & (F.col("_n") >= least), F.col("line_number")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = (F.col("line_number") == F.col("_from")) | ((F.col("line_number") - F.col("_from") <= reach) & F.col("_ends"))
-    return ahead.withColumn("in_contents", F.coalesce(inside, F.lit(False))).drop("_head", "_ends", "_n", "_from")
-
-
-def case_sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sections of judgments: what stands between one marker and the next, sections of one type joined by blank lines; texts without a marker are a summary."""
-
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(f"(?im)^\\s*(?:{pattern})\\s*:?"), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("mark")))
-
-    marks = F.concat(*(of(t, p) for t, p in CASE_MARKERS.items()))
-    found = documents.select(key, F.col(text).alias("_text"), F.explode_outer(F.array_distinct(marks)).alias("m")).select(key, "_text", "m.type", "m.mark")
-    placed_ = found.withColumn("start", F.expr("locate(mark, _text)"))
-    w = Window.partitionBy(key).orderBy("start", "type")
-    after = placed_.withColumn("_from", F.col("start") + F.length("mark")).withColumn("_to", F.lead("start", 1).over(w))
-    part = F.when(F.col("mark").isNull(), F.col("_text")).otherwise(F.btrim(F.col("_text").substr(F.col("_from"), F.coalesce("_to", F.length("_text") + 1) - F.col("_from")), F.lit(" \n\t:")))
-    return after.select(key, F.coalesce("type", F.lit("summary")).alias("section_type"), "start", part.alias("part")).groupBy(key, "section_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda s: s["part"]), "\n\n").alias("content"))
+    ahead = lambda c, n: F.count_if(c).over(w.rowsBetween(0, n - 1))
+    after = lambda c, n: F.count_if(c).over(w.rowsBetween(1, n)) > 0
+    own = rows.withColumn("_line", F.trim(base_letters(F.col("line"))))
+    line = F.col("_line")
+    page, part, heading = line.rlike(ENTRY_PAGE), line.rlike("الباب"), line.rlike("الباب|الفصل")
+    whole = Window.partitionBy(key)
+    prefixed = line.rlike(PREFIXED_HEADING)
+    marks = own.withColumns({
+        "_n": F.count_if(prefixed).over(whole), "_from": F.min(F.when(prefixed, F.col("line_number"))).over(whole), "_to": F.max(F.when(prefixed, F.col("line_number"))).over(whole),
+        "_begins": line.rlike(CONTENTS) | line.rlike(PREFIXED) & (ahead(line.rlike(PREFIXED), 15) >= 3) | page & line.rlike(ENTRY_WORDS) & (ahead(page & line.rlike(ENTRY_WORDS), 5) >= 3) | part & (ahead(part, 10) >= 5) & (ahead(~part & (F.length(line) > 100), 10) < 2),
+        "_ends": line.rlike(FIRST_ARTICLE) & ~page | heading & after((F.length(line) > 50) & ~line.rlike("الباب|الفصل|Chapter"), 4) | line.rlike(r"^\d+$") & after(_kind(line) == "chapter", 3),
+    })
+    # A line is inside from a beginning on, until an end: the last of either before it decides, and an end counts only inside.
+    last = F.last(F.when(F.col("_ends"), F.struct(F.lit(False).alias("b"))).when(F.col("_begins"), F.struct(F.lit(True).alias("b"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["b"]
+    inside = F.when(F.col("_n") >= 3, F.col("line_number").between(F.col("_from"), F.col("_to"))).otherwise(F.coalesce(last, F.lit(False)))
+    return marks.withColumn("in_contents", inside).drop("_line", "_n", "_from", "_to", "_begins", "_ends")
+
+
+def case_sections(documents: DataFrame, key: str = "doc_id", text: str = "text", markers: dict[str, str] = CASE_MARKERS) -> DataFrame:
+    """Sections of judgments: key, section_type, content. A line that begins with a marker begins its section, with what follows the marker; sections of one type are joined by blank lines. What stands before the first marker is in none; texts without a marker are a summary."""
+    mark = reduce(lambda rest, kv: F.when(F.col("line").rlike(f"(?i)^\\s*(?:{kv[1]})(?![\\p{{L}}\\p{{N}}_])"), kv[0]).otherwise(rest), reversed(markers.items()), F.lit(None).cast("string"))
+    any_mark = "(?i)^\\s*(?:" + "|".join(markers.values()) + ")(?![\\p{L}\\p{N}_])\\s*:?"
+    w = Window.partitionBy(key).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines(documents, key, text).withColumn("_mark", mark)
+    own = own.withColumns({"_section": F.count("_mark").over(w), "_type": F.last("_mark", ignorenulls=True).over(w), "_any": F.count("_mark").over(Window.partitionBy(key))})
+    own = own.where((F.col("_section") > 0) | (F.col("_any") == 0)).withColumn("line", F.when(F.col("_mark").isNotNull(), F.regexp_replace("line", any_mark, "")).otherwise(F.col("line")))
+    joined = lambda parts, glue: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*parts))), lambda s: s[parts[1]]), glue)
+    each = own.groupBy(key, "_section", F.coalesce("_type", F.lit("summary")).alias("section_type")).agg(F.btrim(joined(("line_number", "line"), "\n"), F.lit(" \n\t")).alias("part"))
+    return each.groupBy(key, "section_type").agg(joined(("_section", "part"), "\n\n").alias("content"))

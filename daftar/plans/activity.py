@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daftar.operators import analytics
+from daftar.functions.text import FEATURE_LIMITS
+from daftar.operators import analytics, dml
 from daftar.plans.common import Registry, table
 
 R = Registry()
@@ -99,3 +100,36 @@ def fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     last = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return table(spark, sf_dir, "events").select("event_id", "event_type", last.alias("last_signup"), F.lead("event_id", 1, -1).over(w).alias("next_event"))
+
+
+@R.add("""SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS successful, count(*) FILTER (WHERE event_type = 'error' OR event_type IS NULL) AS failed FROM events GROUP BY user_id""")
+def event_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, successful and failed events of every user."""
+    return analytics.tally(table(spark, sf_dir, "events"), F.col("event_type") != "error", "user_id")
+
+
+@R.add("""WITH s AS (SELECT o_custkey AS user_id, o_orderkey AS subscription_id, (o_custkey % 7)::INT AS plan_id, o_orderdate AS start_date, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 400 DAY END AS end_date FROM orders),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_date DESC, subscription_id DESC) AS rn FROM s WHERE start_date <= TIMESTAMP '1998-01-01' AND (end_date IS NULL OR end_date > TIMESTAMP '1998-01-01')),
+p AS (SELECT n_nationkey AS plan_id, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey * 40 END AS ai_message_limit FROM nation WHERE n_nationkey < 6),
+u AS (SELECT l_orderkey AS subscription_id, sum(l_quantity)::BIGINT AS used FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
+j AS (SELECT a.user_id, p.plan_id IS NOT NULL AS has, coalesce(p.ai_message_limit, 0) AS lim, coalesce(u.used, 0) AS used FROM (SELECT DISTINCT user_id FROM s) a LEFT JOIN c ON a.user_id = c.user_id AND c.rn = 1 LEFT JOIN p ON c.plan_id = p.plan_id LEFT JOIN u ON c.subscription_id = u.subscription_id)
+SELECT user_id, CASE WHEN has THEN used ELSE 0 END::BIGINT AS current_usage, lim::INT AS "limit", CASE WHEN NOT has THEN 0 WHEN lim > 0 THEN greatest(0, lim - used) ELSE 999999 END::BIGINT AS remaining, has AND (lim = 0 OR used < lim) AS can_use FROM j""")
+def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest valid subscription, plan and usage of every customer in one plan."""
+    orders, nations, lines = (table(spark, sf_dir, t) for t in ("orders", "nation", "lineitem"))
+    end = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.make_dt_interval(days=F.lit(400)))
+    held = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("subscription_id"), (F.col("o_custkey") % 7).cast("int").alias("plan_id"), F.col("o_orderdate").alias("start_date"), end.alias("end_date"))
+    none = [F.lit(0).alias(c) for c in FEATURE_LIMITS.values() if c != "ai_message_limit"]
+    plans = nations.where("n_nationkey < 6").select(F.col("n_nationkey").alias("plan_id"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey") * 40).alias("ai_message_limit"), *none)
+    used = lines.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("subscription_id"), F.lit("ai_chat").alias("feature"), F.col("l_quantity").cast("long").alias("used_count"))
+    return analytics.feature_usage(held, plans, used, "ai_chat", F.lit("1998-01-01").cast("timestamp_ntz"))
+
+
+@R.add("""WITH c AS (SELECT user_id, count(*) AS used, (user_id % 4) * 10 AS lim FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id), n AS (SELECT user_id, count(*) AS asked FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type = 'view' GROUP BY user_id)
+SELECT user_id, CASE WHEN asked IS NOT NULL AND (lim <= 0 OR used + asked <= lim) THEN used + asked ELSE used END AS used, lim AS "limit", CASE WHEN asked IS NOT NULL THEN lim <= 0 OR used + asked <= lim END AS allowed FROM c LEFT JOIN n USING (user_id)""")
+def allowed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after uses that their limits allow."""
+    events, half = table(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
+    counters = events.where(F.col("ts") < half).groupBy("user_id").agg(F.count("*").alias("used")).withColumn("limit", (F.col("user_id") % 4) * 10)
+    uses = events.where((F.col("ts") >= half) & (F.col("event_type") == "view")).select("user_id", F.lit(1).alias("used"))
+    return dml.used_if_allowed(counters, uses, "user_id")

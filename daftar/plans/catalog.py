@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.operators import catalog, dml
+from daftar.operators import catalog, dml, retrieval
 from daftar.operators.analytics import percentage
 from daftar.plans.common import Registry, table
 
@@ -143,3 +143,54 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp_ntz"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.avg("l_discount").alias("avg_disc"), F.count("*").alias("n"))
+
+
+@R.add("""WITH e AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS end_date FROM orders) SELECT o_orderkey FROM e WHERE end_date IS NULL OR end_date > TIMESTAMP '1998-01-01'""")
+def open_ended_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without an end or with one that is still to come."""
+    ends = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("end_date"))
+    return ends.where(catalog.null_or_after("end_date", F.lit("1998-01-01").cast("timestamp_ntz"))).select("o_orderkey")
+
+
+@R.add("""SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['cold', 'red', 'widget'])""")
+def tagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with any of some tags."""
+    tags = F.to_json(F.split("p_name", " "))
+    return table(spark, sf_dir, "part").where(catalog.has_any(catalog.tags_of(tags), ["cold", "red", "widget"])).select("p_partkey")
+
+
+@R.add("""SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) ORDER BY o_totalprice DESC, o_orderkey OFFSET 20""")
+def limited_then_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.limited_then_skipped(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), (F.desc("o_totalprice"), "o_orderkey"), 20, 50)
+
+
+@R.add("""SELECT o_orderkey, coalesce(c_name, 'Unknown') AS c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
+def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its customer's name, or a default where that customer isn't listed."""
+    names = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
+    return catalog.labelled(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), names, F.col("o_custkey") == F.col("c_custkey"), "c_name").select("o_orderkey", "c_name")
+
+
+@R.add("""SELECT l_orderkey, l_linenumber, c_name || ' ' || n_name AS who, p_name FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey
+LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey""")
+def chained_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two left lookups, one of them chained; the name is null unless both of its parts are there."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name", "c_nationkey")
+    parts = table(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", "p_name")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    joined = joined.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return joined.select("l_orderkey", "l_linenumber", catalog.both_or_null("c_name", "n_name").alias("who"), "p_name")
+
+
+@R.add("""SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000""")
+def changed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that an update changes, as they are after it."""
+    return dml.updated_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), (F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 300000), o_orderstatus=F.lit("X"))
+
+
+@R.add("""SELECT p_name AS suggestion, count(*) AS n_times FROM part WHERE contains(lower(p_name), 'red') GROUP BY p_name ORDER BY n_times DESC, suggestion LIMIT 5""")
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent names that contain what was typed."""
+    return retrieval.suggestions(table(spark, sf_dir, "part"), "p_name", "Red", 5)

@@ -35,7 +35,21 @@ def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(vectors.cosine01(F.col("embedding"), q)), 6).alias("mean_cosine01"), F.round(F.max(vectors.norm(F.col("embedding"))), 6).alias("longest"))
 
 
+@R.add(f"""WITH s AS (SELECT CASE label WHEN 0 THEN 'laws' ELSE 'cases' END AS kind, vec_id, list_cosine_similarity(embedding::DOUBLE[], {_Q}) AS score FROM embeddings WHERE label IN (0, 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s WHERE score >= 0.05) SELECT kind, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of each of two kinds."""
+    query = spark.createDataFrame([(-1, QUERY)], "query_id long, q array<double>")
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.hybrid({"laws": rows.where("label = 0"), "cases": rows.where("label = 1")}, query, 5, 0.05).select("kind", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@R.add("""SELECT label, count(*) AS total, count(embedding) AS with_vector, round(100.0 * count(embedding) / count(*), 2) AS coverage FROM embeddings GROUP BY label""")
+def search_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_statistics(table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
 @R.add()
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of all benchmark items by hashed words."""
-    return vectors.hashed_embeddings(table(spark, sf_dir, "benchmark"), "item_id", "text", 64)
+    """Embeddings of all documents by hashed words of their whole texts; DuckDB has no xxhash64 of Spark's kind, so tests hold them against brute force."""
+    return vectors.hashed_embeddings(table(spark, sf_dir, "documents"), "doc_id", "text", 64, most_words=None)

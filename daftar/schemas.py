@@ -1,4 +1,4 @@
-"""Declared schemas of the knowledge base's tables. Timestamps are naive UTC; money is decimal(10,2)."""
+"""Declared schemas of what is read, and fixed values."""
 
 from __future__ import annotations
 
@@ -11,14 +11,7 @@ SECTION_TYPES = ("summary", "facts", "arguments", "ruling", "legal_basis")
 
 
 
-LAW_SOURCE = "law_id string, name string, type string, jurisdiction string, issuing_authority string, issue_date date, issue_date_raw string, status string"
-LAW_ARTICLE = "law_id string, article_number string, title string, content string, keywords array<string>, order_index long"
-LEGAL_CASE = "case_id string, case_number string, title string, jurisdiction string, court_name string, decision_date date, case_type string, court_level string, status string"
-CASE_SECTION = "case_id string, section_type string, content string, section_index int"
-CHUNK = "document_id long, chunk_index int, content string, tokens_count int"
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-SUBSCRIPTION = "subscription_id long, user_id long, plan_id long, start_date timestamp_ntz, end_date timestamp_ntz, status string, auto_renew boolean"
-
 _ARTICLE_JSON = "article:string,article_number:string,title:string,text:string,content:string,keywords:array<string>,order_index:bigint"
 _CHAPTER_JSON = f"chapter_number:string,chapter_name:string,order_index:bigint,articles:array<struct<{_ARTICLE_JSON}>>"
 _BRANCH_JSON = f"branch_number:string,branch_name:string,order_index:bigint,chapters:array<struct<{_CHAPTER_JSON}>>"

