@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm import bloom
-from daftar.llm.common import buckets_for, discard, small_batches, text_slices, written
+from daftar.llm.common import buckets_for, discard, release, small_batches, text_slices, written
 from daftar.llm.components import components
 from daftar.llm.words import lower, mix, run_hashes, spans, word_hashes
 
@@ -130,6 +130,7 @@ def _frequent(counts: DataFrame) -> np.ndarray:
     """The filter of tokens that stand in HOT prefixes or more: FILTER_BITS bits, whatever the input."""
 
     def count(table: pa.Table) -> pa.Table:
+        release()
         raw = [zstandard.ZstdDecompressor().decompress(b) for b in table.column("blob").to_pylist()]
         t = np.concatenate([np.frombuffer(r[: len(r) // 5 * 4], "<u4") for r in raw])
         n = np.concatenate([np.frombuffer(r[len(r) // 5 * 4 :], "<u1") for r in raw])
@@ -174,6 +175,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) to compare, b the leader in a long list; and with n the members a of long lists, their size n and the list's leader b."""
 
     def lists(table: pa.Table) -> pa.Table:
+        release()
         e = np.concatenate([_unpack(b) for b in table.column("blob").to_pylist()])
         e = e[np.lexsort((e["s"], e["pos"], e["t"]))]
         e = e[np.r_[True, (e["t"][1:] != e["t"][:-1]) | (e["s"][1:] != e["s"][:-1])]]
@@ -251,6 +253,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common[at[hit]] = True
                 lack, more = _bitmap(y[~common]), _bitmap(x[~hit])
                 out[i] = [len(x), len(y), np.count_nonzero(hit), *lack[0], *more[0], lack[1], more[1]]
+            release()
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=_MEASURED)
 
     sets = sets.dropDuplicates(["s"])  # of equal sets that passed the filter one is enough

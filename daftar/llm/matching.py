@@ -14,6 +14,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from daftar.llm.common import release
+
 ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("f", "<i8"), ("pos", "<i4")])
 _COLUMNS = [n for n in ENTRY.names]
 
@@ -77,6 +79,7 @@ def hits(rows: DataFrame, buckets: int) -> DataFrame:
     """From rows (bucket, blob) the hits, one row per document: doc_id, f, places (packed 32-bit integers, no more than its words), and whole: f of its whole-text entries (packed 64-bit integers), which count to its row of f = 0."""
 
     def judge(table: pa.Table) -> pa.Table:
+        release()
         e = np.concatenate([unpack(b) for b in table.column("blob").to_pylist()])
         if table.column("bucket")[0].as_py() >= 0:
             e = judged(e)[0]
@@ -88,6 +91,7 @@ def hits(rows: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"to": pa.array(numbers, pa.int32()), "blob": pa.array([pack(np.sort(e[edges[b] : edges[b + 1]], order=("doc", "pos"))) for b in numbers.tolist()], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
+        release()
         e = np.concatenate([unpack(b) for b in table.column("blob").to_pylist()])
         whole = e["pos"] < 0
         of = e["f"].copy()

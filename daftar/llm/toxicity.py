@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daftar.llm.common import small_batches, text_slices
+from daftar.llm.common import release, small_batches, text_slices
 
 #: ORDINARY_BYTES and MORE_BYTES (for windows that the toxic dictionary shortens though they are ordinary) and the sizes in TRAININGS bound the dictionaries; both compressors have the same parameters.
 WINDOW, LEVEL, ORDINARY_BYTES, MORE_BYTES, WINDOW_LOG = 8, 10, 96_000, 12_000, 17
@@ -185,6 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float]
         number = table.column("training")[0].as_py()
         rows = sorted(zip(table.column("toxic").to_pylist(), table.column("place").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: r[:2])
         loss, toxic, ordinary, weights = fit(*([(t or "").encode() for kind, _, t in rows if kind == k] for k in (1, 0)), TRAININGS[number])
+        del rows
+        release()
         return pa.table({"training": pa.array([number], pa.int32()), "loss": pa.array([loss]), "toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary()), "weights": pa.array([weights], pa.list_(pa.float64()))})
 
     tried = texts.select("toxic", "place", "text", F.explode(F.sequence(F.lit(0), F.lit(len(TRAININGS) - 1))).alias("training"))
