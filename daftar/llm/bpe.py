@@ -38,7 +38,7 @@ _BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, np.uint32)
 _CHUNK_BITS = 10
 #: Pieces between white space that a task keeps, bytes of its chunks, and pieces of a chunk kept on either side of a join.
-_MAX_PIECES, CHUNK_BYTES, REACH = 150_000, 24 << 20, 2
+_MAX_PIECES, CHUNK_BYTES, REACH = 100_000, 16 << 20, 2
 #: Strings that the library gets at once: its results are larger than their ids.
 _BATCH = 500
 

@@ -91,20 +91,18 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"), F.col("whole").alias("__whole")))
     some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "__doc"))
 
-    def picked(hit: bool):
-        """The documents that may have shared anchors, or those that surely have none: so only the former move to meet theirs."""
+    def maybe_near(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows whose documents may have shared anchors: only these move to meet theirs."""
+        ids = batch.column("doc_id")
+        return bloom.maybe(some_near.value, pc.fill_null(ids, 0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
 
-        def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("doc_id")
-                maybe = bloom.maybe(some_near.value, pc.fill_null(ids, 0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(maybe if hit else ~maybe))
-
-        return pick
+    def picked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_near(batch)))
 
     marked = docs.withColumn("__f", F.xxhash64("text"))
-    alone = marked.mapInArrow(picked(False), marked.schema).withColumns({c: F.lit(None).cast("binary") for c in ("__places", "__whole")})
-    met = marked.mapInArrow(picked(True), marked.schema).join(near, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    alone = marked.withColumns({c: F.lit(None).cast("binary") for c in ("__places", "__whole")})
+    met = marked.mapInArrow(picked, marked.schema).join(near, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     kept = [f for f in docs.schema.fields if not digest or f.name != "text"]
     result = [*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *([T.StructField("kept_sha256", T.StringType())] if digest else [])]
 
@@ -152,8 +150,11 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
                 n = len(left)
                 yield _staged(kinds, [pa.array([2] * n, pa.int32()), *finish(some, some.column("text").to_pylist(), sizes[left], np.zeros(n, np.int64), [None] * n), some.column("text"), some.column("__f"), None, None], n)
 
+    def sort_out_alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sort_out(batch.filter(pa.array(~maybe_near(batch))) for batch in batches)
+
     staged = T.StructType([T.StructField("__kind", T.IntegerType()), *result, T.StructField("__text", T.StringType()), T.StructField("__f", T.LongType()), T.StructField("__bucket", T.IntegerType()), T.StructField("__blob", T.BinaryType())])
-    stage = written(alone.mapInArrow(sort_out, staged).union(met.mapInArrow(sort_out, staged)))
+    stage = written(alone.mapInArrow(sort_out_alone, staged).union(met.mapInArrow(sort_out, staged)))
     discard(near)
     marks = matching.hits(stage.where("__kind = 1").select(F.col("__bucket").alias("bucket"), F.col("__blob").alias("blob")), buckets).select(F.col("doc_id").alias("__doc"), F.col("f").alias("__mark"), F.col("places").alias("__places"))
     open_rows = stage.where("__kind = 2").join(marks, (F.col("doc_id") == F.col("__doc")) & (F.col("__f") == F.col("__mark")), "left").drop("__doc", "__mark", "__kind", "__bucket", "__blob")
