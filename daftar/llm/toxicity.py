@@ -190,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float]
         return pa.table({"training": pa.array([number], pa.int32()), "loss": pa.array([loss]), "toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary()), "weights": pa.array([weights], pa.list_(pa.float64()))})
 
     tried = texts.select("toxic", "place", "text", F.explode(F.sequence(F.lit(0), F.lit(len(TRAININGS) - 1))).alias("training"))
-    tried = tried.repartition(len(TRAININGS), "training").groupBy("training").applyInArrow(train, "training int, loss double, toxic binary, ordinary binary, weights array<double>")
+    tried = tried.repartition(4 * len(TRAININGS), "training").groupBy("training").applyInArrow(train, "training int, loss double, toxic binary, ordinary binary, weights array<double>")
     best = min(tried.collect(), key=lambda r: (r["loss"], r["training"]))
     return (bytes(best["toxic"]), bytes(best["ordinary"]), list(best["weights"])) if best["ordinary"] else flat
 
