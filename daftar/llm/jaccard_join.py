@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daftar.llm import bloom
@@ -227,7 +227,8 @@ def _unpacked(tokens: memoryview) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_LONGS = 16
+#: Longs of a bitmap; sets of a block of a long list; leaders of each set by which pairs that several lists hold are told once.
+_LONGS, _BLOCK, _KNOWN = 16, 1024, 16
 _BITS = [f"{sign}{i}" for sign in ("lack", "more") for i in range(_LONGS)]
 _MEASURED = ["a", "b", "n_a", "n_b", "overlap", *_BITS, "lack_extra", "more_extra"]
 
@@ -262,6 +263,58 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in _MEASURED))
 
 
+def _left_open(named: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Pairs (a, b) of one leader's list, of different components, that the bounds don't exclude.
+
+    A list is dealt by hash into blocks of about _BLOCK sets, and each pair of blocks is one group, so no task holds more than two blocks. A pair that two lists
+    hold is told in the one whose leader comes first among those of the _KNOWN first leaders of both. The rows are few bytes for much work, so their partitions are
+    numbered and not merged by size.
+    """
+    at = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    spread = named.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = spread.withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("other", "blocks", "leader_root")
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        c = {k: table.column(k).to_numpy() for k in ("s", "root", "n", "with", "n_leader", "lack_extra", "more_extra", "at")}
+        bits = {sign: np.stack([table.column(f"{sign}{k}").to_numpy() for k in range(_LONGS)], 1) for sign in ("lack", "more")}
+        size = {"lack": c["n_leader"] - c["with"], "more": c["n"] - c["with"]}
+        lists = table.column("leaders").combine_chunks()
+        leaders = np.full((len(c["s"]), _KNOWN), np.iinfo(np.int64).max)
+        ends = lists.offsets.to_numpy()
+        leaders[np.arange(_KNOWN) < np.diff(ends)[:, None]] = lists.values.to_numpy()[ends[0] : ends[-1]]
+        leader, i, j = (table.column(k)[0].as_py() for k in ("leader", "i", "j"))
+        left, right = np.flatnonzero(c["at"] == i), np.flatnonzero(c["at"] == j)
+        found = []
+
+        def both(sign: str, x: np.ndarray, y: np.ndarray, met) -> np.ndarray:
+            """At most so many tokens that both lack of the leader, or have beside it."""
+            return np.minimum(met + np.minimum(c[f"{sign}_extra"][x], c[f"{sign}_extra"][y]), np.minimum(size[sign][x], size[sign][y]))
+
+        for k in range(0, len(left), 64):
+            x, y = (v.ravel() for v in np.meshgrid(left[k : k + 64], right, indexing="ij"))
+            least = needed(c["n"][x], c["n"][y], percent)
+            rest = c["n_leader"][x] - size["lack"][x] - size["lack"][y]
+            ok = (c["root"][x] != c["root"][y]) & (np.minimum(c["n"][x], c["n"][y]) >= least)
+            ok &= rest + np.minimum(size["lack"][x], size["lack"][y]) + np.minimum(size["more"][x], size["more"][y]) >= least
+            if i == j:
+                ok &= x < y
+            x, y, least, rest = x[ok], y[ok], least[ok], rest[ok]
+            lack, more = (both(sign, x, y, np.bitwise_count(bits[sign][x] & bits[sign][y]).sum(1, dtype=np.int64)) for sign in ("lack", "more"))
+            ok = rest + lack + more >= least
+            x, y = x[ok], y[ok]
+            before = np.zeros(len(x), bool)
+            for n in range(_KNOWN):
+                own = leaders[x, n]
+                before |= (own < leader) & (leaders[y] == own[:, None]).any(1)
+            x, y = c["s"][x[~before]], c["s"][y[~before]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return groups.repartition(buckets, "leader", "i", "j").groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _least(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent) - F.lit(1e-9))
 
@@ -294,23 +347,11 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text_hash: bool = F
     shared = measured.select(F.col("a").alias("s"), F.col("b").alias("leader"), F.col("overlap").alias("with"), F.col("n_b").alias("n_leader"), *_BITS, "lack_extra", "more_extra")
     own = F.col("s") == F.col("leader")
     named = named.join(shared, ["s", "leader"], "left").withColumns({"with": F.when(own, F.col("n")).otherwise(F.col("with")), "n_leader": F.when(own, F.col("n")).otherwise(F.col("n_leader")), **{c: F.coalesce(c, F.when(own, F.lit(0).cast("long"))) for c in (*_BITS, "lack_extra", "more_extra")}})
-    named = written(named)
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    sides = ("s", "root", "n", "with", "n_leader", *_BITS, "lack_extra", "more_extra")
-    strange = named.where("root <> leader_root").select("leader", *(F.col(c).alias(f"{c}_x") for c in sides), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    others = named.select("leader", *(F.col(c).alias(f"{c}_y") for c in (*sides, "leader_root")), band.alias("band"))
-    least = _least(F.col("n_x"), F.col("n_y"), percent)
-    alike = F.least("n_x", "n_y") >= least
-
-    def both(sign: str, size) -> Column:
-        """At most so many tokens that both lack of the leader, or have beside it."""
-        met = sum((F.bit_count(F.col(f"{sign}{i}_x").bitwiseAND(F.col(f"{sign}{i}_y"))) for i in range(_LONGS)), F.lit(0))
-        return F.least(met + F.least(f"{sign}_extra_x", f"{sign}_extra_y"), size("x"), size("y"))
-
-    lacking, beside = (lambda i: F.col(f"n_leader_{i}") - F.col(f"with_{i}")), (lambda i: F.col(f"n_{i}") - F.col(f"with_{i}"))
-    bound = F.col("n_leader_x") - lacking("x") - lacking("y") + both("lack", lacking) + both("more", beside)
-    once = (F.col("root_y") == F.col("leader_root_y")) | (F.col("s_x") < F.col("s_y"))
-    second = strange.join(others, ["leader", "band"]).where((F.col("root_x") != F.col("root_y")) & once & alike & (bound >= least)).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
+    first_of = Window.partitionBy("s").orderBy("leader")
+    others = entries.select("s", "leader").withColumn("k", F.row_number().over(first_of)).where(F.col("k") <= _KNOWN).groupBy("s").agg(F.sort_array(F.collect_list("leader")).alias("leaders"))
+    blocks = entries.groupBy("leader").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    named = written(named.join(others, "s").join(blocks, "leader"))
+    second = _left_open(named, percent, buckets).distinct()
     more = _overlaps(second, sets).where(similar).select("a", "b")
     roots = components(links.union(more))
     discard(found, sets, measured, named)
