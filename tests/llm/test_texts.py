@@ -79,8 +79,10 @@ def test_jaccard_join(docs, rows, width, percent):
     assert got == want
 
 
-def test_jaccard_join_lists_of_many_strangers(spark):
-    """Long lists whose sets are similar to some and not to others, so that the second round decides."""
+@pytest.mark.parametrize("block", [20, 1024])
+def test_jaccard_join_lists_of_many_strangers(spark, monkeypatch, block):
+    """Long lists whose sets are similar to some and not to others, so that the second round decides, in many blocks and in one."""
+    monkeypatch.setattr(jaccard_join, "_BLOCK", block)
     rng = random.Random(5)
     core = [f"c{i}" for i in range(40)]
     rows = []
