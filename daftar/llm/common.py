@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: Bytes of text that one slice of an Arrow batch holds (one longer text is a slice of its own).
 SLICE_BYTES = 1 << 19
@@ -76,6 +78,10 @@ def buckets_for(docs: DataFrame) -> int:
     return max(partitions(docs.sparkSession), docs.rdd.getNumPartitions())
 
 
+def arrow_type(kind: DataType) -> pa.DataType:
+    return to_arrow_type(kind)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch into row ranges of about `limit` text bytes: (rows, UTF-8 bytes of all their texts, offsets). Null counts as empty."""
     texts = pc.fill_null(batch.column(column), "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from daftar.llm import ann, bpe, exact_topk, html_text, jaccard_join, mixing, substring_dedup, toxicity, url_rules, wavelet
+from daftar.llm import ann, bpe, exact_topk, html_text, jaccard_join, mixing, periodic_runs, substring_dedup, toxicity, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -102,6 +103,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _with_planted_runs(text: Column, doc_id: Column) -> Column:
+    """The texts that operator 11 is asked about: of one in ten documents (by crc32 of the id) the words from word a = g % n on repeat with period 1 + floor((n - a) / (3 + g % 8)), g = floor(crc32 / 10)."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i >= a, a + (i - a) % period).otherwise(i).cast("int"))), " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    some = F.filter(F.array(words), lambda w: F.size(w) > 0)  # a variable, so that the words are found once
+    return F.when(h % 10 == 0, F.coalesce(F.get(F.transform(some, planted), 0), text)).otherwise(text)
+
+
+def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its number of runs, the longest, and digests of all runs and of the text without repetitions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.collapse(docs)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", "n_runs", longest.alias("k"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    length = -F.col("k.less")
+    return found.select(
+        "doc_id", "n_runs", F.col("k.start").alias("start"), length.alias("length"), F.col("k.period").alias("period"),
+        F.floor(1000 * length / F.col("k.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_approximate_nearest_neighbours": op1_approximate_nearest_neighbours,
     "op2_html_extraction": op2_html_extraction,
@@ -113,5 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_exact_top_k_search": op9_exact_top_k_search,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_run_detection": op11_periodic_run_detection,
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op9_exact_top_k_search": OP9_SQL}
