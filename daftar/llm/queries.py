@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import ann, bpe, exact_topk, html_text, jaccard_join, mixing, periodic_runs, substring_dedup, toxicity, url_rules, wavelet
+from daftar.llm import ann, bpe, exact_topk, html_text, jaccard_join, lexical_search, mixing, periodic_runs, substring_dedup, toxicity, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -133,6 +133,31 @@ def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP12_SQL = r"""
+WITH w AS (
+  SELECT r, doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+), tf AS (SELECT r, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+c AS (SELECT count(*) AS N, sum(n)::BIGINT AS L FROM d),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (
+  SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), s AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id,
+         sum(floor(1000 * ln((2 * c.N + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * d.n * c.N) // c.L))))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN df USING (term) JOIN d USING (r) CROSS JOIN c GROUP BY item_id, r
+), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_approximate_nearest_neighbours": op1_approximate_nearest_neighbours,
     "op2_html_extraction": op2_html_extraction,
@@ -145,5 +170,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k_search": op9_exact_top_k_search,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_run_detection": op11_periodic_run_detection,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op9_exact_top_k_search": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op9_exact_top_k_search": OP9_SQL, "op12_ranked_lexical_search": OP12_SQL}

@@ -32,12 +32,12 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all texts in `data`, and for each text the index of its first word (one more at the end)."""
+def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts in `data`, and for each text the index of its first word (one more at the end). between: a flag per byte that is in no word."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_WHITE[data]
+    solid = ~between[data]
     before = np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
     before[offsets[offsets < len(data)]] = False
