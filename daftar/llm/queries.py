@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import ann, bpe, exact_topk, html_text, jaccard_join, lexical_search, mixing, periodic_runs, substring_dedup, toxicity, url_rules, wavelet
+from daftar.llm import ann, bpe, exact_topk, html_text, jaccard_join, lexical_search, mixing, periodic_runs, substring_dedup, suffix_dedup, toxicity, url_rules, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -158,6 +158,11 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from every document as parts of strings of 50 bytes that start in a document with a smaller id."""
+    return suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_approximate_nearest_neighbours": op1_approximate_nearest_neighbours,
     "op2_html_extraction": op2_html_extraction,
@@ -171,5 +176,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_periodic_run_detection": op11_periodic_run_detection,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op9_exact_top_k_search": OP9_SQL, "op12_ranked_lexical_search": OP12_SQL}
