@@ -43,6 +43,8 @@ HALF = (DEPTH - GRAM) // 2
 _SLICE, _STEP = 4 << 20, 1 << 16
 #: Buckets a shuffle partition, as a piece stands for a third of its bytes.
 _FINER = 8
+#: Of zstandard, for pieces: they are most of what moves.
+_LEVEL = 5
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 SPAN = np.dtype([("doc", "<i8"), ("f", "<i8"), ("a", "<i4"), ("b", "<i4")])
 
@@ -108,8 +110,8 @@ def merged(doc: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return out
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
 
 
 def _spans_by_document(spans: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
@@ -159,7 +161,7 @@ def dealt(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, f: np.ndarray,
         rows, of = np.unique(row[p], return_inverse=True)
         head = np.array([len(s), len(p), len(rows)], "<i8")
         text = data[ragged(at[first[s]], n[first[s]] + DEPTH - 1)]
-        blobs.append(_pack(head, ids[rows], f[rows], each[s].astype("<i4"), of.astype("<i4"), start[p].astype("<i4"), n[first[s]].astype("u1"), beside[first[s]].astype("u1"), text))
+        blobs.append(_pack(head, ids[rows], f[rows], each[s].astype("<i4"), of.astype("<i4"), start[p].astype("<i4"), n[first[s]].astype("u1"), beside[first[s]].astype("u1"), text, level=_LEVEL))
         numbers.append(b)
     return numbers, blobs
 
