@@ -70,13 +70,51 @@ def ordinals() -> dict[str, int]:
     return dict(sorted(out.items(), key=lambda kv: (-len(kv[0]), kv[0])))
 
 
+HUNDRED = ("مائة", "مئة")
+TWO_HUNDREDS = ("مائتان", "مائتين", "مئتان", "مئتين")
+HUNDREDS = ("ثلاث", "أربع", "خمس", "ست", "سبع", "ثمان", "تسع")
+ONE, AFTER, REPEATED = ("واحد", "واحدة"), "بعد", ("مكرر", "مكررا", "مكررة")
+
+
+def number_words() -> dict[str, tuple[int, int]]:
+    """The words that numbers of headings are made of, with value and rank: units 1, ten 2, tens 3, hundreds 4. In a number each word's rank is above that of the word before."""
+    out = {w: (1, 1) for w in (ELEVENTH_M, ELEVENTH_F, *ONE)}
+    for units in (UNITS_M, UNITS_F):
+        out |= {u: (i, 2 if i == 10 else 1) for i, u in enumerate(units, 1)}
+    out |= {TEN_M: (10, 2), TEN_F: (10, 2)}
+    for i, tens in enumerate(TENS, 2):
+        out |= {tens: (10 * i, 3), tens[:-2] + "ين": (10 * i, 3)}
+    out |= {w: (100, 4) for w in HUNDRED} | {w: (200, 4) for w in TWO_HUNDREDS}
+    out |= {u + h: (100 * i, 4) for i, u in enumerate(HUNDREDS, 3) for h in HUNDRED}
+    return {k.replace("أ", "ا"): v for k, v in out.items()}
+
+
 def ordinal_number(c: Column) -> Column:
-    """The number of a heading: its digits (Arabic-Indic ones too), else its longest ordinal words; null without either."""
-    table = ordinals()
-    number = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    """The number of a heading: its digits (Arabic-Indic ones too), else that of its first number in words, to 999; null without either.
+
+    The words of a number are added up one by one: units, ten or tens, hundreds (also behind "after"), each with or without "and" and article. A word that can't follow ends the number; words for repeated articles are passed over.
+    """
+    table = number_words()
+    lookup = lambda i: F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v[i])))
+    bare = lambda w: F.translate(F.regexp_replace(w, "[^ء-ي]", ""), "أ", "ا")
+
+    def known(w: Column) -> Column:
+        """The word without "and" and article, if it is one of the table's as it stands or without them."""
+        forms = (bare(w), F.regexp_replace(bare(w), "^و", ""), F.regexp_replace(bare(w), "^و?ال", ""))
+        return F.coalesce(*(F.when(F.map_contains_key(lookup(0), f), f) for f in forms))
+
+    tokens = F.transform(F.filter(F.split(c, r"\s+"), lambda w: bare(w) != ""), lambda w: F.struct(known(w).alias("k"), bare(w).isin(AFTER, *REPEATED).alias("between")))
+
+    def step(s: Column, t: Column) -> Column:
+        value, rank = F.try_element_at(lookup(0), t["k"]), F.try_element_at(lookup(1), t["k"])
+        goes_on = ~s["done"] & rank.isNotNull() & (rank > s["rank"])
+        ends = (s["rank"] > 0) & ~goes_on & ~t["between"]
+        return F.struct(F.when(goes_on, s["n"] + value).otherwise(s["n"]).alias("n"), F.when(goes_on, rank).otherwise(s["rank"]).alias("rank"), (s["done"] | ends).alias("done"))
+
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("rank"), F.lit(False).alias("done"))
+    words_ = F.nullif(F.aggregate(tokens, none, step, lambda s: s["n"]), F.lit(0))
     digits = F.nullif(F.translate(F.regexp_extract(c, r"[0-9٠-٩]+", 0), "٠١٢٣٤٥٦٧٨٩", "0123456789"), F.lit("")).try_cast("int")
-    found = F.regexp_extract(F.regexp_replace(c, r"\s+", " "), "(?<![ء-ي])(" + "|".join(map(re.escape, table)) + ")(?![ء-ي])", 1)
-    return F.coalesce(digits, F.when(found != "", F.try_element_at(number, found)))
+    return F.coalesce(digits, words_)
 
 
 def with_digits(c: Column) -> Column:

@@ -143,10 +143,15 @@ def filled(template: Column, values: Column) -> Column:
     return F.aggregate(F.map_entries(values), double, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
 
 
+#: Where a risk score stands, in the order in which they are tried.
+RISK = (r"درجة\s*المخاطر[:\-]?\s*(\d+)", r"Risk\s*Score[:\-]?\s*(\d+)", r"المخاطر[:\-]?\s*(\d+)\s*%", r"Risk[:\-]?\s*(\d+)\s*%")
+
+
 def risk_score(c: Column) -> Column:
-    """The first number after a risk heading, or before a percent sign, up to 100; 50 if there is none."""
-    found = F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast("int") for p in (r"(?i)risk score\D{0,5}(\d{1,3})", r"(?i)risk[^\d\n]{0,40}(\d{1,3})\s*/\s*100", r"(\d{1,3})\s*/\s*100", r"(\d{1,3})\s*%")))
-    return F.least(F.coalesce(found, F.lit(50)), F.lit(100))
+    """The number of the first of the four patterns that a text holds, in any digits; 50 without any. Null for null."""
+    digits = lambda x: F.translate(x, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+    found = (F.nullif(digits(F.regexp_extract(c, f"(?iuU){p}", 1)), F.lit("")).try_cast("int") for p in RISK)
+    return F.when(c.isNotNull(), F.coalesce(*found, F.lit(50)))
 
 
 def risk_label(score: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daftar.sources.store import last_of_each
+
 
 def update_where(rows: DataFrame, condition: Column, **values: Column) -> DataFrame:
     """New values where the condition is true; all else as it was."""
@@ -25,10 +27,13 @@ def cascade(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return rows.join(deleted.select(key), key, "left_anti")
 
 
-def upsert(rows: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """new rows replace those with their keys and join the others. Of several new rows with one key the greatest, column by column, counts."""
-    last = F.max(F.struct(*(F.col(c) for c in new.columns if c not in keys), *keys)).alias("_last")
-    new = new.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(last).select("_last.*")
+def upsert(rows: DataFrame, new: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """new rows replace those with their keys and join the others. Of several new rows with one key the last in `order` counts; without an order the greatest, column by column (which columns of maps don't allow)."""
+    if order is not None:
+        new = last_of_each(new, keys, order)
+    else:
+        last = F.max(F.struct(*(F.col(c) for c in new.columns if c not in keys), *keys)).alias("_last")
+        new = new.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(last).select("_last.*")
     return rows.join(new.select(*keys), list(keys), "left_anti").unionByName(new.select(*rows.columns))
 
 

@@ -127,3 +127,52 @@ def case_sections(documents: DataFrame, key: str = "doc_id", text: str = "text",
     joined = lambda parts, glue: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*parts))), lambda s: s[parts[1]]), glue)
     each = own.groupBy(key, "_section", F.coalesce("_type", F.lit("summary")).alias("section_type")).agg(F.btrim(joined(("line_number", "line"), "\n"), F.lit(" \n\t")).alias("part"))
     return each.groupBy(key, "section_type").agg(joined(("_section", "part"), "\n\n").alias("content"))
+
+
+#: The phrases that begin the sections of judgments, anywhere in a text, by section, from the most particular.
+JUDGMENT_PHRASES = {
+    "summary": (r"الحمدلله\s+والصلاة\s+والسلام\s+على\s+رسول\s+الله", r"الحمد\s+لله\s+والصلاة\s+والسلام", r"أما\s+بعد", r"ملخص\s+القضية", r"ملخص\s+الدعوى", "ملخص", "نبذة", "موجز", "الملخص"),
+    "facts": (r"تتحصل\s+وقائع", r"ما\s+ورد\s+في\s+صحيفة\s+الدعوى", r"ما\s+جاء\s+في\s+الدعوى", r"وقائع\s+القضية", r"وقائع\s+الدعوى", "الوقائع", "الواقعة", "الحادثة"),
+    "arguments": (r"تقرير\s+المحامي", r"طلب\s+إلزام", r"حجج\s+الأطراف", r"أقوال\s+الأطراف", "المرافعات", "الدفوع", "الأسباب", "الحجج", "دفاع", "الحجة"),
+    "ruling": (r"نص\s+الحكم", r"منطوق\s+الحكم", r"حكمت\s+المحكمة", r"قررت\s+المحكمة", r"حكم\s+نهائي", "المنطوق", "الحكم", "القرار"),
+    "legal_basis": (
+        r"نظام\s+المحاكم\s+التجارية", r"لائحة\s+الدعوى", r"أوراق\s+ومستندات", r"المادة\s+الثلاثون", r"المادة\s+الثلاثين", r"المادة\s+التاسعة\s+والعشرون", r"المادة\s+التاسعة\s+والعشرين",
+        r"المادة\s+\d+", r"الأساس\s+القانوني", r"السند\s+القانوني", r"التكييف\s+القانوني", r"الأسانيد\s+القانونية", r"المستند\s+القانوني", "الحيثيات",
+    ),
+}
+
+
+def judgment_sections(documents: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, tuple[str, ...]] = JUDGMENT_PHRASES) -> DataFrame:
+    """Sections of judgments by phrases anywhere in the text: key, section_type, content; sections without content are left out.
+
+    A section reaches from the end of a phrase to where the next begins; where a phrase reaches into the next one, or another phrase begins at the same place, its part is empty. The parts of a type are joined
+    by blank lines, empty ones after the first with content too. What stands before the first phrase is in no section. A text without any content in sections is a summary as a whole; null has none.
+
+    One expression a row: the text is cut where phrases begin, and the cuts are folded into the sections.
+    """
+    flags = "(?iuU)"
+    anywhere = f"{flags}(?=" + "|".join(p for ps in phrases.values() for p in ps) + ")"
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    parts = F.split(F.col(text), anywhere)
+
+    def markers(cuts: Column) -> Column:
+        """For each cut the phrases that begin it, in their order, as type and content: of all but the last the content is empty."""
+
+        def of_cut(cut: Column, i: Column) -> Column:
+            ahead = F.concat_ws("", F.slice(cuts, i + 1, 4))  # a phrase may reach over the cuts of others
+            found = F.array_compact(F.array(*(F.when(ahead.rlike(f"{flags}^{p}"), F.struct(F.lit(t).alias("type"), F.length(F.regexp_extract(ahead, f"{flags}^{p}", 0)).alias("n"))) for t, ps in phrases.items() for p in ps)))
+            return F.transform(found, lambda m, j: F.struct(m["type"].alias("type"), F.when((j == F.size(found) - 1) & (m["n"] <= F.length(cut)), trim(F.substring(cut, m["n"] + 1, F.length(cut)))).otherwise("").alias("content")))
+
+        return F.flatten(F.transform(cuts, of_cut))
+
+    marked = F.get(F.transform(F.array(parts), markers), 0)
+    empty = F.struct(*(F.lit("").alias(t) for t in phrases))
+
+    def joined(held: Column, m: Column) -> Column:
+        add = lambda t: F.when(m["type"] != t, held[t]).when(held[t] == "", m["content"]).otherwise(F.concat(held[t], F.lit("\n\n"), m["content"]))
+        return F.struct(*(add(t).alias(t) for t in phrases))
+
+    own = documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text"), F.aggregate(marked, empty, joined).alias("_held"))
+    filled = F.filter(F.array(*(F.struct(F.lit(t).alias("section_type"), F.col("_held")[t].alias("content")) for t in phrases)), lambda s: s["content"] != "")
+    whole = F.array(F.struct(F.lit("summary").alias("section_type"), F.col("_text").alias("content")))
+    return own.select(key, F.explode(F.when(F.size(filled) > 0, filled).otherwise(whole)).alias("s")).select(key, "s.section_type", "s.content")

@@ -21,11 +21,12 @@ class RankedTable:
     def create(self, rows: DataFrame, ranges: int = 64) -> RankedTable:
         dealt = rows.repartitionByRange(ranges, *self.order).sortWithinPartitions(*self.order).withColumn(self.RANGE, F.spark_partition_id())
         dealt.write.partitionBy(self.RANGE).parquet(f"{self.path}/rows")
+        dealt.limit(0).write.parquet(f"{self.path}/schema")  # for tables without rows
         self._stored().groupBy(self.RANGE).agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{self.path}/counts")
         return self
 
     def _stored(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/schema").schema).parquet(f"{self.path}/rows")
 
     def counts(self) -> list[tuple[int, int]]:
         """(range, rows) in order: one small row a range."""

@@ -118,6 +118,34 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.case_sections(table(spark, sf_dir, "documents"), markers=MARKERS)
 
 
+#: Frequent words of the given texts and the phrases of judgments that stand in their place.
+PLANTED = {" und ": " الوقائع ", " the ": " حكمت المحكمة ", " de ": " الدفوع ", " la ": " المادة 12 ", " and ": " نبذة "}
+
+
+@R.add(r"""WITH d AS (SELECT doc_id, text, replace(replace(replace(replace(replace(text, ' und ', ' الوقائع '), ' the ', ' حكمت المحكمة '), ' de ', ' الدفوع '), ' la ', ' المادة 12 '), ' and ', ' نبذة ') AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, string_split(regexp_replace(t, '(الوقائع|حكمت المحكمة|الدفوع|المادة 12|نبذة)', chr(1) || '\1', 'g'), chr(1)) AS p FROM d),
+m AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM c),
+k AS (SELECT doc_id, i, CASE WHEN x LIKE 'الوقائع%' THEN 'facts' WHEN x LIKE 'حكمت المحكمة%' THEN 'ruling' WHEN x LIKE 'الدفوع%' THEN 'arguments' WHEN x LIKE 'المادة 12%' THEN 'legal_basis' WHEN x LIKE 'نبذة%' THEN 'summary' END AS section_type,
+regexp_replace(regexp_replace(x, '^(الوقائع|حكمت المحكمة|الدفوع|المادة 12|نبذة)', ''), '^\s+|\s+$', '', 'g') AS part FROM m),
+j AS (SELECT doc_id, section_type, ltrim(string_agg(part, chr(10) || chr(10) ORDER BY i), chr(10)) AS content FROM k WHERE section_type IS NOT NULL GROUP BY ALL)
+SELECT doc_id, section_type, content FROM j WHERE content <> '' UNION ALL SELECT doc_id, 'summary', t FROM d WHERE doc_id NOT IN (SELECT doc_id FROM j WHERE content <> '')""")
+def judgment_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of texts in which phrases of judgments stand in the place of frequent words."""
+    planted = F.col("text")
+    for word, phrase in PLANTED.items():
+        planted = F.replace(planted, F.lit(word), F.lit(phrase))
+    return hierarchy.judgment_sections(table(spark, sf_dir, "documents").select("doc_id", planted.alias("text")))
+
+
+@R.add("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 50 ELSE p_size END AS score FROM part")
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk scores of reports on parts, in the four ways in which they are stated or not."""
+    size = F.col("p_size").cast("string")
+    report = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Risk Score: "), size)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("في 30% درجة المخاطر: "), size))
+    report = report.when(F.col("p_partkey") % 4 == 2, F.concat(F.col("p_name"), F.lit(" risk "), size, F.lit(" %"))).otherwise(F.concat(F.col("p_name"), F.lit(" in "), size, F.lit("% of cases")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.risk_score(report).alias("score"))
+
+
 @R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)password["'']?\s*[:=]\s*["'']?[^"''\s,}]+', 'password="***"', 'g'), '(?i)token["'']?\s*[:=]\s*["'']?[^"''\s,}]+', 'token="***"', 'g'),
 '(?i)email["'']?\s*[:=]\s*["'']?[^"''\s,}]+', 'email="***@***.***"', 'g'), '(?i)authorization["'']?\s*[:=]\s*["'']?[^"''\s,}]+', 'authorization="***"', 'g') AS masked FROM documents""")
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,10 +52,11 @@ class KeyedStore:
     def create(self, rows: DataFrame, order: Column | None = None) -> KeyedStore:
         """Writes the table new; with an order only the last row of each key."""
         self._write(rows if order is None else last_of_each(rows, self.keys, order), "errorifexists")
+        self._dealt(rows).limit(0).write.parquet(f"{self.path}/_schema")  # for stores without rows; readers of the folder pass over it
         return self
 
     def _stored(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/_schema").schema).parquet(self.path)
 
     def rows(self) -> DataFrame:
         return self._stored().drop(self.BUCKET)

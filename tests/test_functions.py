@@ -37,7 +37,8 @@ def test_cleaned(spark):
 
 
 def test_risk(spark):
-    assert one(spark, text.risk_score, "Risk score: 80", "risk is 30/100", "about 45%", "none") == [80, 30, 45, 50]
+    texts = ["Risk score: 80", "risk is 30/100", "about 45%", "none", "درجة المخاطر: 45", "درجةالمخاطر-٧", "Risk: 130 %", "المخاطر 20% Risk Score 5", "30% of cases", "RISK SCORE250", None]
+    assert one(spark, text.risk_score, *texts) == [80, 50, 50, 50, 45, 7, 130, 5, 50, 250, None]
     assert one(spark, text.risk_label, 10, 25, 50, 75, kind="int") == ["low", "medium", "high", "critical"]
 
 
@@ -70,6 +71,33 @@ def test_ordinals(spark):
     assert one(spark, arabic.ordinal_number, "الباب الثاني عشر", "المادة الثانية", "المادة الحادية والعشرون", "المادة ١٧", "x") == [12, 2, 21, 17, None]
 
 
+def spelled(n, units, eleventh, ten, case):
+    """The ordinal of n in words, from its parts."""
+    hundreds = {1: "المائة", 2: "المائتين", **{i: f"ال{u}مائة" for i, u in enumerate(arabic.HUNDREDS, 3)}}
+    h, rest = divmod(n, 100)
+    t, u = divmod(rest, 10)
+    tens = "ال" + arabic.TENS[t - 2][:-2] + case if t > 1 else ""
+    if 10 < rest < 20:
+        low = f"ال{eleventh if rest == 11 else units[u - 1]} {ten}"
+    elif rest <= 10:
+        low = f"ال{units[rest - 1]}" if rest else ""
+    else:
+        low = f"ال{eleventh if u == 1 else units[u - 1]} و{tens}" if u else tens
+    return " بعد ".join(x for x in (low, hundreds.get(h, "")) if x)
+
+
+@pytest.mark.parametrize("case", ["ون", "ين"])
+def test_every_ordinal_to_999(spark, case):
+    for units, eleventh, ten in ((arabic.UNITS_M, arabic.ELEVENTH_M, arabic.TEN_M), (arabic.UNITS_F, arabic.ELEVENTH_F, arabic.TEN_F)):
+        texts = [f"المادة {spelled(n, units, eleventh, ten, case)}{rest}" for n, rest in zip(range(1, 1000), ["", " مكرر", ":", " في البيع"] * 250, strict=False)]
+        assert one(spark, arabic.ordinal_number, *texts) == list(range(1, 1000))
+
+
+def test_ordinals_end(spark):
+    texts = ["المادة الأولى الثانية", "الباب الأول في عشر مواد", "بعد المائة", "الفصل", "المادة الخامسة والعشرون بعد المئة مكرر", None, "واحد وعشرون", "المادة ٥ بعد المائة"]
+    assert one(spark, arabic.ordinal_number, *texts) == [1, 1, 100, None, 125, None, 21, 5]
+
+
 def test_base_letters(spark):
     assert one(spark, arabic.base_letters, "ﺍﻟﻤﺎﺩﺓ ﻻ", "abc", None) == ["المادة لا", "abc", None]
     assert one(spark, arabic.without_fragments, "م ا د ة كلمة", None) == ["مادة كلمة", None]

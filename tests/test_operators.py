@@ -216,7 +216,7 @@ def test_requests(spark):
     assert [r.context for r in retrieval.context(chunks, "k", "c", "o", 5).collect()] == ["a\n\nbb..."]
 
 
-def test_state_changes(spark):
+def test_upsert_of_repeated_keys_and_document_status(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, status string")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], rows.schema)
     assert {(r.id, r.status) for r in dml.upsert(rows, new, "id").collect()} == {(1, "a"), (2, "d"), (3, "e")}
@@ -224,3 +224,36 @@ def test_state_changes(spark):
     chunks = spark.createDataFrame([(1, [1.0]), (2, [1.0]), (2, None), (3, [1.0]), (4, [1.0])], "document_id long, embedding array<double>")
     got = dml.document_status(docs, chunks, analysed=docs.where("document_id = 3"), failed=docs.where("document_id = 4"))
     assert {r.document_id: r.status for r in got.collect()} == {0: "raw", 1: "processed", 2: "raw", 3: "indexed", 4: "raw"}
+
+
+def test_upsert_in_order(spark):
+    rows = spark.createDataFrame([(1, "a", {"x": 1}), (2, "b", None)], "id long, status string, m map<string,int>")
+    new = spark.createDataFrame([(2, "z", {"y": 1}, 1), (2, "c", None, 2), (3, "e", {}, 1)], "id long, status string, m map<string,int>, at int")
+    got = dml.upsert(rows, new, "id", order=F.col("at"))
+    assert {(r.id, r.status, str(r.m)) for r in got.collect()} == {(1, "a", "{'x': 1}"), (2, "c", "None"), (3, "e", "{}")}
+
+
+def brute_judgment(text):
+    """All matches of all phrases in order of place; what stands between is of the phrase before."""
+    import re
+
+    found = [(m.start(), m.end(), t) for t, ps in hierarchy.JUDGMENT_PHRASES.items() for p in ps for m in re.finditer(p, text, re.I | re.M)]
+    found.sort(key=lambda m: m[0])
+    out = dict.fromkeys(hierarchy.JUDGMENT_PHRASES, "")
+    for i, (_, end, t) in enumerate(found):
+        part = text[end : found[i + 1][0] if i + 1 < len(found) else len(text)].strip()
+        out[t] = out[t] + "\n\n" + part if out[t] else part
+    return {t: c for t, c in out.items() if c} or {"summary": text}
+
+
+def test_judgment_sections(spark):
+    import random
+
+    rng = random.Random(1)
+    parts = ["ملخص القضية", "ملخص", "الملخص", "الوقائع", "تتحصل  وقائع", "وقائع\nالدعوى", "نص الحكم", "الحكم", "حكمت المحكمة", "المادة 12", "المادة ٣٠", "المادة الثلاثون", "دفاع", "الحجج", "أما بعد", "نظام المحاكم التجارية", "الحيثيات"]
+    texts = ["".join(rng.choice([rng.choice(parts), rng.choice(parts), "some text", "نص", " ", "\n", "."]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None)], "doc_id long, text string")
+    got = {}
+    for r in hierarchy.judgment_sections(docs).collect():
+        got.setdefault(r.doc_id, {})[r.section_type] = r.content
+    assert got == {i: brute_judgment(t) for i, t in enumerate(texts)}
