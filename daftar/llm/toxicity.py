@@ -4,8 +4,12 @@ Two zstandard dictionaries are trained on labelled documents: one on all windows
 documents. Not every window of a toxic document is toxic text, so its windows are chosen by compression: in each of ROUNDS rounds a dictionary trained on
 all folds but one measures the toxic documents of that fold, and the PER_TEXT windows of each document that it shortens most against ordinary text, cut to the PART words where it does so, train the next
 round; no document judges itself. Windows of ordinary documents that the toxic dictionary shortens all the same train a further part of the ordinary one. Ordinary text is compressed with the ordinary dictionary; toxic text, which is ordinary
-language too, with both. A window's distance is the difference of the two lengths. A document's score is a logistic function of its largest distance,
-the mean of its three largest, the mean of all and the number of its windows, calibrated on labelled documents kept apart from the
+language too, with both.
+
+A document is scored by windows of one word each. A word alone is too short for its compressed length to tell anything, so each is compressed inside a CARRIER, a text that both compressors hold and that costs the
+same few bytes in each: what is left is how many bytes the word costs. A window's distance is the difference of the two lengths. A document's score is a logistic function of its largest distance, the mean
+of its three largest, its shares of windows with a distance above 0 and above 1, the mean of all, and the logarithms of the numbers of its windows and of those with a distance above 1 and
+above 2, calibrated on labelled documents kept apart from the
 dictionaries that measure them there (a fold of toxic ones each time, a fifth of the ordinary ones), so that 0.5 is the calibrated threshold. Of the TRAININGS of the toxic dictionary, a task each, the one with the least loss there is kept.
 
 The dictionaries and the calibration are fitted on a bounded sample of labelled documents: at most MOST_TOXIC toxic and MOST_ORDINARY ordinary ones, those whose
@@ -36,7 +40,7 @@ WINDOW, LEVEL, ORDINARY_BYTES, MORE_BYTES, WINDOW_LOG = 8, 10, 96_000, 12_000, 1
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 4000, 32 << 20
 ROUNDS, PER_TEXT, PART = 4, 3, 4
 #: The toxic dictionary is trained once for each number of bytes in the second place, with segments of SEGMENT bytes by their runs of so many, and has so many bytes each time.
-SEGMENT, TRAININGS = 16, ((1024, (8, 6)), (2048, (8, 6)), (4096, (8, 6)), (4096, (8,)))
+SEGMENT, TRAININGS = 16, ((1024, (8, 6)), (2048, (8, 6)), (2048, (8,)), (4096, (8, 6)))
 _FOLD = 5
 
 
@@ -100,28 +104,50 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], usual: b
     return special(chosen), usual, [special(chosen, i) for i in range(_FOLD)]
 
 
+#: Stands around each word that is measured; of characters that texts hardly have.
+CARRIER = bytes(range(1, 9)) + bytes(range(14, 20)), bytes(range(20, 32))
+FEATURES = 8
+#: Words whose distance a scorer keeps, and how long they are at most.
+_KEPT, _SHORT = 1 << 18, 64
+
+
 class Scorer:
     """Scores texts by the two dictionaries and the calibrated weights."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float]):
-        self.of = [compressor(toxic + ordinary), compressor(ordinary)] if ordinary else None
+        carrier = b"".join(CARRIER)
+        self.of = [compressor(toxic + ordinary + carrier), compressor(ordinary + carrier)] if ordinary else None
         self.weights = np.array(weights)
+        self.known: dict[bytes, int] = {}
 
-    def features(self, text: bytes) -> list[float]:
-        if self.of is None:
-            return [0.0] * 4
+    def distance(self, word: bytes) -> int:
+        """How many bytes less a word costs in toxic text than in ordinary text."""
         toxic, ordinary = self.of
-        found = [len(ordinary(w)) - len(toxic(w)) for w in windows(words_of(text))]
-        if not found:
-            return [0.0] * 4
-        best = sorted(found, reverse=True)[:3]
-        return [float(best[0]), sum(best) / len(best), sum(found) / len(found), math.log(len(found))]
+        window = b" ".join((CARRIER[0], word, CARRIER[1]))
+        found = len(ordinary(window)) - len(toxic(window))
+        if len(word) <= _SHORT:
+            if len(self.known) >= _KEPT:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def features(self, text: bytes) -> list[float]:
+        words = words_of(text) if self.of is not None else []
+        if not words:
+            return [0.0] * FEATURES
+        held = list(map(self.known.get, words))
+        if None in held:
+            held = [self.distance(w) if h is None else h for w, h in zip(words, held, strict=True)]
+        d = np.array(held)
+        n, above = len(d), [int((d > k).sum()) for k in range(3)]
+        best = np.sort(np.partition(d, n - 3)[n - 3 :] if n > 3 else d)
+        return [float(best[-1]), float(best.mean()), 10 * above[0] / n, 10 * above[1] / n, 10 * float(d.mean()), math.log(n), math.log1p(above[1]), math.log1p(above[2])]
 
     def of_features(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ self.weights, -30, 30)))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return self.of_features(np.array([self.features(t) for t in texts]).reshape(-1, 4))
+        return self.of_features(np.array([self.features(t) for t in texts]).reshape(-1, FEATURES))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -144,9 +170,10 @@ def fit(toxic: list[bytes], ordinary: list[bytes], training: tuple[int, tuple[in
     ordinary_windows = [windows(words_of(t)) for t in learned]
     usual = trained([w for ws in ordinary_windows for w in ws], ORDINARY_BYTES)
     if not usual or not toxic:
-        return math.inf, b"", b"", [0.0] * 5
+        return math.inf, b"", b"", [0.0] * (1 + FEATURES)
     found, usual, others = dictionaries([windows(words_of(t)) for t in toxic], ordinary_windows, usual, *training)
-    s, judges = Scorer(found, usual, [0.0] * 5), [Scorer(d, usual, [0.0] * 5) for d in others]
+    none = [0.0] * (1 + FEATURES)
+    s, judges = Scorer(found, usual, none), [Scorer(d, usual, none) for d in others]
     x = np.array([judges[i % _FOLD].features(t) for i, t in enumerate(toxic)] + [s.features(t) for t in apart])
     y = np.repeat([1.0, 0.0], [len(toxic), len(apart)])
     n = np.repeat([1.0, len(ordinary) / len(apart)], [len(toxic), len(apart)])
@@ -175,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float]
             chosen.append((r["doc_id"], toxic, place))
     n = sum(t for _, t, _ in chosen)
     share = n / len(chosen) if chosen else 0.0
-    flat = b"", b"", [math.log((share + 1e-12) / (1 - share + 1e-12)), 0.0, 0.0, 0.0, 0.0]
+    flat = b"", b"", [math.log((share + 1e-12) / (1 - share + 1e-12)), *[0.0] * FEATURES]
     if n in (0, len(chosen)):
         return flat
     bounded = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int, place int")  # at most MOST_TOXIC + MOST_ORDINARY rows
