@@ -5,13 +5,15 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
@@ -55,6 +57,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def with_own_names(operator: Callable[[DataFrame], DataFrame], docs: DataFrame, prefix: str) -> DataFrame:
+    """operator(docs), whose own columns have names with a prefix: columns of docs with such names go through it under others and come back as they were."""
+    taken = {c.lower() for c in docs.columns}
+    free = (f"kept{i}" for i in count() if f"kept{i}" not in taken)
+    other = {c: next(free) for c in docs.columns if c.startswith(prefix)}
+    if not other:
+        return operator(docs)
+    return operator(docs.withColumnsRenamed(other)).withColumnsRenamed({v: k for k, v in other.items()})
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -79,8 +79,9 @@ class _Reader(HTMLParser):
     comes, it was left open and hides nothing of the article.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, skipped: frozenset = SKIPPED) -> None:
         super().__init__(convert_charrefs=True)
+        self.skipped = skipped
         self.stack: list[tuple[str, int, int, tuple[int, ...], int, bool]] = []
         #: The number of the element that hides this place (0: none), and the numbers of those in doubt.
         self.outside, self.doubts, self.section, self.inside = 0, (), 0, False
@@ -137,7 +138,7 @@ class _Reader(HTMLParser):
         if tag in ("article", "main") and self.outside:
             self.doubts, self.outside = (*self.doubts, self.outside), 0
         if not self.outside:
-            outside = tag in SKIPPED or tag == "header" and not self.inside or tag not in HEADINGS and tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and declares(v) for k, v in attrs)
+            outside = tag in self.skipped or tag == "header" and not self.inside or tag not in HEADINGS and tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and declares(v) for k, v in attrs)
             outside |= any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
             if outside:
                 self.hiding += 1
@@ -248,11 +249,11 @@ def region(lines: list[Line], content: np.ndarray, tags: list[str], parents: lis
     return {found[-1]}
 
 
-def main_text(html: str | None) -> str:
-    """The page's main text: blocks in page order, one per line."""
+def main_text(html: str | None, skipped: frozenset = SKIPPED) -> str:
+    """The page's main text: blocks in page order, one per line. A page that has no text outside forms stands in one, so its forms count as other containers."""
     if not html:
         return ""
-    reader = _Reader()
+    reader = _Reader(skipped)
     reader.feed(html)
     reader.close()
     reader.flush()
@@ -261,7 +262,7 @@ def main_text(html: str | None) -> str:
         x.hidden |= not reader.closed.isdisjoint(x.doubts)
     seen = np.array([not x.hidden for x in lines], bool)
     if not seen.any():
-        return ""
+        return main_text(html, skipped - {"form"}) if "form" in skipped and "<form" in html.lower() else ""
     smoothed = np.log1p(smooth(np.array([len(x.text) / max(1, x.tags) for x in lines])))
     high = smoothed >= threshold(smoothed)
     links = np.array([x.linked >= 0.8 * len(x.text) for x in lines])  # beside a paragraph, smoothing lifts a link too

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daftar.llm.common import discard, small_batches, text_slices, written
+from daftar.llm.common import discard, small_batches, text_slices, with_own_names, written
 from daftar.llm.words import spans
 
 WEIGHTS, BUDGET, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
@@ -115,7 +115,11 @@ def mix(docs: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, weights
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it. Rows that agree in all columns are one row here, with the copies of all of them; texts move once."""
+    """docs (doc_id, text, source, further columns of any name), each row as often as the mix takes it. Rows that agree in all columns are one row here, with the copies of all of them; texts move once."""
+    return with_own_names(lambda d: _mixed_documents(d, **options), docs, "_")
+
+
+def _mixed_documents(docs: DataFrame, **options) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     chosen = mix(docs, **options).where("copies > 0").groupBy(F.col("h").alias("_row"), key.alias("_key")).agg(F.sum("copies").alias("_copies"))
     once = docs.withColumns({"_row": row_hash(docs), "_key": key}).dropDuplicates(["_row", "_key"])

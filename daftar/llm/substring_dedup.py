@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daftar.llm import bloom, matching
-from daftar.llm.common import buckets_for, discard, small_batches, text_slices, written
+from daftar.llm.common import buckets_for, discard, small_batches, text_slices, with_own_names, written
 from daftar.llm.words import run_hashes, spans, whole_hashes, word_hashes
 
 WINDOW, PERIOD = 50, 31
@@ -84,9 +84,13 @@ def _text(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     """docs (doc_id long, text, further columns) with text cut to the kept words, and n_words, n_removed; untouched texts stay as they are.
 
-    digest: instead of text, kept_sha256 of the kept words joined by one space. Columns n_words, n_removed, kept_sha256 of the input are replaced.
+    digest: instead of text, kept_sha256 of the kept words joined by one space. Columns n_words, n_removed, kept_sha256 of the input are replaced; all others, of any name, are kept.
     """
-    docs = small_batches(docs).drop("n_words", "n_removed", "kept_sha256")
+    return with_own_names(lambda d: _remove(d, digest), docs.drop("n_words", "n_removed", "kept_sha256"), "__")
+
+
+def _remove(docs: DataFrame, digest: bool) -> DataFrame:
+    docs = small_batches(docs)
     buckets = buckets_for(docs)
     near = written(matching.hits(_anchors(docs, buckets), buckets).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"), F.col("whole").alias("__whole")))
     some_near = docs.sparkSession.sparkContext.broadcast(bloom.of_column(near, "__doc"))

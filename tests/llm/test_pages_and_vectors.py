@@ -284,3 +284,13 @@ def test_ann_recall_on_given_vectors(spark, sf_middle):
         s = np.where(ids == q, -np.inf, x @ x[np.flatnonzero(ids == q)[0]])
         hits += len(found & set(ids[np.argsort(-s)[:20]].tolist()))
     assert hits / (20 * len(got)) >= 0.9
+
+
+def test_a_page_in_one_form(spark):
+    """Server-side frameworks put a whole page into a form; forms beside an article still go."""
+    article = "".join(f"<p>Paragraph {i} of the article, which has quite a few words in it.</p>" for i in range(5))
+    whole = f"<html><body><form><nav><a href='/'>Home</a></nav><div>{article}</div></form></body></html>"
+    beside = f"<html><body><div>{article}</div><form><label>Your name, please, and all of your comment</label><input></form></body></html>"
+    want = "\n".join(f"Paragraph {i} of the article, which has quite a few words in it." for i in range(5))
+    pages = spark.createDataFrame([(1, "u", whole), (2, "u", beside), (3, "u", "<form></form>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == {1: want, 2: want, 3: ""}

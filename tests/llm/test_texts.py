@@ -392,3 +392,50 @@ def test_empty_tables(docs):
     assert jaccard_join.join(none, 4, 85).count() == 0
     assert substring_dedup.remove(none).count() == 0
     assert bpe.encode_documents(none, queries.BYTE_BPE).count() == 0
+
+
+NAMED = "doc_id long, _key string, text string, source string, _row int, _copies int, _copy int, __f string, __places int"
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Further columns keep their names and values, also where an operator has columns of these names."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"keep{i}", f"{passage} own{i}", "a" if i % 2 else "b", i, i + 1, i + 2, f"f{i}", i + 3) for i in range(6)]
+    docs = spark.createDataFrame(rows, NAMED)
+    cut = substring_dedup.remove(docs)
+    assert cut.columns == [*docs.columns, "n_words", "n_removed"]
+    for r in cut.collect():
+        own = rows[r.doc_id]
+        assert tuple(r)[:2] + tuple(r)[3:9] == own[:2] + own[3:] and r.n_removed == (60 if r.doc_id else 0) and r.text == (own[2] if not r.doc_id else f"own{r.doc_id}")
+    taken = mixing.mix(docs.select("doc_id", "text", "source"))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows)
+    assert mixed.count() >= 0.8 * taken.agg(F.sum("copies")).first()[0]
+
+
+@pytest.mark.parametrize("name,operator,parts", [
+    ("op3_ngram_jaccard_join", lambda d: jaccard_join.join(d, 4, 85), ("doc_id", "n_shingles", "component_id")),
+    ("op6_substring_dedup", lambda d: substring_dedup.remove(d.select("doc_id", "text"), digest=True), ("doc_id", "n_words", "n_removed", "kept_sha256")),
+    ("op8_mixing_sources", lambda d: mixing.mix(d), ("doc_id", "size", "source_size", "target", "taken")),
+])
+def test_registered_queries_have_the_stated_parameters(spark, sf, name, operator, parts):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got, want = queries.QUERIES[name](spark, sf), operator(docs)
+    key = lambda df: sorted(str(tuple(r[c] for c in parts)) for r in df.collect())
+    assert key(got) == key(want)
+
+
+def test_registered_bpe_and_binary_output(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    byte, word = (Tokenizer.from_file(p) for p in (queries.BYTE_BPE, queries.WORD_BPE))
+    got = {r.doc_id: r for r in queries.QUERIES["op5_bpe_encoding_and_decoding"](spark, sf).collect()}
+    for d in docs:
+        ids = byte.encode(d.text or "", add_special_tokens=False).ids
+        want = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(byte.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (got[d.doc_id].n_tokens, got[d.doc_id].ids_sha256, got[d.doc_id].decoded_sha256) == (len(ids), *want)
+    read, start = {r.doc_id: r for r in queries.QUERIES["op7_token_id_binary_output"](spark, sf).collect()}, 0
+    for d in sorted(docs, key=lambda d: d.doc_id):
+        ids = [*word.encode(d.text or "", add_special_tokens=False).ids, 1]
+        assert (read[d.doc_id].start, read[d.doc_id].n_tokens, read[d.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
