@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from daftar.functions.arabic import base_letters, ordinal_number
@@ -90,6 +90,7 @@ def numbering_issues(rows: DataFrame, key: str = "doc_id", number: str = "number
 ENTRY_PAGE = r"\.+\s*\d+\s*$|\s+\d+\s*$"
 ENTRY_WORDS = "الباب|الفصل|المادة|أولاً|ثانياً"
 FIRST_ARTICLE = r"المادة الأولى|المادة\s+الاولى|المادة\s+1\s*:|المادة\s+١|مادة\s+1\s*:|الفصل الأول|الباب الأول|بداية النص|(?i:start of text|beginning of document)"
+AHEAD = 15
 PREFIXED, PREFIXED_HEADING = r"^\s*[Cc]hapter\s+", r"^\s*[Cc]hapter\s+(?:الباب|الفصل)"
 
 
@@ -98,22 +99,28 @@ def contents_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     names it, or has Chapter before it and three such within 15 lines, or is an entry with a page number and three such within 5, or names a part and 5 do within 10 with less than two long lines between; it ends before
     the first article, or first heading, that has no page number, a part that is followed by text within 5 lines, or a page number alone before a chapter within 3; else with the document."""
     w = Window.partitionBy(key).orderBy("line_number")
+    marks = contents_marks(rows, w)
+    whole = Window.partitionBy(key)
+    prefixed = F.when(F.col("_prefixed"), F.col("line_number"))
+    marks = marks.withColumns({"_n": F.count(prefixed).over(whole), "_from": F.min(prefixed).over(whole), "_to": F.max(prefixed).over(whole)})
+    # A line is inside from a beginning on, until an end: the last of either before it decides, and an end counts only inside.
+    last = F.last(F.when(F.col("_ends"), F.struct(F.lit(False).alias("b"))).when(F.col("_begins"), F.struct(F.lit(True).alias("b"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["b"]
+    inside = F.when(F.col("_n") >= 3, F.col("line_number").between(F.col("_from"), F.col("_to"))).otherwise(F.coalesce(last, F.lit(False)))
+    return marks.withColumn("in_contents", inside).drop("_n", "_from", "_to", "_prefixed", "_begins", "_ends")
+
+
+def contents_marks(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    """Lines with _prefixed (a heading with the word Chapter before it), _begins and _ends (where a contents page does), which look at most AHEAD lines ahead in the window's order."""
     ahead = lambda c, n: F.count_if(c).over(w.rowsBetween(0, n - 1))
     after = lambda c, n: F.count_if(c).over(w.rowsBetween(1, n)) > 0
     own = rows.withColumn("_line", F.trim(base_letters(F.col("line"))))
     line = F.col("_line")
     page, part, heading = line.rlike(ENTRY_PAGE), line.rlike("الباب"), line.rlike("الباب|الفصل")
-    whole = Window.partitionBy(key)
-    prefixed = line.rlike(PREFIXED_HEADING)
-    marks = own.withColumns({
-        "_n": F.count_if(prefixed).over(whole), "_from": F.min(F.when(prefixed, F.col("line_number"))).over(whole), "_to": F.max(F.when(prefixed, F.col("line_number"))).over(whole),
-        "_begins": line.rlike(CONTENTS) | line.rlike(PREFIXED) & (ahead(line.rlike(PREFIXED), 15) >= 3) | page & line.rlike(ENTRY_WORDS) & (ahead(page & line.rlike(ENTRY_WORDS), 5) >= 3) | part & (ahead(part, 10) >= 5) & (ahead(~part & (F.length(line) > 100), 10) < 2),
+    return own.withColumns({
+        "_prefixed": line.rlike(PREFIXED_HEADING),
+        "_begins": line.rlike(CONTENTS) | line.rlike(PREFIXED) & (ahead(line.rlike(PREFIXED), AHEAD) >= 3) | page & line.rlike(ENTRY_WORDS) & (ahead(page & line.rlike(ENTRY_WORDS), 5) >= 3) | part & (ahead(part, 10) >= 5) & (ahead(~part & (F.length(line) > 100), 10) < 2),
         "_ends": line.rlike(FIRST_ARTICLE) & ~page | heading & after((F.length(line) > 50) & ~line.rlike("الباب|الفصل|Chapter"), 4) | line.rlike(r"^\d+$") & after(_kind(line) == "chapter", 3),
-    })
-    # A line is inside from a beginning on, until an end: the last of either before it decides, and an end counts only inside.
-    last = F.last(F.when(F.col("_ends"), F.struct(F.lit(False).alias("b"))).when(F.col("_begins"), F.struct(F.lit(True).alias("b"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["b"]
-    inside = F.when(F.col("_n") >= 3, F.col("line_number").between(F.col("_from"), F.col("_to"))).otherwise(F.coalesce(last, F.lit(False)))
-    return marks.withColumn("in_contents", inside).drop("_line", "_n", "_from", "_to", "_begins", "_ends")
+    }).drop("_line")
 
 
 def case_sections(documents: DataFrame, key: str = "doc_id", text: str = "text", markers: dict[str, str] = CASE_MARKERS) -> DataFrame:

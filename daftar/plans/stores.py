@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daftar.functions import display
-from daftar.operators import hash_tree, locks, trigram, user_bitmaps
+from daftar.operators import hash_tree, locks, long_documents, rerank, trigram, user_bitmaps
 from daftar.operators.pages import RankedTable
 from daftar.plans.common import Registry, table
 from daftar.sources import json_items
@@ -133,3 +133,34 @@ def locked_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lock of 12 hours after two failures without a signup between."""
     attempts = table(spark, sf_dir, "events").where("event_type in ('error', 'signup')")
     return locks.locked(attempts, F.col("event_type") == "error", 2, 12 * 60)
+
+
+@R.add(r"""WITH l AS (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+k AS (SELECT lang, doc_id * 1000000 + i AS line_number, CASE WHEN i = 1 AND doc_id % 17 = 0 THEN 'chapter' WHEN i = 1 AND doc_id % 5 = 0 THEN 'section' WHEN i = 1 THEN 'article' ELSE 'content' END AS kind FROM l),
+p AS (SELECT *, max(CASE WHEN kind = 'chapter' THEN line_number END) OVER w AS chapter_id, max(CASE WHEN kind = 'section' THEN line_number END) OVER w AS s, max(CASE WHEN kind = 'article' THEN line_number END) OVER w AS a FROM k WINDOW w AS (PARTITION BY lang ORDER BY line_number ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, CASE WHEN s > chapter_id THEN s END AS section_id FROM p)
+SELECT lang, line_number, chapter_id, section_id, CASE WHEN a > greatest(coalesce(section_id, 0), coalesce(chapter_id, 0)) THEN a END AS article_id FROM q""")
+def one_long_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of a language as one document, each text an article, section or chapter by its number: the place of every line, by ranges of lines."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    lines = docs.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    kind = F.when((F.col("i") == 0) & (F.col("doc_id") % 17 == 0), "chapter").when((F.col("i") == 0) & (F.col("doc_id") % 5 == 0), "section").when(F.col("i") == 0, "article").otherwise("content")
+    rows = lines.select("lang", (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("line_number"), kind.alias("kind"))
+    return long_documents.placed(rows, "lang", 50_000_000).select("lang", "line_number", "chapter_id", "section_id", "article_id")
+
+
+@R.add()
+def reranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source the five best of its labelled documents by a scorer of their quality, fitted on all labels; its sums of logistic functions are no SQL of few lines, so tests hold it against the scorer in plain Python."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality is not null").dropDuplicates(["doc_id"])
+    known = docs.join(labels, "doc_id").where("text is not null").select("doc_id", "source", "quality", quality_features(F.col("text")).alias("features"))
+    model = rerank.fitted(known, "features", "quality", 4)
+    ranks = known.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return rerank.rerank(ranks, "features", model, 4, "source", "doc_id").select("source", "doc_id", "new_rank", F.round("score", 9).alias("score"))
+
+
+def quality_features(text):
+    """Of a text: the logarithm of its words, their mean length, and the shares of different words and of letters and spaces."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    n, chars = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(text), F.lit(1))
+    return F.array(F.log(n), chars / n, F.size(F.array_distinct(words)) / n, F.length(F.regexp_replace(text, r"[^\p{L} ]", "")) / chars)
