@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daftar.functions.text import words
 
@@ -53,9 +60,29 @@ def hashed_embedding(c: Column, dim: int = 256, most_words: int | None = 1000) -
 
 
 def hashed_embeddings(rows: DataFrame, key: str, text: str, dim: int = 256, most_words: int | None = 1000) -> DataFrame:
-    """(key, embedding) as hashed_embedding makes it, with one sum per key and slot: for whole tables. Keys are unique."""
-    each = rows.select(key, F.posexplode(_first(words(F.lower(text)), most_words)).alias("_i", "_w"))
-    hits = each.select(key, (F.lit(1.0) / (F.col("_i") + 1)).alias("_x"), F.explode(F.array(*(F.pmod(F.xxhash64("_w", F.lit(k)), F.lit(dim)).cast("int") for k in range(3)))).alias("_slot"))
-    sums = hits.groupBy(key, "_slot").agg(F.sum("_x").alias("_x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_x"))).alias("_sums"))
-    dense = rows.select(key).join(sums, key, "left").withColumn("_raw", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("_sums", d), F.lit(0.0)))).withColumn("_n", norm(F.col("_raw")))
-    return dense.select(key, F.transform("_raw", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("embedding"))
+    """(key, embedding) as hashed_embedding makes it, for whole tables: all of a text stands in its row, so its slots are summed there, batch by batch, and nothing moves."""
+    ws = rows.select(F.col(key), F.coalesce(_first(words(F.lower(text)), most_words), F.array().cast("array<string>")).alias("_words"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1)
+            flat, sizes = held.flatten().dictionary_encode(), held.value_lengths().to_numpy()
+            slots = np.array([word_slots(w, dim) for w in flat.dictionary.to_pylist()], np.int64).reshape(-1, 3)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            weight = 1.0 / (np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)
+            at = (doc[:, None] * dim + slots[flat.indices.to_numpy()]).ravel()
+            raw = np.bincount(at, np.repeat(weight, 3), len(sizes) * dim).reshape(-1, dim).astype(np.float64)
+            norms = np.sqrt((raw * raw).sum(1, keepdims=True))
+            unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
+            edges = pa.array(np.arange(len(sizes) + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, pa.array(unit.ravel()))], names=[key, "embedding"])
+
+    return ws.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
+@lru_cache(maxsize=1 << 16)
+def word_slots(word: str, dim: int) -> tuple[int, int, int]:
+    """The three slots of a word: Spark's xxhash64 of the word and 0, 1, 2, modulo dim."""
+    first = xxhash.xxh64_intdigest(word.encode(), 42)
+    signed = lambda h: h - (h >> 63 << 64)
+    return tuple(signed(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), first)) % dim for k in range(3))
