@@ -41,7 +41,7 @@ def lam_alef() -> dict[str, str]:
     return {unicodedata.normalize("NFKC", chr(code)): chr(code) for code in range(0xFEF5, 0xFEFD, 2)}
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def evaluated_once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), value being evaluated once for each row and not for each element that use looks at."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -69,7 +69,7 @@ def reshaped(c: Column) -> Column:
 
         return F.array_join(F.transform(cs, one), "")
 
-    return F.when(c.rlike(ARABIC), _once(characters(plain), joined)).otherwise(c)
+    return F.when(c.rlike(ARABIC), evaluated_once(characters(plain), joined)).otherwise(c)
 
 
 #: Letter of a bidirectional class on the text of classes; all other classes are neutral, `O`.
@@ -134,7 +134,7 @@ def resolved(k: Column, base: Column) -> Column:
 
         return F.array_join(F.transform(rs, one), "")
 
-    return _once(_runs(k, "O+|[^O]+"), neutrals)
+    return evaluated_once(_runs(k, "O+|[^O]+"), neutrals)
 
 
 MIRRORED, MIRRORS = "()[]{}<>«»‹›≤≥", ")(][}{><»«›‹≥≤"
@@ -148,7 +148,7 @@ def displayed(c: Column) -> Column:
             end = F.length(F.regexp_extract(k, "W*$", 0))
             levels = F.when(base == "L", F.translate(resolved(k, base), "LREN", "0122")).otherwise(F.translate(resolved(k, base), "LREN", "2122"))
             levels = F.concat(F.left(levels, F.length(levels) - end), F.repeat(F.when(base == "L", "0").otherwise("1"), end))
-            return _once(levels, cut)
+            return evaluated_once(levels, cut)
 
         def cut(levels: Column) -> Column:
             # Stretches of one level with where they begin; of what lies between two stretches of level 0 the order turns around.
@@ -165,7 +165,7 @@ def displayed(c: Column) -> Column:
 
             return F.array_join(F.transform(begun(_runs(levels, "0+|[12]+")), outer), "")
 
-        return _once(classes(text), lambda k: _once(F.when(F.regexp_extract(k, "[LRA]", 0).isin("R", "A"), "R").otherwise("L"), lambda base: with_base(k, base)))
+        return evaluated_once(classes(text), lambda k: evaluated_once(F.when(F.regexp_extract(k, "[LRA]", 0).isin("R", "A"), "R").otherwise("L"), lambda base: with_base(k, base)))
 
     lines = F.transform(F.split(c, "\n"), lambda x: F.when(x.rlike(r"[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}\x{10800}-\x{10FFF}\x{1E800}-\x{1EFFF}]"), line(x)).otherwise(x))
     return F.array_join(lines, "\n")

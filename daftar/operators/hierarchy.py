@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from daftar.functions.arabic import base_letters, ordinal_number
+from daftar.functions.display import evaluated_once
 
 #: How headings begin, by kind, from the outermost, and the marks of sub-articles.
 CHAPTER = r"^\s*(?:الباب|(?i:part|title))\s+\S"
@@ -149,6 +150,10 @@ JUDGMENT_PHRASES = {
 }
 
 
+#: White space and digits of all scripts inside patterns.
+_WHITE, _DIGIT = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\p{Nd}"
+
+
 def judgment_sections(documents: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, tuple[str, ...]] = JUDGMENT_PHRASES) -> DataFrame:
     """Sections of judgments by phrases anywhere in the text: key, section_type, content; sections without content are left out.
 
@@ -157,22 +162,30 @@ def judgment_sections(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     One expression a row: the text is cut where phrases begin, and the cuts are folded into the sections.
     """
-    flags = "(?iuU)"
-    anywhere = f"{flags}(?=" + "|".join(p for ps in phrases.values() for p in ps) + ")"
-    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    wide = {t: [p.replace(r"\s", _WHITE).replace(r"\d", _DIGIT) for p in ps] for t, ps in phrases.items()}
+    begins = {p[0] for ps in phrases.values() for p in ps}
+    quick = "(?=[" + "".join(sorted(begins)) + "])" if all(map(str.isalpha, begins)) else ""  # most places fail here
+    anywhere = f"{quick}(?=" + "|".join(p for ps in wide.values() for p in ps) + ")"
+    trim = lambda c: F.regexp_replace(c, f"^{_WHITE}+|{_WHITE}+$", "")
     parts = F.split(F.col(text), anywhere)
 
     def markers(cuts: Column) -> Column:
         """For each cut the phrases that begin it, in their order, as type and content: of all but the last the content is empty."""
 
         def of_cut(cut: Column, i: Column) -> Column:
-            ahead = F.concat_ws("", F.slice(cuts, i + 1, 4))  # a phrase may reach over the cuts of others
-            found = F.array_compact(F.array(*(F.when(ahead.rlike(f"{flags}^{p}"), F.struct(F.lit(t).alias("type"), F.length(F.regexp_extract(ahead, f"{flags}^{p}", 0)).alias("n"))) for t, ps in phrases.items() for p in ps)))
-            return F.transform(found, lambda m, j: F.struct(m["type"].alias("type"), F.when((j == F.size(found) - 1) & (m["n"] <= F.length(cut)), trim(F.substring(cut, m["n"] + 1, F.length(cut)))).otherwise("").alias("content")))
+            def contents(found: Column) -> Column:
+                rest = lambda m: trim(F.substring(cut, m["n"] + 1, F.length(cut)))
+                return F.transform(found, lambda m, j: F.struct(m["type"].alias("type"), F.when((j == F.size(found) - 1) & (m["n"] <= F.length(cut)), rest(m)).otherwise("").alias("content")))
+
+            def begun(ahead: Column) -> Column:
+                each = (F.when(ahead.rlike(f"^{p}"), F.struct(F.lit(t).alias("type"), F.length(F.regexp_extract(ahead, f"^{p}", 0)).alias("n"))) for t, ps in wide.items() for p in ps)
+                return evaluated_once(F.array_compact(F.array(*each)), contents)
+
+            return evaluated_once(F.concat_ws("", F.slice(cuts, i + 1, 4)), begun)  # a phrase may reach over the cuts of others
 
         return F.flatten(F.transform(cuts, of_cut))
 
-    marked = F.get(F.transform(F.array(parts), markers), 0)
+    marked = evaluated_once(parts, markers)
     empty = F.struct(*(F.lit("").alias(t) for t in phrases))
 
     def joined(held: Column, m: Column) -> Column:
