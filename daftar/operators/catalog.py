@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def where_given(rows: DataFrame, **filters: object) -> DataFrame:
@@ -72,6 +73,25 @@ def total(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 
 
+def first(rows: DataFrame, condition: Column, *order: Column | str) -> DataFrame:
+    """The first row in a total order for which a condition holds, or none."""
+    return rows.where(condition).orderBy(*order).limit(1)
+
+
+def iso(c: Column, kind: T.DataType) -> Column:
+    """A date or time as ISO text: times without a fraction of a second if it is zero, else with six digits."""
+    if isinstance(kind, T.DateType):
+        return c.cast("string")
+    fraction = F.date_format(c, "SSSSSS")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)))
+
+
+def with_iso_dates(rows: DataFrame) -> DataFrame:
+    """Whole rows as they go out: every column, dates and times as ISO text."""
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return rows.select(*(iso(F.col(f"`{f.name}`"), f.dataType).alias(f.name) if isinstance(f.dataType, times) else F.col(f"`{f.name}`") for f in rows.schema.fields))
+
+
 def filter_after_page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int, condition: Column) -> DataFrame:
     """For callers that rely on it: the page is taken first, so it may come out short."""
     return page(rows, order, number, size).where(condition)

@@ -194,3 +194,15 @@ def changed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent names that contain what was typed."""
     return retrieval.suggestions(table(spark, sf_dir, "part"), "p_name", "Red", 5)
+
+
+@R.add("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN '.' || lpad((microsecond(ts) % 1000000)::VARCHAR, 6, '0') ELSE '' END AS ts, user_id, event_type, value, props FROM events""")
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole events with their times as ISO text."""
+    return catalog.with_iso_dates(table(spark, sf_dir, "events"))
+
+
+@R.add("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size = 1 AND p_type = 'ECONOMY' ORDER BY p_partkey LIMIT 1")
+def first_small_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first part, by key, that is small and of a type."""
+    return catalog.first(table(spark, sf_dir, "part"), (F.col("p_size") == 1) & (F.col("p_type") == "ECONOMY"), "p_partkey").select("p_partkey", "p_name", "p_retailprice")

@@ -257,3 +257,29 @@ def test_judgment_sections(spark):
     for r in hierarchy.judgment_sections(docs).collect():
         got.setdefault(r.doc_id, {})[r.section_type] = r.content
     assert got == {i: brute_judgment(t) for i, t in enumerate(texts)}
+
+
+def test_iso_dates(spark):
+    from datetime import date, datetime
+
+    times = [datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 60), datetime(1999, 12, 31, 23, 59, 59, 999999), None]
+    rows = spark.createDataFrame([(i, t, t and t.date()) for i, t in enumerate(times)], "`a.b` int, t timestamp_ntz, d date")
+    got = catalog.with_iso_dates(rows).orderBy("`a.b`").collect()
+    assert [(r.t, r.d) for r in got] == [(t and t.isoformat(), t and date.isoformat(t.date())) for t in times]
+    assert catalog.first(rows, F.col("t").isNull(), "t").count() == 1 and catalog.first(rows, F.lit(False), "t").count() == 0
+
+
+def test_stream_of_online_users(spark, tmp_path):
+    """Users of the last five minutes, by minute, on a stream and from all events."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1, 12)
+    events = [(i, start + timedelta(seconds=17 * i), i % 7, "view") for i in range(120)] + [(999, start + timedelta(hours=3), 1, "view")]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    spark.createDataFrame([(1000, start + timedelta(hours=6), 1, "view")], schema).coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    q = activity.online(activity.events(spark, str(tmp_path / "in/*"), schema)).writeStream.format("memory").queryName("online_now").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.end: r.n_online for r in spark.table("online_now").collect()}
+    for end in (start + timedelta(minutes=m) for m in (1, 5, 12, 30)):
+        assert got[end] == len({u for _, t, u, _ in events if end - timedelta(minutes=5) <= t < end})
