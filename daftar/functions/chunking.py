@@ -89,6 +89,49 @@ def recursive_chunks(c: Column, size: int = 400, overlap: int = 50, separators:
     return split(c)
 
 
+def _packed(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Parts joined up to `size` characters and stripped; a chunk begins with the last parts of the one before, up to `overlap` characters of them, as far as they leave room for the next part."""
+    out: list[str] = []
+    first, total = 0, 0  # the open chunk is parts[first:i]
+    for i, part in enumerate(parts):
+        if total and total + len(part) > size:
+            out.append("".join(parts[first:i]).strip())
+            while total > overlap or total and total + len(part) > size:
+                total -= len(parts[first])
+                first += 1
+        total += len(part)
+    out.append("".join(parts[first:]).strip())
+    return [x for x in out if x]
+
+
+def _separated(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
+    """Cut at the first separator that the text holds, which stays at the beginning of the part behind it; parts of `size` or more are cut at the next separators."""
+    at = next((i for i, sep in enumerate(separators) if sep in text), len(separators) - 1)
+    sep, rest = separators[at], separators[at + 1 :]
+    cuts = text.split(sep) if sep else list(text)
+    parts = [p for i, x in enumerate(cuts) if (p := sep + x if i else x)]
+    out: list[str] = []
+    short: list[str] = []
+    for p in parts:
+        if len(p) < size:
+            short.append(p)
+            continue
+        out += _packed(short, size, overlap)
+        short = []
+        out += _separated(p, size, overlap, rest) if rest else [p]
+    return out + _packed(short, size, overlap)
+
+
+def separated_chunks(c: Column, size: int = 400, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> Column:
+    """Chunk texts up to `size` characters, cut at paragraphs, else lines, else words, else anywhere (by the empty separator, which comes last): separators stay before what follows them, chunks are stripped and never blank. None of a null text."""
+
+    @F.pandas_udf(_BUDGETED)
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _separated(t, size, overlap, separators) if t else [])
+
+    return split(c)
+
+
 _BUDGETED = "array<string>"
 
 

@@ -227,3 +227,53 @@ def test_arabic_replacements(spark):
     assert one(spark, arabic.with_digits, "المادة الثانية عشرة والباب الثاني", "الحادي عشر", "none", None) == ["المادة 12 والباب 2", "11", "none", None]
     assert one(spark, arabic.without_fragments, "م ا د ة كلمة ا ب x", "ا ب ج", "no", "") == ["مادة كلمة ا ب x", "ابج", "no", ""]
     assert one(spark, arabic.needs_repair, "م ا د ة", "plain", "", None) == [True, False, False, False]
+
+
+def told_split(text, size, overlap, separators):
+    """The splitter as its rule is told, with lists that are rebuilt at each step."""
+    sep, rest = separators[-1], []
+    for i, s in enumerate(separators):
+        if s == "" or s in text:
+            sep, rest = s, list(separators[i + 1 :])
+            break
+    splits = list(text) if sep == "" else [x for x in re.split(f"(?={re.escape(sep)})", text) if x] if len(sep) == 1 else None
+    if splits is None:  # a separator of several characters doesn't overlap itself
+        raw = text.split(sep)
+        splits = [x for x in [raw[0], *(sep + r for r in raw[1:])] if x]
+    final, good = [], []
+
+    def merge(parts):
+        docs, current, total = [], [], 0
+        for d in parts:
+            if total + len(d) > size and current:
+                docs.append("".join(current).strip())
+                while total > overlap or (total + len(d) > size and total > 0):
+                    total -= len(current[0])
+                    current = current[1:]
+            current = [*current, d]
+            total += len(d)
+        docs.append("".join(current).strip())
+        return [d for d in docs if d]
+
+    for s in splits:
+        if len(s) < size:
+            good.append(s)
+        else:
+            if good:
+                final, good = final + merge(good), []
+            final = final + (told_split(s, size, overlap, rest) if rest else [s])
+    return final + merge(good) if good else final
+
+
+@pytest.mark.parametrize("size,overlap", [(40, 10), (12, 0), (25, 24), (400, 50)])
+def test_separated_chunks(spark, size, overlap):
+    rng = random.Random(size)
+    texts = ["".join(rng.choice(["word", "a", " ", "  ", "\n", "\n\n", "\n\n\n", "longerword" * rng.randint(1, 6), "é", "."]) for _ in range(rng.randint(0, 80))) for _ in range(200)] + ["", None, " \n ", "x" * 1000]
+    got = one(spark, lambda c: chunking.separated_chunks(c, size, overlap), *texts)
+    assert got == [told_split(t, size, overlap, ("\n\n", "\n", " ", "")) if t else [] for t in texts]
+    assert all(len(x) <= size and x == x.strip() and x for chunks in got for x in chunks)
+
+
+def test_separated_chunks_of_known_text(spark):
+    text_ = "First paragraph here.\n\nSecond one is a bit longer than that.\n\nThird."
+    assert one(spark, lambda c: chunking.separated_chunks(c, 30, 0), text_) == [["First paragraph here.", "Second one is a bit longer", "than that.", "Third."]]
