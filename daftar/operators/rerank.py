@@ -20,9 +20,21 @@ STEPS = 8
 def fitted(pairs: DataFrame, features: str, label: str, n: int, ridge: float = 1.0) -> bytes:
     """A logistic scorer of n features, as bytes: weights, means and deviations. pairs: an array of n doubles, without nulls, and a label of 0 or 1; others are left out.
 
-    Newton's method: each of STEPS steps is one aggregation over all pairs, of n squared sums; nothing else reaches the driver.
+    Newton's method: each of STEPS steps is one aggregation over all pairs, of n squared sums; nothing else reaches the driver. The pairs are kept by Spark meanwhile.
     """
     known = pairs.where(F.col(label).isin(0, 1) & (F.size(features) == n) & ~F.exists(features, lambda x: x.isNull() | F.isnan(x))).select(*(F.col(features)[i].cast("double").alias(f"x{i}") for i in range(n)), F.col(label).cast("double").alias("y"))
+    known.persist()  # each step reads all pairs: their features are computed once
+    try:
+        w, mean, deviation = _newton(known, n, ridge)
+    finally:
+        known.unpersist()
+    out = io.BytesIO()
+    np.savez(out, weights=w, mean=mean, deviation=deviation)
+    return out.getvalue()
+
+
+def _newton(known: DataFrame, n: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and deviations from rows of x0, x1, ... and y."""
     x = [F.col(f"x{i}") for i in range(n)]
     row = known.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), *(F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(x))).first()
     mean = np.array([row[f"m{i}"] or 0.0 for i in range(n)])
@@ -39,9 +51,7 @@ def fitted(pairs: DataFrame, features: str, label: str, n: int, ridge: float = 1
         r = held.agg(*sums).first()
         hessian = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(n + 1)] for i in range(n + 1)]) + np.diag(penalty)
         w -= np.linalg.solve(hessian, np.array([r[f"g{i}"] for i in range(n + 1)]) + penalty * w)
-    out = io.BytesIO()
-    np.savez(out, weights=w, mean=mean, deviation=deviation)
-    return out.getvalue()
+    return w, mean, deviation
 
 
 def loaded(model: bytes):

@@ -153,7 +153,9 @@ def one_long_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the five best of its labelled documents by a scorer of their quality, fitted on all labels; its sums of logistic functions are no SQL of few lines, so tests hold it against the scorer in plain Python."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality is not null").dropDuplicates(["doc_id"])
-    known = docs.join(labels, "doc_id").where("text is not null").select("doc_id", "source", "quality", quality_features(F.col("text")).alias("features"))
+    path = shared_path(spark, "features")  # the features are computed once, beside the texts; what is joined and read again is small
+    docs.where("text is not null").select("doc_id", "source", quality_features(F.col("text")).alias("features")).join(labels, "doc_id").select("doc_id", "source", "quality", "features").write.parquet(path)
+    known = spark.read.parquet(path)
     model = rerank.fitted(known, "features", "quality", 4)
     ranks = known.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return rerank.rerank(ranks, "features", model, 4, "source", "doc_id").select("source", "doc_id", "new_rank", F.round("score", 9).alias("score"))

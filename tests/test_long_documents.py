@@ -74,6 +74,19 @@ def test_model_is_read_once_a_worker(spark, tmp_path):
     assert rows_.select(rerank.model_score(F.col("x"), model, 1, batch=10).alias("s")).where("s between 0 and 1").count() == 5000
 
 
+def test_features_are_computed_once(spark):
+    """A fit reads the features of its pairs in every step, and computes them in none but the first."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def features(i):
+        seen.add(1)
+        return [float(i % 7)]
+
+    rerank.fitted(spark.range(200).select(features("id").alias("x"), (F.col("id") % 2).alias("y")).repartition(2), "x", "y", 1)
+    assert 200 <= seen.value <= 400
+
+
 def test_reranked_documents(spark, sf):
     """The registered query against the scorer in plain Python."""
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
