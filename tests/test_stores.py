@@ -75,6 +75,34 @@ def test_trigram_search_reads_the_parts_of_its_term(spark, texts):
     assert read.select(F.input_file_name()).distinct().count() <= 2 < every
 
 
+def test_lists_of_trigrams_are_bounded():
+    """A task lists its rows by trigram as they come, in slices: whatever the number of rows, it holds few."""
+    import itertools
+
+    import pyarrow as pa
+
+    taken, rng = [], random.Random(4)
+    texts_ = ["old red widget", "", None, "ab", "a😀b😀c", "aaaa" * 90_000, *("".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(3000))]
+
+    def batches():
+        for i in itertools.count():  # never ends
+            taken.append(i)
+            n = len(texts_)
+            yield pa.RecordBatch.from_arrays([pa.array([i % 3] * n), pa.array(range(n)), pa.array(texts_), pa.array(["xyz", None] * (n // 2))], names=["block", "place", "text0", "text1"])
+
+    found = {}
+    for r in next(trigram._partial_postings(batches())).to_pylist():
+        places = [int.from_bytes(r["places"][j : j + 2], "little") for j in range(0, len(r["places"]), 2)]
+        found[r["trigram"], r["block"]] = set(places)
+    assert len(taken) < 30
+    want = {}
+    for i, t in enumerate(texts_):
+        for x in (t or "", "" if i % 2 else "xyz"):
+            for j in range(len(x) - 2):
+                want.setdefault(x[j : j + 3], set()).add(i)
+    assert {g: p for (g, b), p in found.items() if b == 0} == want
+
+
 def test_ranked_pages(spark, tmp_path):
     rng = random.Random(5)
     rows = [(rng.randrange(50), i, rng.choice([None, "x"])) for i in range(1003)]
