@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -154,18 +155,23 @@ JUDGMENT_PHRASES = {
 _WHITE, _DIGIT = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\p{Nd}"
 
 
+def _letters(phrase: str) -> str:
+    """The letters that every text which matches a phrase begins with: those of a phrase of words, white space and numbers alone."""
+    return re.match(r"[^\W\d_]+", phrase)[0] if re.fullmatch(r"[^\W\d_]+(?:[^\W\d_ ]| |\\s\+|\\d\+)*", phrase) else ""
+
+
 def judgment_sections(documents: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, tuple[str, ...]] = JUDGMENT_PHRASES) -> DataFrame:
     """Sections of judgments by phrases anywhere in the text: key, section_type, content; sections without content are left out.
 
     A section reaches from the end of a phrase to where the next begins; where a phrase reaches into the next one, or another phrase begins at the same place, its part is empty. The parts of a type are joined
     by blank lines, empty ones after the first with content too. What stands before the first phrase is in no section. A text without any content in sections is a summary as a whole; null has none.
 
-    One expression a row: the text is cut where phrases begin, and the cuts are folded into the sections.
+    One expression a row: the text is cut where phrases begin, and what the cuts hold is joined by section.
     """
-    wide = {t: [p.replace(r"\s", _WHITE).replace(r"\d", _DIGIT) for p in ps] for t, ps in phrases.items()}
+    wide = {p: p.replace(r"\s", _WHITE).replace(r"\d", _DIGIT) for ps in phrases.values() for p in ps}
     begins = {p[0] for ps in phrases.values() for p in ps}
-    quick = "(?=[" + "".join(sorted(begins)) + "])" if all(map(str.isalpha, begins)) else ""  # most places fail here
-    anywhere = f"{quick}(?=" + "|".join(p for ps in wide.values() for p in ps) + ")"
+    quick = f"(?=[{min(begins)}-{max(begins)}])(?=[{''.join(sorted(begins))}])" if all(map(str.isalpha, begins)) else ""  # most places fail here
+    anywhere = f"{quick}(?=" + "|".join(wide.values()) + ")"
     trim = lambda c: F.regexp_replace(c, f"^{_WHITE}+|{_WHITE}+$", "")
     parts = F.split(F.col(text), anywhere)
 
@@ -178,21 +184,23 @@ def judgment_sections(documents: DataFrame, key: str = "doc_id", text: str = "te
                 return F.transform(found, lambda m, j: F.struct(m["type"].alias("type"), F.when((j == F.size(found) - 1) & (m["n"] <= F.length(cut)), rest(m)).otherwise("").alias("content")))
 
             def begun(ahead: Column) -> Column:
-                each = (F.when(ahead.rlike(f"^{p}"), F.struct(F.lit(t).alias("type"), F.length(F.regexp_extract(ahead, f"^{p}", 0)).alias("n"))) for t, ps in wide.items() for p in ps)
+                # A pattern that may also match nothing is done at the first character; another would be tried at all of them.
+                length = lambda p: F.length(F.regexp_extract(ahead, f"^({p})?", 1))
+                one = lambda t, p: F.when(length(wide[p]) > 0, F.struct(F.lit(t).alias("type"), length(wide[p]).alias("n")))
+                each = (F.when(F.startswith(ahead, F.lit(start)), one(t, p)) if (start := _letters(p)) else one(t, p) for t, ps in phrases.items() for p in ps)
                 return evaluated_once(F.array_compact(F.array(*each)), contents)
 
             return evaluated_once(F.concat_ws("", F.slice(cuts, i + 1, 4)), begun)  # a phrase may reach over the cuts of others
 
         return F.flatten(F.transform(cuts, of_cut))
 
-    marked = evaluated_once(parts, markers)
-    empty = F.struct(*(F.lit("").alias(t) for t in phrases))
-
-    def joined(held: Column, m: Column) -> Column:
-        add = lambda t: F.when(m["type"] != t, held[t]).when(held[t] == "", m["content"]).otherwise(F.concat(held[t], F.lit("\n\n"), m["content"]))
-        return F.struct(*(add(t).alias(t) for t in phrases))
+    def joined(marked: Column) -> Column:
+        """The sections with content; the contents of a type are trimmed, so that line feeds before them are of empty ones."""
+        of = lambda t: F.array_join(F.transform(F.filter(marked, lambda m: m["type"] == t), lambda m: m["content"]), "\n\n")
+        each = F.array(*(F.struct(F.lit(t).alias("section_type"), F.ltrim(of(t), F.lit("\n")).alias("content")) for t in phrases))
+        return F.filter(each, lambda s: s["content"] != "")
 
-    own = documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text"), F.aggregate(marked, empty, joined).alias("_held"))
-    filled = F.filter(F.array(*(F.struct(F.lit(t).alias("section_type"), F.col("_held")[t].alias("content")) for t in phrases)), lambda s: s["content"] != "")
-    whole = F.array(F.struct(F.lit("summary").alias("section_type"), F.col("_text").alias("content")))
-    return own.select(key, F.explode(F.when(F.size(filled) > 0, filled).otherwise(whole)).alias("s")).select(key, "s.section_type", "s.content")
+    whole = F.array(F.struct(F.lit("summary").alias("section_type"), F.col(text).alias("content")))
+    filled = evaluated_once(evaluated_once(parts, markers), joined)
+    sections = evaluated_once(filled, lambda held: F.when(F.size(held) > 0, held).otherwise(whole))
+    return documents.where(F.col(text).isNotNull()).select(key, F.explode(sections).alias("s")).select(key, "s.section_type", "s.content")

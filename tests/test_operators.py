@@ -259,6 +259,19 @@ def test_judgment_sections(spark):
     assert got == {i: brute_judgment(t) for i, t in enumerate(texts)}
 
 
+def test_judgment_of_many_phrases(spark):
+    """A text of 20,000 phrases: each is looked for where its cut begins, and contents are joined once, so that the work follows the text's length."""
+    import time
+
+    n = 20_000
+    long = " ".join(f"{('الوقائع', 'حكمت المحكمة', 'الدفوع')[i % 3]} " + "w" * 200 + str(i) for i in range(n))
+    docs = spark.createDataFrame([(0, long)], "doc_id long, text string")
+    began = time.time()
+    got = {r.section_type: r.content for r in hierarchy.judgment_sections(docs).collect()}
+    assert time.time() - began < 12
+    assert got == {t: "\n\n".join("w" * 200 + str(i) for i in range(k, n, 3)) for k, t in enumerate(("facts", "ruling", "arguments"))}
+
+
 def test_iso_dates(spark):
     from datetime import date, datetime
 
