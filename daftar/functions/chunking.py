@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,13 +126,17 @@ def _separated(text: str, size: int, overlap: int, separators: tuple[str, ...])
 def separated_chunks(c: Column, size: int = 400, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> Column:
     """Chunk texts up to `size` characters, cut at paragraphs, else lines, else words, else anywhere (by the empty separator, which comes last): separators stay before what follows them, chunks are stripped and never blank. None of a null text."""
 
-    @F.pandas_udf(_BUDGETED)
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _separated(t, size, overlap, separators) if t else [])
+    @F.arrow_udf(_BUDGETED)
+    def split(texts: pa.Array) -> pa.Array:
+        # Strings of few texts at once; what is done stands in Arrow's buffers.
+        done = [pa.array([_separated(t, size, overlap, separators) if t else [] for t in texts.slice(i, ROWS).to_pylist()], pa.list_(pa.string())) for i in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
     return split(c)
 
 
+#: Texts whose chunks are Python strings at once.
+ROWS = 64
 _BUDGETED = "array<string>"
 
 
