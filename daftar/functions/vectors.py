@@ -66,12 +66,17 @@ def hashed_embeddings(rows: DataFrame, key: str, text: str, dim: int = 256, most
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(1)
-            flat, sizes = held.flatten().dictionary_encode(), held.value_lengths().to_numpy()
-            slots = np.array([word_slots(w, dim) for w in flat.dictionary.to_pylist()], np.int64).reshape(-1, 3)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            weight = 1.0 / (np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)
-            at = (doc[:, None] * dim + slots[flat.indices.to_numpy()]).ravel()
-            raw = np.bincount(at, np.repeat(weight, 3), len(sizes) * dim).reshape(-1, dim).astype(np.float64)
+            sizes = held.value_lengths().to_numpy().astype(np.int64)
+            ends, words_ = np.cumsum(sizes), held.flatten()
+            raw = np.zeros(len(sizes) * dim)
+            for lo in range(0, len(words_), WORDS):
+                flat = words_.slice(lo, WORDS).dictionary_encode()
+                slots = np.array([word_slots(w, dim) for w in flat.dictionary.to_pylist()], np.int64).reshape(-1, 3)
+                place = np.arange(lo, lo + len(flat))
+                doc = np.searchsorted(ends, place, "right")
+                at = (doc[:, None] * dim + slots[flat.indices.to_numpy()]).ravel()
+                np.add.at(raw, at, np.repeat(1.0 / (place - (ends - sizes)[doc] + 1), 3))
+            raw = raw.reshape(-1, dim)
             norms = np.sqrt((raw * raw).sum(1, keepdims=True))
             unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
             edges = pa.array(np.arange(len(sizes) + 1) * dim, pa.int32())
@@ -80,6 +85,10 @@ def hashed_embeddings(rows: DataFrame, key: str, text: str, dim: int = 256, most
     return ws.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
+#: Words whose slots and weights are held at once.
+WORDS = 1 << 16
+
+
 @lru_cache(maxsize=1 << 16)
 def word_slots(word: str, dim: int) -> tuple[int, int, int]:
     """The three slots of a word: Spark's xxhash64 of the word and 0, 1, 2, modulo dim."""

@@ -277,3 +277,23 @@ def test_separated_chunks(spark, size, overlap):
 def test_separated_chunks_of_known_text(spark):
     text_ = "First paragraph here.\n\nSecond one is a bit longer than that.\n\nThird."
     assert one(spark, lambda c: chunking.separated_chunks(c, 30, 0), text_) == [["First paragraph here.", "Second one is a bit longer", "than that.", "Third."]]
+
+
+def test_chunks_of_more_texts_than_are_held_at_once(spark):
+    texts = [None if i % 50 == 7 else " ".join(f"w{i}x{j}" for j in range(i % 90)) for i in range(3 * chunking.ROWS + 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, x string").coalesce(1)
+    got = {r.k: r.c for r in df.select("k", chunking.separated_chunks(F.col("x"), 60, 10).alias("c")).collect()}
+    assert got == {k: chunking._separated(t, 60, 10, ("\n\n", "\n", " ", "")) if t else [] for k, t in enumerate(texts)}
+
+
+def test_hashed_embeddings_of_more_words_than_are_held_at_once(spark):
+    n = vectors.WORDS + 5000
+    rows = [(0, "a b"), (1, " ".join(f"w{i % 300}" for i in range(n))), (2, None), (3, "c a")]
+    got = {r.k: r.embedding for r in vectors.hashed_embeddings(spark.createDataFrame(rows, "k long, x string").coalesce(1), "k", "x", 8, most_words=None).collect()}
+    for k, t in rows:
+        raw = [0.0] * 8
+        for i, w in enumerate((t or "").split()):
+            for slot in vectors.word_slots(w, 8):
+                raw[slot] += 1 / (i + 1)
+        norm = sum(x * x for x in raw) ** 0.5
+        assert all(abs(a - (b / norm if norm else 0.0)) < 1e-9 for a, b in zip(got[k], raw, strict=True))
